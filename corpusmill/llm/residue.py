@@ -1,0 +1,261 @@
+"""Problem 5: template residue, filler and error pages by character n-gram models.
+
+Hashed n-gram models are fitted for residue text (filler, stand-in text, error and script notices), for
+unfilled placeholders, and for everything else. The log-likelihood ratio per byte localises
+residue: lines whose mean ratio is high are residue text, short windows of a high ratio are
+candidate placeholders. A placeholder counts if its window holds one of the notations of
+template languages and its surroundings do not read like writing about placeholders, which a
+further model of such writing decides. A record is excluded if error text covers at least
+`error_cover` of it, or if it holds a placeholder, or at least `residue_bytes` of filler or stand-in text.
+
+The models learn from a bounded sample of records (`sample_pages`) that weak rules label, and from the seed phrases below.
+
+Nulls: rows without id or content are left out. Empty texts have no residue. Repeated rows count once.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from corpusmill.llm import blocks as B
+from corpusmill.llm.boilerplate import sample
+
+BITS = 18
+ORDER = 5
+
+FILLER_SEEDS = (
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.",
+    "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.",
+    "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.",
+)
+STAND_IN_SEEDS = (
+    "This is sample text. Replace it with your own words before publishing.", "Your text goes here", "Heading goes here", "Title goes here", "Content coming soon", "Coming soon",
+    "Write something about this section here", "Write a short introduction here", "Insert a caption for the picture above.", "Insert text here", "Add your content here",
+    "Short description of the item will come here.", "A longer description will come here.", "This is where the introduction will be added", "This is where the summary will be added",
+    "Your subtitle, if any", "Your headline here", "Text text text text text text.", "Sample heading", "Placeholder text, to be replaced", "Click here to edit this text", "Replace this text with your own",
+    "This page is under construction", "To be added later", "Dummy text for layout only", "Text to be supplied by the author",
+)
+ERROR_SEEDS = (
+    "404 - the page you asked for could not be found. It may have moved. Return to the start page.", "404 Not Found", "403 Forbidden", "502 Bad Gateway", "503 Service Unavailable", "504 Gateway Timeout",
+    "500 Internal Server Error. The server met an unexpected condition. Please try again later.", "Sorry, this page does not exist.", "The requested resource could not be loaded.", "This address cannot be displayed. Check the address and reload.",
+    "Your session has expired. Log in again to continue.", "Too many requests. Wait 30 seconds and reload.", "The service is down for maintenance. We are sorry for the trouble.", "Database connection failed: too many clients",
+    "Fatal error: uncaught exception on line 12", "Warning: include(): failed to open stream on line 5", "Traceback: template not found", "Access denied. You do not have permission to view this page.", "The file has been removed or is temporarily unavailable.",
+    "The document timed out after 100 ms. Contact the help desk with ticket 100.", "We regret that the portal is restricted to staff.", "Oops! Nothing here. The address does not match any document.", "Index of / Name Last modified Size Parent Directory",
+    "Please enable JavaScript to view this page.", "This page requires JavaScript to render.", "You need to allow JavaScript and cookies to run this app.", "Your browser does not support scripting, which is required.", "This site will not work unless scripts are allowed.",
+    "The form cannot start because scripting is disabled; switch it on to continue.", "This page relies on JavaScript, which seems to be off. Change the setting and refresh.", "Loading... if nothing happens, scripts may be blocked.", "Checking your browser before you reach the site. This may take 10 seconds.",
+    "This page stays blank while a blocker is on.", "Bitte aktivieren Sie JavaScript, um das Portal zu nutzen.", "Seite nicht gefunden. Die angeforderte Datei ist nicht vorhanden.", "Page non trouvée. Le document demandé n'existe plus sur ce serveur.", "Veuillez activer JavaScript pour voir cette page.",
+    "No se encuentra la página solicitada. Vuelva al inicio.", "Active JavaScript para ver el contenido.", "Página não encontrada. O documento pedido não existe neste servidor.", "Ative o JavaScript para ver esta página.", "पृष्ठ नहीं मिला। कृपया मुख्य पृष्ठ पर लौटें।", "पान सापडले नाही. कृपया मुखपृष्ठावर परत जा.", "कृपया जावास्क्रिप्ट सक्षम करें।",
+)
+MENTION_SEEDS = (
+    "A template engine replaces marks like {{ name }} with a value taken from the record.", "Marks such as [name] or <date> in the sample letter show students where their own details belong.",
+    "The exercise on shell variables prints ${HOME} and then explains why quoting matters.", "The manual describes the notation {{title}}, which stands for the title of a page.", "In the syntax of the tool, a field is written as <%= name %>, for example.",
+    "The lesson shows how %USER% is expanded when the script runs.",
+)
+_FIELDS = ("title", "name", "date", "author", "summary", "body", "contact", "amount", "department", "heading", "course_code", "event_title", "dean_name", "email", "address", "description")
+_FORMS = (
+    "{{ %s }}", "{{%s}}", "{{{%s}}}", "{%% if %s %%}", "{%% block %s %%}", "${%s}", "<%%= %s %%>", "<?php echo %s ?>", "[[%s]]", "*|%s|*", "%%%s%%", "__%s__", "$$%s$$", "@Model.%s", "{%s}", "#{%s}",
+    "[Your %s]", "[INSERT %s HERE]", "[%s to be confirmed by web team]", "(%s goes here)", "<enter %s>", "&lt;%s&gt;", "TODO: add %s", "[object Object]", "[%s]", "<%s>", "Dear [%s],", "TBD: %s",
+)
+# Notations of template languages and authors' notes; a field is a word in one case.
+_WORD = r"(?:[a-z]+(?:[_ .]?[a-z]+){0,4}|[A-Z]+(?:[_ .]?[A-Z]+){0,4})"
+_NOTATION = re.compile(
+    rf"""\{{\{{[^{{}}\n]{{1,60}}\}}\}} | \{{%[^%\n]{{1,60}}%\}} | [$\#]\{{{_WORD}\}} | <%[^%\n]{{1,60}}%> | <\?[^?\n]{{1,60}}\?> | \[\[[^\[\]\n]{{1,40}}\]\] | \*\|[A-Za-z_ ]{{2,40}}\|\*
+    | (?<![%\w])%{_WORD}%(?!\w) | (?<!\w)__{_WORD}__(?!\w) | \$\${_WORD}\$\$ | @(?:Model|model)\.\w+ | (?<![\w{{])\{{{_WORD}\}}(?![\w}}]) | \[object\ Object\] | &lt;\s?{_WORD}\s?&gt;
+    | \[(?:your|insert|enter|add|type)\ [^\]\n]{{1,50}}\] | \[[^\]\n]{{1,40}}\ to\ be\ [^\]\n]{{1,40}}\] | \([\w ]{{2,40}}\ (?:goes|comes|will\ go)\ here\) | <(?:enter|insert|your|add)\ [^<>\n]{{1,40}}>
+    | (?<!\w)(?:TODO|FIXME|TBD|XXX):\ ?\w+ | (?<![\w\]])\[{_WORD}\](?!\w) | (?<![\w<])<{_WORD}>(?!\w)""",
+    re.X,
+)
+_LOOSE = re.compile(_NOTATION.pattern, re.X | re.I)
+_MARKUP = re.compile(r"^<(?:td|tr|th|br|hr|p|b|i|u|a|li|ul|ol|div|span|table|body|html|head|pre|code|em|strong|img|sub|sup)>$", re.I)
+_ERROR = re.compile(
+    r"not found|cannot be (?:displayed|found)|could not be (?:found|loaded)|does not (?:exist|match any)|temporarily unavailable|has been removed|timed out|failed with code|returned no answer|restricted to staff|refused by|bad gateway|internal server error"
+    r"|session has expired|too many requests|down for maintenance|connection failed|fatal error|failed to open|traceback|javascript|scripting|scripts (?:are allowed|may be blocked)|a blocker is on|js to render|checking your browser|parent directory"
+    r"|nicht gefunden|non trouvée|no se encuentra|não encontrada|नहीं मिला|सापडले नाही", re.I)
+
+
+@dataclass(frozen=True)
+class Settings:
+    """sample_pages: records that train the models. line_ratio, window_ratio: mean log-likelihood ratios per n-gram."""
+
+    sample_pages: int = 4000
+    line_ratio: float = 0.6
+    window_ratio: float = 0.25
+    window: int = 10
+    error_cover: float = 0.6
+    residue_bytes: int = 12
+    mention_reach: int = 40
+    mention_ratio: float = 0.9
+
+
+_MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
+
+
+def grams(low: np.ndarray) -> np.ndarray:
+    """Address of the n-gram that begins at each byte; digits count as one character."""
+    x = low.copy()
+    x[(x >= 48) & (x <= 57)] = 48
+    x = x.astype(np.uint32) + np.uint32(1)
+    n = len(x)
+    h = np.zeros(n, np.uint32)
+    with np.errstate(over="ignore"):
+        for k, m in enumerate(_MUL[:ORDER]):
+            h[: n - k] = (h[: n - k] ^ x[k:]) * m
+    return (h >> np.uint32(32 - BITS)).astype(np.int32)
+
+
+def _count(texts: list[str]) -> np.ndarray:
+    buf, starts = B.joined([t.lower().encode("utf-8", "replace") for t in texts])
+    g = grams(buf)
+    inside = np.ones(len(g), bool)
+    for k in range(ORDER):
+        inside[np.maximum(starts[1:] - 1 - k, 0)] = False
+    return np.bincount(g[inside], minlength=1 << BITS).astype(float)
+
+
+def _ratio(a: np.ndarray, b: np.ndarray, alpha: float = 0.3, usual: float = 0.0) -> np.ndarray:
+    size = len(a)
+    p = (a + alpha * (a.sum() / size + 1e-3)) / (a.sum() * (1 + alpha) + 1)
+    q = (b + alpha * (b.sum() / size + 1e-3)) / (b.sum() * (1 + alpha) + 1)
+    r = np.clip(np.log(p / q), -4, 4)
+    if usual:  # what other text says now and then is no evidence
+        r = np.where(b > usual * b.sum(), np.minimum(r, 0), r)
+    return r.astype(np.float32)
+
+
+@dataclass(frozen=True)
+class Model:
+    """Log-likelihood ratios by n-gram address: residue text, error notices, placeholders and mentions against other text."""
+
+    filler: np.ndarray
+    error: np.ndarray
+    mark: np.ndarray
+    mention: np.ndarray
+    settings: Settings
+
+
+def train(texts: list[str], s: Settings = Settings()) -> Model:
+    filler, error, other, marks, mention = list(FILLER_SEEDS + STAND_IN_SEEDS), list(ERROR_SEEDS), [], [], list(MENTION_SEEDS)
+    marks = [f % w for f in _FORMS if "%s" in f for w in (*_FIELDS, *(x.upper() for x in _FIELDS))]
+    about = re.compile(r"\b(?:such as|marks like|stands for|prints|explains|replaces|notation|syntax)\b")
+    for t in texts:
+        lines = [x for x in t.split("\n") if x.strip()]
+        if len(t) < 500 and len(lines) <= 4 and _ERROR.search(t):
+            error += lines
+        elif re.match(r"\s*lorem ipsum\b", t, re.I):
+            filler += lines
+        else:
+            for x in lines:
+                if (m := _NOTATION.search(x)) and not _MARKUP.match(m.group()):
+                    if about.search(near := x[max(0, m.start() - 50) : m.end() + 50]):
+                        mention.append(near)
+                    else:
+                        marks.append(m.group())
+                else:
+                    other.append(x)
+    o = _count(other)
+    return Model(_ratio(_count(filler * 3), o, usual=3e-6), _ratio(_count(error), o, usual=1e-4), _ratio(_count(marks), o), _ratio(_count(mention), o), s)
+
+
+def _mean(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    c = np.zeros(len(values) + 1)
+    np.cumsum(values, out=c[1:])
+    stop = np.maximum(end - ORDER + 1, start + 1)
+    stop = np.minimum(stop, len(values))
+    return (c[stop] - c[start]) / np.maximum(stop - start, 1)
+
+
+@dataclass
+class Found:
+    """Per non-blank line: text, line number, bytes, and whether it is filler or an error notice; per text: placeholder found."""
+
+    doc: np.ndarray
+    no: np.ndarray
+    size: np.ndarray
+    filler: np.ndarray
+    error: np.ndarray
+    marked: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+    def verdict(self, s: Settings) -> np.ndarray:
+        n = len(self.marked)
+        total = np.bincount(self.doc, weights=self.size, minlength=n)
+        e = np.bincount(self.doc, weights=self.size * (self.error | self.filler), minlength=n)
+        f = np.bincount(self.doc, weights=self.size * self.filler, minlength=n)
+        return (total > 0) & (self.marked | (e >= s.error_cover * total) & (e > 0) | (f >= s.residue_bytes))
+
+
+def scan(m: Model, texts: list[bytes]) -> Found:
+    s = m.settings
+    buf, starts = B.joined(texts)
+    ln = B.lines_of(buf, starts)
+    black = (B.FLAGS[buf] & B.WS) == 0
+    size = ln.total(black)
+    keep = np.flatnonzero(size > 0)
+    start, end, doc, no = ln.start[keep], ln.end[keep], ln.doc[keep], ln.no[keep]
+    g = grams(B.lowered(buf))
+    filler = _mean(m.filler[g], start, end)
+    error = _mean(m.error[g], start, end)
+    lines = Found(doc, no, size[keep], (filler > s.line_ratio) & (filler >= error), error > s.line_ratio, np.zeros(len(texts), bool), start, end)
+    # placeholders: windows of a high ratio around characters of template notations
+    ratio = m.mark[g]
+    c = np.zeros(len(ratio) + 1)
+    np.cumsum(ratio, out=c[1:])
+    w = s.window
+    score = np.full(len(buf), -9.0)
+    if len(buf) > w:
+        score[: len(buf) - w + 1] = (c[w:] - c[:-w]) / w
+    hot = np.flatnonzero(score > s.window_ratio)
+    if len(hot):
+        cuts = np.flatnonzero(np.diff(hot) > w) + 1
+        lo, hi = hot[np.append(0, cuts)], hot[np.append(cuts - 1, len(hot) - 1)] + w
+        mention = np.zeros(len(buf) + 1)
+        np.cumsum(m.mention[g], out=mention[1:])
+        for a, b in zip(lo.tolist(), hi.tolist()):
+            d = int(np.searchsorted(starts, a, side="right")) - 1
+            if lines.marked[d]:
+                continue
+            left, right = max(int(starts[d]), a - 50), min(int(starts[d + 1]) - 1, b + 50)
+            text = bytes(buf[left:right]).decode("utf-8", "ignore")
+            for hit in _LOOSE.finditer(text):
+                if _MARKUP.match(hit.group()) or not (_NOTATION.match(hit.group()) or hit.group()[:1] in "[(<{"):
+                    continue
+                at = left + len(text[: hit.start()].encode())
+                p, q = max(int(starts[d]), at - s.mention_reach), min(int(starts[d + 1]) - 1, at + s.mention_reach + len(hit.group()))
+                own0, own1 = at, min(at + len(hit.group().encode()), len(buf))
+                around = (mention[max(own0 - ORDER, p)] - mention[p]) + (mention[q] - mention[min(own1, q)])
+                length = max(1, max(own0 - ORDER, p) - p + q - min(own1, q))
+                own = (c[min(own1, len(ratio))] - c[own0]) / max(1, own1 - own0)
+                if around / length < s.mention_ratio and own > s.window_ratio:
+                    lines.marked[d] = True
+                    break
+    return lines
+
+
+def fit(records: DataFrame, s: Settings = Settings(), rows: list | None = None) -> Model:
+    rows = sample(records, s.sample_pages) if rows is None else rows
+    return train([r.content for r in rows], s)
+
+
+def _find(m: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, col = batch.column(0), batch.column(1)
+            for lo, hi in B.text_chunks(col):
+                texts = [t.encode("utf-8", "replace") for t in col.slice(lo, hi - lo).to_pylist()]
+                out = np.flatnonzero(scan(m, texts).verdict(m.settings))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(out + lo))], ["id"])
+
+    return run
+
+
+def residue_records(records: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """id of the records to leave out."""
+    rows = records.where("id is not null and content is not null")
+    return rows.select("id", "content").mapInArrow(_find(fit(rows, s)), "id string").distinct()
