@@ -23,7 +23,7 @@ _inv = np.ones(1, np.uint64)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
-        size = max(n, 1 << 20)
+        size = max(n, (1 << 20) + 2)
         with np.errstate(over="ignore"):
             p = np.full(size, _BASE, np.uint64)
             p[0] = 1
@@ -41,15 +41,24 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span; equal bytes give equal hashes anywhere."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(buf) + 1)
-    with np.errstate(over="ignore"):
-        prefix = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=prefix[1:])
-        return mix((prefix[ends] - prefix[starts]) * inverse[starts])
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """64-bit hash of the bytes of each span; equal bytes give equal hashes anywhere. Spans come in order of their starts.
+
+    Works through the buffer in blocks, so memory does not grow with it unless one span does.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, lo + block, side="right")))
+        hi = int(ends[j - 1])
+        power, inverse = _powers(hi - lo + 1)
+        with np.errstate(over="ignore"):
+            prefix = np.zeros(hi - lo + 1, np.uint64)
+            np.cumsum((buf[lo:hi].astype(np.uint64) + np.uint64(1)) * power[: hi - lo], out=prefix[1:])
+            out[i:j] = mix((prefix[ends[i:j] - lo] - prefix[starts[i:j] - lo]) * inverse[starts[i:j] - lo])
+        i = j
+    return out
 
 
 def text_chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:

@@ -5,7 +5,7 @@ capacities of a flow network; edges between adjacent lines, and between near lin
 shape (extracted text has no DOM, so shape and distance stand in for it), resist a change of label. The minimum cut
 separates body from boilerplate.
 
-The classifier learns from a bounded sample of pages (`sample_pages`, default 4000). Weak rules
+The classifier learns from a bounded sample of pages (`sample_pages`, default 2500). Weak rules
 label a part of the lines; a first model and its cut label the rest for the final one.
 
 Nulls: rows without id or content are left out; a null title matches no line. Empty texts have no
@@ -44,7 +44,7 @@ _BOX = re.compile(r"^(?:quick links|related (?:pages|links|posts)|see also|furth
 class Settings:
     """sample_pages bounds the pages that train the classifier. Edge weights are in units of log-odds."""
 
-    sample_pages: int = 4000
+    sample_pages: int = 2500
     adjacent: float = 1.0
     across_blank: float = 0.4
     shape_change: float = 0.25

@@ -166,7 +166,7 @@ def features(p: Page, titles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     every = np.arange(n)
 
     def add(lines: np.ndarray, hashes: np.ndarray, salt: int) -> None:
-        at.append(lines)
+        at.append(lines.astype(np.int32))
         with np.errstate(over="ignore"):
             key.append((B.mix(hashes.astype(np.uint64) + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SPACE_BITS)).astype(np.int32))
 
@@ -215,8 +215,9 @@ def logits(weights: np.ndarray, p: Page, titles: np.ndarray) -> np.ndarray:
 def fit_logistic(at: np.ndarray, key: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 40, rate: float = 0.3, decay: float = 1e-6) -> np.ndarray:
     """Logistic regression over hashed features by full-batch Adagrad; rows of weight 0 do not count."""
     w = np.zeros(1 << SPACE_BITS)
-    use = weight[at] > 0
-    at, key = at[use], key[use]
+    if not (weight > 0).all():
+        use = weight[at] > 0
+        at, key = at[use], key[use]
     total = weight.sum()
     second = np.full(len(w), 1e-8)
     n = len(y)

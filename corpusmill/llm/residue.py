@@ -83,7 +83,7 @@ _ERROR = re.compile(
 class Settings:
     """sample_pages: records that train the models. line_ratio, window_ratio: mean log-likelihood ratios per n-gram."""
 
-    sample_pages: int = 4000
+    sample_pages: int = 2500
     line_ratio: float = 0.6
     window_ratio: float = 0.25
     window: int = 10
