@@ -1 +1 @@
-"""corpusmill.functions"""
+"""Column functions and rule tables."""

@@ -1 +1 @@
-"""corpusmill.operators"""
+"""Operators of the corpus engine."""

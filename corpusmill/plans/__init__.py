@@ -1 +1 @@
-"""corpusmill.plans"""
+"""Query catalogue and the corpus pipeline."""

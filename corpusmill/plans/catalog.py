@@ -4,12 +4,585 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpusmill.functions import rules as R, text as T, url as U
+from corpusmill.operators import cleaning, crawl, dedup, embedding, filters, html, names, sequences, similarity, statistics, vocabulary
+from corpusmill.plans import oracle_parts as S, pipeline
+from corpusmill.session import read_table
+from corpusmill.sources import readers
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+C, lit = F.col, F.lit
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+MIN_COUNT = 5
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents")
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """id, url, title, doc_type, department, content: one row per record; repeats carry the same values."""
+    m = read_table(spark, d, "crawldoc").where("metadata.id is not null")
+    cols = {"url": "metadata.source_url", "title": "metadata.title", "doc_type": "metadata.doc_type", "department": "metadata.department", "content": "content"}
+    return m.groupBy(C("metadata.id").alias("id")).agg(*[F.min(c).alias(k) for k, c in cols.items()])
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    s = read_table(spark, d, "textsegment").where("segment_id is not null and text is not null")
+    return s.groupBy("segment_id").agg(F.min("text").alias("text")).select("segment_id", F.split("text", " ").alias("t"))
+
+
+def _vocab(spark: SparkSession, d: str) -> DataFrame:
+    return vocabulary.build(_segments(spark, d), "t", MIN_COUNT)
+
+
+# ---- tokens, counts, vocabulary ----
+
+
+@query(f"""
+with d as (select doc_id, list_filter({S.tokens('text')}, lambda y: not {S.noise('y')}) as t from documents),
+o as (select doc_id, unnest(t) as token from d),
+c as (select token, count(*) as count, count(distinct doc_id) as documents from o group by 1),
+n as (select (select sum(count) from c) as total, (select count(*) from d) as docs)
+select token, count::bigint as count, documents::bigint as documents, round(count / total, 6) as frequency_ratio, round(documents / docs, 6) as document_ratio,
+  (token in {S.words(R.FORCED_DROPS)} or (count / total >= 0.004 and documents / docs >= 0.08)) and token not in {S.words(R.PROTECTED_TOKENS)} as dropped
+from c, n order by count desc, token limit 25""")
+def corpus_top_tokens(spark, d):
+    t = _docs(spark, d).select("doc_id", F.filter(T.tokens(C("text")), lambda x: ~T.is_noise(x)).alias("t"))
+    per = t.select("doc_id", F.explode("t").alias("token")).groupBy("token", "doc_id").agg(F.count(lit(1)).alias("n"))
+    c = per.groupBy("token").agg(F.sum("n").alias("count"), F.count(lit(1)).alias("documents"))
+    total = t.agg(F.sum(F.size("t")).alias("total"), F.count(lit(1)).alias("docs"))
+    r = c.orderBy(F.desc("count"), "token").limit(25).join(F.broadcast(total))
+    tf, df = C("count") / C("total"), C("documents") / C("docs")
+    drop = (C("token").isin(*R.FORCED_DROPS) | ((tf >= R.DROP_TERM_RATIO) & (df >= R.DROP_SEQUENCE_RATIO))) & ~C("token").isin(*R.PROTECTED_TOKENS)
+    return r.select("token", "count", "documents", F.round(tf, 6).alias("frequency_ratio"), F.round(df, 6).alias("document_ratio"), drop.alias("dropped"))
+
+
+@query(f"""
+with {S.SEGMENTS}, o as (select segment_id, unnest(t) as token from seg), c as (select token, count(*) as count, count(distinct segment_id) as k from o group by 1),
+n as (select (select sum(len(t)) from seg) as total, (select count(*) from seg) as rows)
+select token, count::bigint as count, round(count / total, 6) as frequency_ratio, round(k / rows, 6) as document_ratio from c, n
+where (token in {S.words(R.FORCED_DROPS)} or (count / total >= 0.004 and k / rows >= 0.08)) and token not in {S.words(R.PROTECTED_TOKENS)}""")
+def token_exclusions(spark, d):
+    r = sequences.exclusion_tokens(_segments(spark, d), "t")
+    return r.select("token", "count", F.round("frequency_ratio", 6).alias("frequency_ratio"), F.round("document_ratio", 6).alias("document_ratio"))
+
+
+_PAIRS = f"""with {S.SEGMENTS}, w as (select unnest(t) as token from seg), u as (select token, count(*) as n from w group by 1), tot as (select sum(n) as total from u),
+pr as (select t[i] as "left", t[i + 1] as "right" from (select t, unnest(range(1, len(t))) as i from seg)),
+pc as (select "left", "right", count(*) as count from pr where {' and '.join(f'''"{x}" not in {S.words(R.STOP_WORDS + R.NOISE_TOKENS)} and not contains("{x}", '_') and length("{x}") >= 3 and not regexp_matches("{x}", '[0-9]')''' for x in ('left', 'right'))} group by 1, 2 having count(*) >= 8),
+ph as (select "left", "right", "left" || '_' || "right" as phrase, count, (count - 7) * total / (a.n * b.n) as score from pc join u a on a.token = "left" join u b on b.token = "right", tot
+       where a.n >= 20 and b.n >= 20 and (count - 7) * total / (a.n * b.n) >= 8 order by score desc, count desc, phrase limit 200)"""
+
+
+def _phrases(spark, d):
+    return sequences.learn_phrases(_segments(spark, d), "t", seeds=())
+
+
+@query(_PAIRS.replace("a.n >= 20 and b.n >= 20", "a.n >= 10 and b.n >= 10") + ' select "left", "right", phrase, count::bigint as count, round(score, 6) as score from ph')
+def bigram_phrases(spark, d):
+    return _phrases(spark, d).withColumn("score", F.round("score", 6))
+
+
+@query(f"""{_PAIRS.replace("length(", "length(").replace("a.n >= 20 and b.n >= 20", f"a.n >= (case when \"left\" in {S.words(R.PHRASE_SEEDS)} then 10 else 20 end) and b.n >= (case when \"right\" in {S.words(R.PHRASE_SEEDS)} then 10 else 20 end) and (\"left\" in {S.words(R.PHRASE_SEEDS)} or \"right\" in {S.words(R.PHRASE_SEEDS)})")}
+ select phrase, count::bigint as count, round(score, 6) as score from ph""")
+def seeded_phrases(spark, d):
+    return sequences.learn_phrases(_segments(spark, d), "t").select("phrase", "count", F.round("score", 6).alias("score"))
+
+
+@query(f"""{_PAIRS.replace("a.n >= 20 and b.n >= 20", "a.n >= 10 and b.n >= 10")},
+x as (select segment_id, unnest(t) as token, generate_subscripts(t, 1) - 1 as pos from seg),
+y as (select *, lead(token) over (partition by segment_id order by pos) as nxt from x),
+z as (select y.*, ph.phrase from y left join ph on ph."left" = y.token and ph."right" = y.nxt),
+i as (select *, pos - sum(case when phrase is not null then 1 else 0 end) over (partition by segment_id order by pos) as isl from z),
+k as (select *, phrase is not null and row_number() over (partition by segment_id, case when phrase is not null then isl end order by pos) % 2 = 1 as start from i),
+e as (select *, coalesce(lag(start) over (partition by segment_id order by pos), false) as eaten from k)
+select segment_id, pos::bigint as pos, case when start then phrase else token end as token, start as merged from e where not eaten""")
+def bigram_merge(spark, d):
+    return sequences.merge_phrases(_segments(spark, d), "segment_id", "t", _phrases(spark, d))
+
+
+@query(f"{S.VOCAB} select token, count::bigint as count, token_id::bigint as token_id from voc")
+def vocabulary_ids(spark, d):
+    return _vocab(spark, d)
+
+
+@query(f"""{S.VOCAB}, x as (select segment_id, unnest(t) as token, generate_subscripts(t, 1) as pos from seg),
+e as (select segment_id, list(token_id order by pos) as ids from x join voc using (token) group by 1) select segment_id, array_to_string(ids, ' ') as ids, len(ids)::bigint as n from e where len(ids) >= 2""")
+def encode_corpus(spark, d):
+    e = vocabulary.encode(_segments(spark, d), "segment_id", "t", _vocab(spark, d))
+    return e.select("segment_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"), F.size("ids").cast("long").alias("n"))
+
+
+@query(f"{S.VOCAB}, s as (select sum(count) as total from voc) select token, count::bigint as count, round(least(1, sqrt(0.001 / (count / total)) + 0.001 / (count / total)), 6) as keep from voc, s")
+def keep_probability(spark, d):
+    return vocabulary.keep_probability(_vocab(spark, d), 1e-3).withColumn("keep", F.round("keep", 6))
+
+
+@query(f"{S.VOCAB}, s as (select sum(count) as total from voc) select sum(count)::bigint as total, round(sum(count * least(1, sqrt(0.001 / (count / s.total)) + 0.001 / (count / s.total))), 3) as retained from voc, s")
+def expected_retained(spark, d):
+    return vocabulary.expected_retained(_vocab(spark, d), 1e-3).withColumn("retained", F.round("retained", 3))
+
+
+@query(f"{S.VOCAB}, s as (select sum(pow(count, 0.75)) as w from voc) select token, token_id::bigint as token_id, round(pow(count, 0.75) / w, 8) as probability from voc, s")
+def noise_distribution(spark, d):
+    return vocabulary.noise_distribution(_vocab(spark, d)).withColumn("probability", F.round("probability", 8))
+
+
+_CONTEXT = f"""with {S.SEGMENTS}, x as (select segment_id, t, unnest(t) as center, generate_subscripts(t, 1) as p from seg where len(t) > 1),
+y as (select segment_id, t, center, p, %s as r from x), z as (select center, t, p, unnest(range(greatest(1, p - r), least(len(t), p + r) + 1)) as q from y)
+select center, t[q] as context, count(*)::bigint as pairs from z where q <> p group by 1, 2 having count(*) >= 20"""
+
+
+@query(_CONTEXT % "2")
+def context_pairs(spark, d):
+    p = sequences.context_pairs(_segments(spark, d), "t", 2)
+    return p.groupBy("center", "context").agg(F.count(lit(1)).alias("pairs")).where("pairs >= 20")
+
+
+@query(_CONTEXT % f"({S.hash32(chr(39) + '7' + chr(39), 'segment_id', '(p - 1)::varchar')} % 5 + 1)")
+def context_pairs_dynamic(spark, d):
+    p = sequences.context_pairs(_segments(spark, d), "t", 5, "segment_id", 7)
+    return p.groupBy("center", "context").agg(F.count(lit(1)).alias("pairs")).where("pairs >= 20")
+
+
+@query(f"""with {S.SEGMENTS}, w as (select unnest([2, 5]) as w), x as (select w, len(t) as n, least(w, len(t) - 1) as m from seg, w)
+select w::bigint as w, sum(case when n > 1 then 2 * n * m - m * (m + 1) else 0 end)::bigint as skipgram, sum(case when n > 1 then n else 0 end)::bigint as cbow from x group by 1""")
+def training_example_count(spark, d):
+    s = _segments(spark, d).select(F.size("t").alias("n"), F.explode(F.array(lit(2).cast("long"), lit(5).cast("long"))).alias("w"))
+    parts = [(w, *sequences.example_count(C("n"), w)) for w in (2, 5)]
+    pairs = F.when(C("w") == 2, parts[0][1]).otherwise(parts[1][1])
+    return s.groupBy("w").agg(F.sum(pairs).alias("skipgram"), F.sum(parts[0][2]).alias("cbow"))
+
+
+@query(f"""{S.VOCAB}, s as (select sum(count) as total from voc), x as (select segment_id, unnest(t) as token, generate_subscripts(t, 1) - 1 as pos from seg),
+k as (select x.*, least(1, sqrt(0.001 / (count / total)) + 0.001 / (count / total)) as keep from x join voc using (token), s)
+select segment_id, string_agg(token, ' ' order by pos) as kept, count(*)::bigint as n from k where {S.hash32(chr(39) + '3' + chr(39), 'segment_id', 'pos::varchar')} / 4294967296.0 <= keep group by 1 having count(*) >= 2""")
+def subsampled_segments(spark, d):
+    r = vocabulary.subsample(_segments(spark, d), "segment_id", "t", _vocab(spark, d), 1e-3, 3)
+    return r.select("segment_id", F.array_join("tokens", " ").alias("kept"), F.size("tokens").cast("long").alias("n"))
+
+
+@query(f"""with {S.SEGMENTS}, h as (select segment_id, row_number() over (order by {S.hash32(chr(39) + '42' + chr(39), 'segment_id')}, segment_id) as k, count(*) over () as n from seg)
+select segment_id, k <= greatest(1, round_even(n * 0.05, 0)) as validation from h""")
+def train_validation_split(spark, d):
+    return vocabulary.split_validation(_segments(spark, d), "segment_id", 42).select("segment_id", "validation")
+
+
+@query(f"""{S.VOCAB} select token, count::bigint as count from voc where count < 6 or (length(token) <= 2 and token not in ('ai', 'ug', 'pg', 'it')) or length(token) > 24 or regexp_matches(token, '[0-9]') or regexp_matches(token, '[&/+]') or (contains(token, '_') and token not in ('machine_learning', 'deep_learning'))""")
+def analysis_exclusions(spark, d):
+    return vocabulary.analysis_exclusions(_vocab(spark, d)).select("token", "count")
+
+
+@query()
+def negative_samples(spark, d):
+    v = _vocab(spark, d)
+    return vocabulary.negatives(v.where("token_id < 50").select("token", C("token_id").alias("positive")), vocabulary.noise_distribution(v), "token", "positive", 5, 42)
+
+
+# ---- statistics ----
+
+
+@query(f"""with {S.SEGMENTS} select count(*)::bigint as sequences, sum(len(t))::bigint as total_tokens, round(avg(len(t)), 2) as mean_length, median(len(t)) as median_length,
+(select count(distinct x) from (select unnest(t) as x from seg))::bigint as vocabulary from seg""")
+def doc_length_stats(spark, d):
+    return statistics.length_stats(_segments(spark, d), "t").select("sequences", "total_tokens", "mean_length", "median_length", "vocabulary")
+
+
+@query(f"""with {S.RECORDS} select 'doc_type' as kind, coalesce(doc_type, '') as value, count(*)::bigint as rows from rec group by 2 union all select 'department', coalesce(department, ''), count(*)::bigint from rec group by 2""")
+def grouped_counts(spark, d):
+    return statistics.grouped_counts(_records(spark, d), "doc_type", "department")
+
+
+@query(f"with {S.RECORDS} select coalesce(department, 'Institute') as department, count(*)::bigint as documents from rec group by 1 order by 2 desc, 1 limit 20")
+def top_departments(spark, d):
+    r = _records(spark, d).groupBy(F.coalesce("department", lit("Institute")).alias("department")).agg(F.count(lit(1)).alias("documents"))
+    return r.orderBy(F.desc("documents"), "department").limit(20)
+
+
+@query()
+def dataset_statistics(spark, d):
+    return statistics.dataset_json(_segments(spark, d), "t")
+
+
+@query()
+def rule_audit(spark, d):
+    return statistics.rule_audit(spark)
+
+
+# ---- duplicates and merging ----
+
+
+@query("""with k as (select doc_id, case when length(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) >= 20 then md5(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) end as content_key from documents)
+select doc_id, content_key, content_key is not null and doc_id = min(doc_id) over (partition by content_key) as kept from k""")
+def doc_dedup_exact(spark, d):
+    return dedup.exact_duplicates(_docs(spark, d), "text", ["doc_id"]).select("doc_id", "content_key", "kept")
+
+
+@query(f"""with {S.RECORDS}, k as (select case when length(trim(content, chr(32) || chr(9) || chr(10) || chr(13))) >= 20 then md5(trim(content, chr(32) || chr(9) || chr(10) || chr(13))) end as k, {S.dedup_url('url')} as u from rec)
+select count(*)::bigint as rows, count(distinct k)::bigint as unique_content, count(distinct case when u is not null then u end)::bigint as unique_urls, count(*) filter (k is null)::bigint as too_short, (count(k) - count(distinct k))::bigint as duplicates_skipped from k""")
+def duplicate_stats(spark, d):
+    return dedup.duplicate_stats(_records(spark, d), "content", "url")
+
+
+@query("""with k as (select segment_id, text, sha1(text) as segment_key from textsegment where text is not null)
+select segment_key, min(segment_id) as segment_id, count(*)::bigint as copies from k group by 1""")
+def segment_dedup_sha1(spark, d):
+    s = read_table(spark, d, "textsegment").where("text is not null").select("segment_id", F.split("text", " ").alias("t"))
+    return dedup.segments_by_hash(s, "t", ["segment_id"]).select("segment_key", "segment_id", "copies")
+
+
+@query("""with p as (select doc_id, unnest(string_split(text, chr(10))) as paragraph, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents),
+k as (select *, trim(regexp_replace(lower(paragraph), '[^a-z0-9]+', ' ', 'g')) as k from p),
+r as (select *, row_number() over (partition by doc_id, k order by pos) as n, len(list_filter(string_split(k, ' '), lambda x: x <> '')) >= 10 as long from k where k <> '')
+select doc_id, pos::bigint as pos, paragraph from r where not long or n = 1""")
+def paragraph_dedup(spark, d):
+    return dedup.paragraph_dedup(_docs(spark, d), "doc_id", "text")
+
+
+@query(f"""with {S.RECORDS}, a as (select id, url, content, 0 as part from rec), b as (select segment_id as id, source_url as url, text as content, 1 as part from (select segment_id, min(source_url) as source_url, min(text) as text from textsegment group by 1)),
+x as (select coalesce(nullif(url, ''), nullif(id, '')) as merge_key, length(content) as n, part from (select * from a union all select * from b))
+select merge_key, max(coalesce(n, 0))::bigint as n from x where merge_key is not null group by 1""")
+def merge_documents(spark, d):
+    a = _records(spark, d).select("id", "url", "content")
+    b = read_table(spark, d, "textsegment").groupBy(C("segment_id").alias("id")).agg(F.min("source_url").alias("url"), F.min("text").alias("content"))
+    m = dedup.merge_sources([a, b], ["url", "id"], "content")
+    return m.select("merge_key", F.coalesce(F.length("content"), lit(0)).cast("long").alias("n"))
+
+
+@query(f"""with {S.RECORDS}, e as (select unnest(documents) as m from crawlmanifest), o as (select m.id as id, max(m.title) as title from e where m.id is not null group by 1)
+select id, coalesce(o.title, rec.title) as title, length(content)::bigint as n from o join rec using (id)""")
+def manifest_documents(spark, d):
+    entries = readers.manifest_entries(read_table(spark, d, "crawlmanifest"))
+    docs = read_table(spark, d, "crawldoc").where("metadata.id is not null").groupBy(C("metadata.id").alias("k")).agg(F.first("metadata").alias("metadata"), F.min("content").alias("content"))
+    return readers.documents_by_manifest(entries, docs).select("id", C("metadata.title").alias("title"), F.length("content").cast("long").alias("n"))
+
+
+# ---- URLs and records ----
+
+
+@query(f"with {S.RECORDS}, u as (select distinct {S.dedup_url('url')} as url_norm, url from rec where url is not null) select url_norm, count(*)::bigint as spellings from u group by 1")
+def url_normalize(spark, d):
+    return dedup.distinct_urls(_records(spark, d), "url")
+
+
+@query(f"""with {S.RECORDS} select id, {S.host('url')} as host, coalesce({S.host('url')} = 'tarvessa.example' or ends_with({S.host('url')}, '.tarvessa.example'), false) as allowed,
+coalesce(regexp_matches(url, '(?i)(?:{'|'.join(R.EXCLUDED_URL)})'), false) as excluded, {S.first_match('url', R.DOC_TYPES, R.DOC_TYPE_DEFAULT)} as doc_type, {S.first_match('url', R.DEPARTMENTS, R.DEPARTMENT_DEFAULT)} as department,
+case when coalesce(ends_with(lower(regexp_replace(url, '[?#].*$', '')), '.pdf'), false) then 'pdf' else 'html' end as kind from rec""")
+def url_classify(spark, d):
+    r = crawl.dispatch(_records(spark, d), "url")
+    return r.select("id", U.host(C("url")).alias("host"), U.allowed_domain(C("url"), "tarvessa.example").alias("allowed"), U.excluded(C("url")).alias("excluded"), U.doc_type(C("url")).alias("doc_type"), U.department(C("url")).alias("department"), "kind")
+
+
+@query(f"""with {S.RECORDS} select id, substr(sha256(url), 1, 16) as record_id, md5(content) as content_hash, sha1(content) as sha1, length(content)::bigint as content_length,
+regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') as url_norm, nullif(regexp_extract(regexp_replace(url, '[?#].*$', ''), '://[^/]+(?:/[^/]*)*/([^/]+)$', 1), '') as filename from rec""")
+def page_metadata(spark, d):
+    r = _records(spark, d)
+    return r.select("id", U.record_id(C("url")).alias("record_id"), F.md5("content").alias("content_hash"), F.sha1("content").alias("sha1"), F.length("content").cast("long").alias("content_length"), U.normalize(C("url")).alias("url_norm"), U.filename(C("url")).alias("filename"))
+
+
+@query("select url, depth::bigint as depth from (with recursive e as (select * from (values ('a','b'),('b','c'),('c','a'),('c','d'),('d','e'),('x','y'),('e','b')) t(src, dst)), w as (select 'a' as url, 0 as depth union select e.dst, w.depth + 1 from w join e on e.src = w.url where w.depth < 8) select url, min(depth) as depth from w group by 1)")
+def crawl_bfs(spark, d):
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("x", "y"), ("e", "b")], "src string, dst string")
+    r = crawl.breadth_first(spark.createDataFrame([("a",)], "url string"), links)
+    return r.select("url", C("depth").cast("long").alias("depth"))
+
+
+PAGE = """<html><head><title>Field station</title><meta name="description" content="Notes"></head><body><nav><a href="/home">Home</a></nav>
+<main><h1>Field station</h1><p>Water levels are read every morning and sent to the office, where they are compared with earlier years.</p><ul><li>rain gauge</li></ul><a href="data.html#top">data</a></main>
+<footer><p>All rights reserved</p></footer></body></html>"""
+
+
+@query()
+def page_extract(spark, d):
+    pages = spark.createDataFrame([(1, "https://a.example/x/", PAGE), (2, "https://a.example/y", None)], "page_id bigint, url string, html string")
+    return html.extract(pages, "page_id", "html", "url")
+
+
+@query("select * from (values ('https://a.example/x/', 'https://a.example/home'), ('https://a.example/x/', 'https://a.example/x/data.html')) t(src, dst)")
+def page_links(spark, d):
+    pages = spark.createDataFrame([("https://a.example/x/", PAGE)], "url string, html string")
+    return html.links(pages, "html", "url")
+
+
+# ---- filters and cleaning ----
+
+
+def _scraped_sql(text: str) -> str:
+    toks, kind = S.tokens(text), "coalesce(doc_type, '')"
+    n, promo = f"len({toks})", S.hits(toks, R.PROMOTIONAL_HINTS)
+    t, u = "lower(coalesce(title, ''))", "lower(coalesce(url, ''))"
+    return f"""case when {kind} in {S.words(R.EXCLUDED_DOC_TYPES)} then 'excluded_doc_type:' || {kind} when {S.any_of(t, R.EXCLUDED_TITLE)} then 'excluded_title' when regexp_matches({u}, '(?i)(?:{'|'.join(R.EXCLUDED_URL)})') then 'excluded_url'
+when regexp_matches({u}, '/students?(?:[/?]|$)') and not contains({t}, 'student life') and not contains({t}, 'campus life') then 'student_listing_page'
+when {n} < {S.by_type(kind, R.MIN_TOKENS, R.MIN_TOKENS_DEFAULT)} then 'too_short_after_cleaning' when {kind} = 'Faculty Profile' and {S.hits(toks, R.FACULTY_SIGNALS)} < 4 then 'faculty_directory_or_low_signal'
+when {n} < 220 and {S.distinct_ratio(toks)} < 0.22 then 'low_unique_ratio' when {n} < 260 and {promo} >= 12 then 'promotional_content' else 'kept' end"""
+
+
+@query(f"with {S.RECORDS} select id, {_scraped_sql('content')} as reason from rec")
+def doc_quality_filter(spark, d):
+    r = _records(spark, d)
+    return r.select("id", filters.scraped_reason(C("doc_type"), C("title"), C("url"), C("content")).alias("reason"))
+
+
+def _corpus_sql() -> str:
+    kind, t, u, c = "coalesce(doc_type, '')", "lower(coalesce(title, ''))", "lower(coalesce(url, ''))", "coalesce(content, '')"
+    forced = f"({S.any_of(t, R.FORCE_KEEP_HINTS)} or {S.any_of(u, R.FORCE_KEEP_HINTS)})"
+    toks = S.tokens("content")
+    return f"""case when {S.any_of(t, R.RECRUITMENT_TITLE)} or {S.any_of(f'lower({c})', R.RECRUITMENT_CONTENT)} then 'excluded_recruitment_page'
+when {S.any_of(u, R.FACILITY_PATHS)} and not {S.any_of(t, R.FACILITY_ALLOW)} and ({S.any_of(t, R.FACILITY_TITLES)} or {S.any_of(u, R.FACILITY_TITLES)}) then 'excluded_facility_page'
+when {kind} = 'Facility' then 'excluded_doc_type:Facility' when {kind} in {S.words(R.EXCLUDED_DOC_TYPES)} and not {forced} then 'excluded_doc_type:' || {kind} when ({S.any_of(t, R.EXCLUDED_TITLE)} or regexp_matches({u}, '(?i)(?:{'|'.join(R.EXCLUDED_URL)})')) and not {forced} then 'excluded_by_title_or_url'
+when length({c}) < {S.by_type(kind, R.MIN_CHARS, R.MIN_CHARS_DEFAULT)} then 'too_short:' || {kind}
+when {S.hits(toks, R.PEDAGOGY_TOKENS)} >= greatest(12, floor(len({toks}) / 6)) and {S.hits(toks, R.DOMAIN_TOKENS)} <= 3 then 'pedagogy_heavy_page' else 'kept' end"""
+
+
+@query(f"with {S.RECORDS}, x as (select {_corpus_sql()} as reason from rec) select reason, count(*)::bigint as documents from x group by 1")
+def corpus_filter_reasons(spark, d):
+    r = _records(spark, d)
+    reason = filters.corpus_reason(C("doc_type"), C("title"), C("url"), C("content"), lit("en"))
+    return filters.reason_counts(r.select(reason.alias("reason")), "reason")
+
+
+@query(f"""with s as (select doc_id, trim(substr(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), 1, 2000), '') as t from documents), w as (select doc_id, t, regexp_extract_all(lower(t), '\\S+') as w from s)
+select doc_id, length(t) < 80 or {S.hits('w', R.STOP_WORDS)} >= 0.12 * len(w) as english from w""")
+def language_predicate(spark, d):
+    return _docs(spark, d).select("doc_id", filters.is_english(C("text")).alias("english"))
+
+
+@query(f"""with {S.RECORDS}, p as (select id, unnest(string_split(content, chr(10))) as raw, generate_subscripts(string_split(content, chr(10)), 1) as line_no from rec where content is not null),
+l as (select id, line_no, regexp_replace(raw, '\\r$', '') as line from p) select id, line_no::bigint as line_no, {S.drop_line('line')} as scraper_drop, {S.corpus_line('line')} as corpus_drop from l""")
+def line_noise_filter(spark, d):
+    lines = cleaning.lines_of(_records(spark, d), "id", "content")
+    return lines.select("id", "line_no", T.drop_line(C("line")).alias("scraper_drop"), T.drop_corpus_line(C("line")).alias("corpus_drop"))
+
+
+def _paragraph_sql() -> tuple[str, str]:
+    low = S.heading("p")
+    t = S.tokens(low)
+    a = f"({low} = '' or {S.any_of(low, R.PARAGRAPH_DROP_PHRASES)} or len({t}) = 0 or (len({t}) <= 40 and {S.hits(t, R.PROMOTIONAL_HINTS)} >= 3) or regexp_matches({low}, '^(?:table |see table |title of the talk|about the speaker)'))"
+    lw = "lower(trim(p))"
+    u = f"list_filter({S.tokens(lw)}, lambda y: not {S.noise('y')})"
+    n, meta, refs, promo = f"len({u})", S.hits(u, R.SYLLABUS_METADATA), S.hits(u, R.REFERENCE_TOKENS), S.hits(u, R.PROMOTIONAL_HINTS)
+    acad = f"(({n} <= 20 and {meta} >= 3) or ({n} <= 30 and {refs} >= 3) or {meta} >= greatest(5, floor({n} / 4)) or {refs} >= greatest(5, floor({n} / 4)) or {promo} >= greatest(4, floor({n} / 5)))"
+    other = f"({S.hits(u, R.PEDAGOGY_TOKENS)} >= greatest(6, floor({n} / 5)) and {S.hits(u, R.DOMAIN_TOKENS)} <= 3)"
+    b = f"({lw} = '' or {S.any_of(lw, R.PARAGRAPH_DROP_PHRASES)} or {n} = 0 or case when coalesce(doc_type, '') in {S.words(R.ACADEMIC_TYPES)} then {acad} else {other} end)"
+    return a, b
+
+
+@query(f"""with x as (select doc_id, doc_type, unnest(string_split(text, chr(10))) as p, generate_subscripts(string_split(text, chr(10)), 1) as k from documents)
+select doc_id, k::bigint as k, {_paragraph_sql()[0]} as scraper_drop, {_paragraph_sql()[1]} as corpus_drop from x""")
+def paragraph_filter(spark, d):
+    x = _docs(spark, d).select("doc_id", "doc_type", F.posexplode(F.split("text", "\n")).alias("pos", "p"))
+    return x.select("doc_id", (C("pos") + 1).cast("long").alias("k"), T.drop_paragraph(C("p")).alias("scraper_drop"), T.drop_corpus_paragraph(C("p"), C("doc_type")).alias("corpus_drop"))
+
+
+@query(f"with {S.SEGMENTS} select segment_id, {S.roster('t')} as roster, {S.low_signal('t')} as low_signal, {S.skip_sequence('t')} as skipped from seg")
+def segment_flags(spark, d):
+    return _segments(spark, d).select("segment_id", T.is_roster(C("t")).alias("roster"), T.is_low_signal(C("t")).alias("low_signal"), T.skip_sequence(C("t")).alias("skipped"))
+
+
+@query(f"with {S.SEGMENTS}, w as (select distinct unnest(t) as token from seg) select token, {S.noise('token')} as noise from w")
+def noise_tokens(spark, d):
+    return _segments(spark, d).select(F.explode("t").alias("token")).distinct().select("token", T.is_noise(C("token")).alias("noise"))
+
+
+@query(f"with {S.RECORDS} select id, {S.heading('title')} as heading, {S.drop_heading(S.heading('title'))} as dropped from rec where title is not null")
+def title_headings(spark, d):
+    r = _records(spark, d).where("title is not null")
+    h = T.normalize_heading(C("title"))
+    return r.select("id", h.alias("heading"), T.is_drop_heading(h).alias("dropped"))
+
+
+@query()
+def title_tokens(spark, d):
+    r = _records(spark, d).withColumn("tokens", T.title_tokens(C("title")))
+    return r.select("id", F.array_join("tokens", " ").alias("tokens"), T.use_title(C("doc_type"), C("tokens"), C("title")).alias("used"))
+
+
+@query()
+def section_skip_clean(spark, d):
+    return _records(spark, d).select("id", cleaning.clean_scraped(C("content"), ascii_only=False).alias("cleaned"))
+
+
+@query()
+def corpus_clean(spark, d):
+    return _docs(spark, d).select("doc_id", cleaning.clean_corpus(C("text"), ascii_only=False).alias("cleaned"))
+
+
+# ---- sequences ----
+
+
+@query(f"""with x as (select doc_id, {S.tokens('text')} as t from documents), s as (select doc_id, t, unnest(case when len(t) <= 96 then [0] else list_filter(range(0, len(t), 86), lambda s: s = 0 or (s - 86 + 96 < len(t) and len(t) - s >= 15)) end) as s from x)
+select doc_id, s::bigint as s, array_to_string(t[s + 1 : s + 96], ' ') as tokens from s""")
+def segment_windows(spark, d):
+    x = _docs(spark, d).select("doc_id", T.tokens(C("text")).alias("t")).select("doc_id", F.posexplode(sequences.overlapping_windows(C("t"))).alias("k", "w"))
+    return x.select("doc_id", (C("k") * 86).cast("long").alias("s"), F.array_join("w", " ").alias("tokens"))
+
+
+@query("""with x as (select doc_id, list_filter(string_split(text, chr(10)), lambda y: trim(y) <> '') as l from documents),
+y as (select doc_id, l, len(l) as n, case when len(l) <= 12 then l else list_transform(range(0, 12), lambda i: l[least(floor(i * len(l) / 12), len(l) - 1)::bigint + 1]) end as s from x),
+u as (select doc_id, n, unnest(s) as line, generate_subscripts(s, 1) as k from y), f as (select doc_id, line, k, row_number() over (partition by doc_id, line order by k) as r, n from u)
+select doc_id, line, k::bigint as k from f where n <= 12 or r = 1""")
+def segment_sampling(spark, d):
+    x = _docs(spark, d).select("doc_id", F.filter(F.split("text", "\n"), lambda y: F.btrim(y) != "").alias("l"))
+    n = F.size("l")
+    picks = F.when(n <= 12, C("l")).otherwise(F.transform(F.sequence(lit(0), lit(11)), lambda i: F.element_at("l", (F.least(F.floor(i * n / lit(12)), n - 1) + 1).cast("int"))))
+    first = x.select("doc_id", picks.alias("p"), F.explode(sequences.even_sample(C("l"), 12)).alias("line"), n.alias("n"), F.monotonically_increasing_id().alias("_"))
+    small = x.where(n <= 12).select("doc_id", F.posexplode("l").alias("pos", "line")).select("doc_id", "line", (C("pos") + 1).cast("long").alias("k"))
+    large = first.where("n > 12").select("doc_id", "line", F.array_position("p", C("line")).cast("long").alias("k"))
+    return small.unionByName(large)
+
+
+def _line_sequences(spark, d):
+    x = _docs(spark, d).select("doc_id", F.flatten(F.transform(F.filter(F.split("text", "\n"), lambda p: F.btrim(p) != ""), T.sentences)).alias("s"))
+    return x.select("doc_id", F.filter(F.transform("s", T.tokens), lambda t: F.size(t) > 0).alias("seqs"))
+
+
+@query()
+def segment_packing(spark, d):
+    return sequences.pack_documents(_line_sequences(spark, d), "doc_id", "seqs")
+
+
+@query()
+def corpus_segments(spark, d):
+    return pipeline.build(_docs(spark, d).withColumn("title", lit(None).cast("string")), "doc_id", "text", "doc_type", "title", lang="lang").segments
+
+
+# ---- vectors ----
+
+_UNIT = "u as (select vec_id, label, list_transform(embedding, lambda x: x::double / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))), 1e-12)) as v from embeddings where embedding is not null)"
+
+
+@query(f"""with {_UNIT}, s as (select q.vec_id as query, x.vec_id, round(list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2])), 6) as similarity from u q join u x on q.vec_id <> x.vec_id where q.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query order by similarity desc, vec_id) as rank from s) select query, vec_id, similarity, rank::bigint as rank from r where rank <= 10""")
+def vector_neighbors(spark, d):
+    v = read_table(spark, d, "embeddings")
+    r = similarity.neighbours(v, v.where("vec_id % 20 = 0"), "vec_id", "embedding", 10)
+    return r.select("query", "vec_id", "similarity", C("rank").cast("long").alias("rank"))
+
+
+@query(f"""with {_UNIT}, t as (select a.vec_id as a, b.vec_id as b, c.vec_id as c, list_transform(list_zip(a.v, b.v, c.v), lambda p: p[2] - p[1] + p[3]) as g from u a join u b on b.vec_id = a.vec_id + 1 join u c on c.vec_id = a.vec_id + 2 where a.vec_id in (0, 30, 60, 90, 120)),
+g as (select a, b, c, list_transform(g, lambda x: x / greatest(sqrt(list_sum(list_transform(g, lambda y: y * y))), 1e-12)) as g from t),
+s as (select a, b, c, vec_id, round(list_sum(list_transform(list_zip(u.v, g.g), lambda p: p[1] * p[2])), 6) as similarity from g, u where vec_id not in (a, b, c)),
+r as (select *, row_number() over (partition by a, b, c order by similarity desc, vec_id) as rank from s) select a, b, c, vec_id, similarity, rank::bigint as rank from r where rank <= 5""")
+def vector_analogy(spark, d):
+    v = read_table(spark, d, "embeddings").where("embedding is not null")
+    triples = spark.createDataFrame([(i, i + 1, i + 2) for i in (0, 30, 60, 90, 120)], "a bigint, b bigint, c bigint")
+    return similarity.analogies(v, triples, "vec_id", "embedding", 5).select("a", "b", "c", "vec_id", "similarity", C("rank").cast("long").alias("rank"))
+
+
+@query("with x as (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as dim from embeddings where embedding is not null) select label, dim::bigint as dim, round(avg(x), 6) as value, count(*)::bigint as members from x group by 1, 2")
+def vector_label_centroids(spark, d):
+    return similarity.centroids(read_table(spark, d, "embeddings"), "label", "embedding")
+
+
+@query()
+def pca_2d(spark, d):
+    return similarity.pca(read_table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+RUNS = [("cbow", 100, 5, 5, 2.31, 2.10), ("cbow", 200, 5, 10, 2.31, 2.05), ("cbow", 50, 2, 5, 2.40, 2.20), ("skipgram", 100, 2, 5, 3.10, 3.00), ("skipgram", 100, 5, 5, 3.10, 2.90), ("skipgram", 200, 2, 10, None, 2.70)]
+_RUNS = ", ".join(f"('{m}', {a}, {b}, {c}, {v if v is not None else 'null'}, {f})" for m, a, b, c, v, f in RUNS)
+
+
+@query(f"""with r as (select * from (values {_RUNS}) t(model, dim, "window", negatives, validation_loss, final_loss)), k as (select *, row_number() over (partition by model order by validation_loss nulls last, final_loss, case when "window" = 2 then 0 else 1 end, case when negatives = 10 then 0 else 1 end, dim) as a,
+row_number() over (partition by model order by validation_loss nulls last, final_loss) as b from r) select model, dim::bigint as dim, "window"::bigint as "window", negatives::bigint as negatives, a = 1 as by_all_keys, b = 1 as by_loss from k where a = 1 or b = 1""")
+def best_run(spark, d):
+    r = spark.createDataFrame(RUNS, "model string, dim bigint, window bigint, negatives bigint, validation_loss double, final_loss double")
+    key = ["model", "dim", "window", "negatives"]
+    loss = [C("validation_loss").asc_nulls_last(), C("final_loss").asc()]
+    a = similarity.best_runs(r, "model", [*loss, (C("window") != 2).asc(), (C("negatives") != 10).asc(), C("dim").asc()]).select(*key, lit(True).alias("by_all_keys"))
+    b = similarity.best_runs(r, "model", loss).select(*key, lit(True).alias("by_loss"))
+    no = lit(False)
+    return a.join(b, key, "full").select(*key, F.coalesce("by_all_keys", no).alias("by_all_keys"), F.coalesce("by_loss", no).alias("by_loss"))
+
+
+@query()
+def w2v_train(spark, d):
+    s, v = _segments(spark, d), _vocab(spark, d)
+    runs = embedding.run_grid(vocabulary.encode(s, "segment_id", "t", v), v, [embedding.Config(m, 32, 2, 5, epochs=2) for m in ("cbow", "skipgram")], sample=1500)
+    return runs.select("run_no", "model", "dim", "window", "negatives", "final_loss", "validation_loss", "stopped_early", F.size("input").alias("rows"))
+
+
+# ---- names ----
+
+_NAMES = "nm as (select regexp_replace(lower(name), '\\s+', '', 'g') as name from nameline where name is not null), nn as (select name, count(*) as copies from nm where name <> '' group by 1)"
+
+
+def _names(spark, d):
+    return names.load(read_table(spark, d, "nameline"), "name", allow_repeats=True)
+
+
+@query(f"with {_NAMES} select name, copies::bigint as copies from nn")
+def name_list(spark, d):
+    return _names(spark, d)
+
+
+@query(f"""with {_NAMES}, c as (select name, list_concat(list_concat(['<bos>'], string_split(name, '')), ['<eos>']) as c from nn), k as (select name, c, unnest(range(1, len(c))) as k from c)
+select name, array_to_string(c[1:k], ' ') as prefix, c[k + 1] as next from k""")
+def name_prefixes(spark, d):
+    return sequences.prefixes(_names(spark, d), "name")
+
+
+@query(f"""with {_NAMES}, c as (select distinct unnest(string_split(name, '')) as token from nn) select token, (row_number() over (order by token) + 2)::bigint as idx from c union all select * from (values ('<pad>', 0::bigint), ('<bos>', 1::bigint), ('<eos>', 2::bigint)) t(token, idx)""")
+def name_characters(spark, d):
+    return names.characters(_names(spark, d))
+
+
+@query(f"with {_NAMES} select name, name as decoded, (length(name) + 2)::bigint as n from nn")
+def name_encoding(spark, d):
+    n = _names(spark, d)
+    chars = names.characters(n)
+    e = names.encode(n, chars)
+    return names.decode(e, chars).join(e, "name").select("name", "decoded", F.size("ids").cast("long").alias("n"))
+
+
+_SAMPLES = "with sm as (select lower(string_split(c_name, '#')[1]) || (c_custkey % 50)::varchar as name from customer), kn as (select distinct lower(string_split(c_name, '#')[1]) || (c_custkey % 70)::varchar as name from customer where c_custkey % 3 = 0), ct as (select name, count(*) as n from sm where name is not null group by 1), mk as (select ct.*, kn.name is not null as known from ct left join kn using (name))"
+
+
+def _samples(spark, d):
+    c = read_table(spark, d, "customer")
+    base = F.lower(F.substring_index("c_name", "#", 1))
+    return c.select(F.concat(base, (C("c_custkey") % 50).cast("string")).alias("name")), c.where("c_custkey % 3 = 0").select(F.concat(base, (C("c_custkey") % 70).cast("string")).alias("name")).distinct()
+
+
+@query(f"{_SAMPLES} select sum(n)::bigint as generated, count(*)::bigint as unique, coalesce(sum(n) filter (not known), 0)::bigint as novel, round(coalesce(sum(n) filter (not known), 0) / sum(n), 6) as novelty_rate, round(count(*) / sum(n), 6) as diversity, round(sum(n * length(name)) / sum(n), 6) as average_length from mk")
+def sample_metrics(spark, d):
+    m = names.sample_metrics(*_samples(spark, d))
+    return m.select("generated", "unique", "novel", *[F.round(c, 6).alias(c) for c in ("novelty_rate", "diversity", "average_length")])
+
+
+@query(f"""{_SAMPLES} select coalesce(sum(n) filter (known), 0)::bigint as copied, sum(n - 1)::bigint as repeats, coalesce(sum(n) filter (length(name) <= 3), 0)::bigint as short, coalesce(sum(n) filter (length(name) >= 13), 0)::bigint as long,
+coalesce(sum(n) filter (len(list_filter(range(1, length(name) - 1), lambda i: name[i] = name[i + 1] and name[i] = name[i + 2])) > 0), 0)::bigint as stutters from mk""")
+def failure_modes(spark, d):
+    return names.failure_modes(*_samples(spark, d))
+
+
+@query("select p_name as name, min(p_partkey)::bigint as first_at from part where p_name is not null group by 1 order by 2, 1 limit 12")
+def first_distinct(spark, d):
+    return sequences.first_distinct(read_table(spark, d, "part").withColumnRenamed("p_name", "name"), "name", "p_partkey")
+
+
+@query()
+def name_generate(spark, d):
+    return names.generate(_names(spark, d), 300)
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -1 +1 @@
-"""corpusmill.sources"""
+"""Sources and sinks."""

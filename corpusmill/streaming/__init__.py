@@ -1 +1 @@
-"""corpusmill.streaming"""
+"""The page pipeline as a stream."""
