@@ -156,7 +156,7 @@ def _weak_labels(p: P.Page, titles: np.ndarray) -> np.ndarray:
     y[long | (p.shape["answer"] == 1)] = 0
     seps = (p.shape["separators"] >= 2) & ~p.sentence & (p.n_words <= 30) & (p.shape["digits"] == 0)
     y[furniture & (~long | (p.n_words <= 32))] = 1
-    y[(df > 0.01) & (p.n_words <= 3) & (p.n_tok > 0) & (p.shape["stop"] == 0) & (p.shape["numbered"] == 0) & (p.shape["colon"] == 0) & ~np.array([(":" in t) or ("=" in t) for t in text], bool)] = 1
+    y[(df > 0.01) & (df * p.n_docs >= 5) & (p.n_words <= 3) & (p.n_tok > 0) & (p.shape["stop"] == 0) & (p.shape["numbered"] == 0) & (p.shape["colon"] == 0) & ~np.array([(":" in t) or ("=" in t) for t in text], bool)] = 1
     y[title_like] = 1
     has = np.bincount(p.doc[y == 1], minlength=p.n_docs) > 0
     running = p.per_doc(long) > 0

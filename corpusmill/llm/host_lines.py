@@ -92,7 +92,7 @@ def remove_repeated(records: DataFrame, **options) -> DataFrame:
     from corpusmill.llm.records import without_repeats
 
     places = repeated_places(records, **options).groupBy("id").agg(F.collect_set("line_no").alias("drop_lines"))
-    rows = without_repeats(records).join(places, "id", "left")
+    rows = without_repeats(records.where("content is not null")).join(places, "id", "left")
     gone = F.coalesce("drop_lines", F.array().cast("array<bigint>"))
     kept = F.filter(F.split("content", "\n"), lambda x, i: ~F.array_contains(gone, (i + 1).cast("long")))
     return rows.select("id", F.array_join(kept, "\n").alias("content"))

@@ -122,7 +122,7 @@ def _ratio(a: np.ndarray, b: np.ndarray, alpha: float = 0.3, usual: float = 0.0)
     size = len(a)
     p = (a + alpha * (a.sum() / size + 1e-3)) / (a.sum() * (1 + alpha) + 1)
     q = (b + alpha * (b.sum() / size + 1e-3)) / (b.sum() * (1 + alpha) + 1)
-    r = np.clip(np.log(p / q), -4, 4)
+    r = np.where((a == 0) & (b == 0), 0, np.clip(np.log(p / q), -4, 4))  # what nobody wrote is no evidence
     if usual:  # what other text says now and then is no evidence
         r = np.where(b > usual * b.sum(), np.minimum(r, 0), r)
     return r.astype(np.float32)
@@ -202,7 +202,8 @@ def scan(m: Model, texts: list[bytes]) -> Found:
     g = grams(B.lowered(buf))
     filler = _mean(m.filler[g], start, end)
     error = _mean(m.error[g], start, end)
-    lines = Found(doc, no, size[keep], (filler > s.line_ratio) & (filler >= error), error > s.line_ratio, np.zeros(len(texts), bool), start, end)
+    long = end - start >= ORDER + 3  # one odd n-gram is not enough
+    lines = Found(doc, no, size[keep], long & (filler > s.line_ratio) & (filler >= error), long & (error > s.line_ratio), np.zeros(len(texts), bool), start, end)
     # placeholders: windows of a high ratio around characters of template notations
     ratio = m.mark[g]
     c = np.zeros(len(ratio) + 1)
