@@ -44,11 +44,11 @@ def normalize_heading(text: Column) -> Column:
 
 
 def is_drop_heading(heading: Column) -> Column:
-    return heading.isin(*R.SECTION_DROP_HEADINGS) | heading.rlike("^(?:" + "|".join(R.SECTION_DROP_PREFIXES) + ")")
+    return heading.rlike("^(?:(?:" + "|".join(R.SECTION_DROP_HEADINGS) + ")$|" + "|".join(R.SECTION_DROP_PREFIXES) + ")")
 
 
 def is_generic_heading(heading: Column) -> Column:
-    return heading.isin(*R.GENERIC_HEADINGS) | heading.rlike("^(?:" + "|".join(R.GENERIC_HEADING_PREFIXES) + ")")
+    return heading.rlike("^(?:(?:" + "|".join(R.GENERIC_HEADINGS) + ")$|" + "|".join(R.GENERIC_HEADING_PREFIXES) + ")")
 
 
 def replace_all(text: Column, pairs) -> Column:
@@ -178,12 +178,27 @@ def drop_line(line: Column) -> Column:
 def drop_corpus_line(line: Column) -> Column:
     """Corpus builder's line rule."""
     low = F.lower(F.btrim(line))
-    words = F.regexp_extract_all(low, lit("[a-z]+"), lit(0))
-    toks, n, h = tokens(low), F.size(words), hits(words, R.ANNOUNCEMENT_HINTS)
+    return _drop_corpus_line(low, _line_words(low), tokens(low))
+
+
+def kept_corpus_lines(lines: Column) -> Column:
+    """The lines with those that the rule drops made empty; words and tokens of a line are found once."""
+    low = F.transform(lines, lambda x: F.struct(x.alias("x"), F.lower(F.btrim(x)).alias("low")))
+    read = F.transform(low, lambda s: F.struct(s["x"].alias("x"), s["low"].alias("low"), _line_words(s["low"]).alias("w"), tokens(s["low"]).alias("t")))
+    return F.transform(read, lambda s: F.when(_drop_corpus_line(s["low"], s["w"], s["t"]), "").otherwise(s["x"]))
+
+
+def _line_words(low: Column) -> Column:
+    return F.regexp_extract_all(low, lit("[a-z]+"), lit(0))
+
+
+def _drop_corpus_line(low: Column, words: Column, toks: Column) -> Column:
+    n, h = F.size(words), hits(words, R.ANNOUNCEMENT_HINTS)
     codes = F.size(F.filter(toks, lambda t: t.rlike(R.COURSE_CODE)))
+    roster = (hits(toks, R.DEGREE_HINTS) >= 4) & is_roster(F.filter(toks, lambda t: ~is_noise(t)))
     return (
-        (low == "") | low.rlike(r"^(?:page\s+\d+|\d+\s*\|\s*page|\d+)$") | low.startswith("table ") | low.startswith("see table ") | any_of(low, R.PARAGRAPH_DROP_PHRASES) | (codes >= 2) | is_roster(F.filter(toks, lambda t: ~is_noise(t)))
-        | (n == 0) | ((n <= 2) & (F.size(F.filter(words, lambda w: F.length(w) > 1)) == 0)) | ((n <= 3) & (hits(words, R.NOISE_TOKENS) == n)) | ((n <= 10) & (h >= 2)) | ((n <= 18) & (h >= 3)) | low.startswith("download file")
+        (low == "") | (n == 0) | low.rlike(r"^(?:(?:page\s+\d+|\d+\s*\|\s*page|\d+)$|table |see table |download file)") | any_of(low, R.PARAGRAPH_DROP_PHRASES) | (codes >= 2) | roster
+        | ((n <= 2) & (F.size(F.filter(words, lambda w: F.length(w) > 1)) == 0)) | ((n <= 3) & (hits(words, R.NOISE_TOKENS) == n)) | ((n <= 10) & (h >= 2)) | ((n <= 18) & (h >= 3))
     )
 
 

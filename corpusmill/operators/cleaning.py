@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusmill.functions import text as T
+from corpusmill.functions import rules as R, text as T
 
 C, lit = F.col, F.lit
 HEADING = r"^(#{1,6})\s+(.+)$"
@@ -20,18 +20,16 @@ def _scan(lines: Column) -> Column:
     """
     start = F.struct(lit(0).alias("level"), lit(False).alias("plain"), F.array().cast("array<string>").alias("kept"))
 
-    def facts(raw: Column) -> Column:
-        line = raw
+    def split(line: Column) -> Column:
         mark = F.regexp_extract(line, HEADING, 1)
-        body = F.regexp_extract(line, HEADING, 2)
-        norm = T.normalize_heading(line)
-        head = T.normalize_heading(body)
-        short = F.size(T.tokens(norm)) <= 10
-        text = F.when(mark != "", F.btrim(body)).otherwise(F.regexp_replace(F.regexp_replace(line, BULLET, ""), NUMBER, ""))
-        return F.struct(
-            (line == "").alias("blank"), F.length(mark).alias("mark"), F.when(mark != "", T.is_drop_heading(head)).otherwise(T.is_drop_heading(norm) & short).alias("drop"),
-            F.when(mark != "", T.is_generic_heading(head)).otherwise(T.is_generic_heading(norm) & short).alias("generic"), T.drop_line(line).alias("bad"), text.alias("text"),
-        )
+        return F.struct(line.alias("line"), F.length(mark).alias("mark"), F.when(mark != "", F.btrim(F.regexp_extract(line, HEADING, 2))).otherwise(line).alias("body"))
+
+    def facts(x: Column) -> Column:
+        text = F.when(x["mark"] > 0, x["body"]).otherwise(F.regexp_replace(F.regexp_replace(x["line"], BULLET, ""), NUMBER, ""))
+        short = (x["mark"] > 0) | (F.size(T.tokens(x["norm"])) <= 10)
+        drop = T.is_drop_heading(x["norm"])
+        bad = x["line"].isin("-", "*", "o") | drop | x["line"].rlike(T.alternation(R.LINE_DROP_PATTERNS))
+        return F.struct((x["line"] == "").alias("blank"), x["mark"].alias("mark"), (drop & short).alias("drop"), (T.is_generic_heading(x["norm"]) & short).alias("generic"), bad.alias("bad"), text.alias("text"))
 
     def step(s: Column, x: Column) -> Column:
         heading = x["mark"] > 0
@@ -44,7 +42,10 @@ def _scan(lines: Column) -> Column:
         kept = F.when(x["blank"], F.when((n > 0) & (last != ""), F.concat(s["kept"], F.array(lit("")))).otherwise(s["kept"])).when(skip, s["kept"]).otherwise(F.concat(s["kept"], F.array(x["text"])))
         return F.struct(level.cast("int").alias("level"), plain.alias("plain"), kept.alias("kept"))
 
-    return F.aggregate(F.transform(F.transform(lines, lambda x: F.btrim(x, lit(" \t\r"))), facts), start, step, lambda s: s["kept"])
+    # each transform names what the next one uses more than once
+    parts = F.transform(F.transform(lines, lambda x: F.btrim(x, lit(" \t\r"))), split)
+    normed = F.transform(parts, lambda x: F.struct(x["line"].alias("line"), x["mark"].alias("mark"), x["body"].alias("body"), T.normalize_heading(x["body"]).alias("norm")))
+    return F.aggregate(F.transform(normed, facts), start, step, lambda s: s["kept"])
 
 
 def _paragraphs(text: Column, least: int = 10) -> Column:
@@ -83,7 +84,7 @@ def clean_corpus(text: Column, ascii_only: bool = True) -> Column:
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\[[^\]]*\]", " "), "[*`~><]+", " "), r"\|+", "\n")
     lines = F.transform(F.split(t, "\n"), lambda x: F.btrim(F.regexp_replace(x, r"\s+", " "), lit(" -:\t")))
     # dropped lines part paragraphs, as empty ones do
-    text = F.array_join(F.transform(lines, lambda x: F.when(T.drop_corpus_line(x), "").otherwise(x)), "\n")
+    text = F.array_join(T.kept_corpus_lines(lines), "\n")
     merged = F.transform(F.filter(F.split(text, r"\n{2,}"), lambda p: F.btrim(p, lit("\n ")) != ""), lambda p: F.regexp_replace(F.btrim(p, lit("\n ")), r"\s*\n\s*", " "))
     spaced = F.transform(merged, lambda p: F.btrim(F.regexp_replace(F.regexp_replace(p, r"\s*([.!?;:])\s*", "$1 "), r"[ \t]+", " ")))
     return F.array_join(F.filter(spaced, lambda p: p != ""), "\n\n")

@@ -40,7 +40,7 @@ def candidate_segments(docs: DataFrame, key: str, text: str, doc_type: str, titl
     return per.select(key, F.posexplode(sequences.even_sample(C("s"))).alias("segment_index", "tokens"))
 
 
-def build(docs: DataFrame, key: str, text: str, doc_type: str, title: str, url: str | None = None, lang: str | None = None, reexpand: bool = False, min_phrase_count: int = R.PHRASE_MIN_COUNT) -> Result:
+def build(docs: DataFrame, key: str, text: str, doc_type: str, title: str, url: str | None = None, lang: str | None = None, reexpand: bool = False, min_phrase_count: int = R.PHRASE_MIN_COUNT, term_ratio: float = R.DROP_TERM_RATIO) -> Result:
     """The whole corpus builder. With `reexpand` merged phrases outside the list of compounds are split again."""
     address = C(url) if url else lit(None).cast("string")
     judged = docs.withColumn("_reason", filters.corpus_reason(C(doc_type), C(title), address, C(text), C(lang) if lang else None))
@@ -55,7 +55,7 @@ def build(docs: DataFrame, key: str, text: str, doc_type: str, title: str, url:
         merged = merged.withColumn("_k", lit(0))
     joined = merged.groupBy("_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "_k", "token"))), lambda x: x["token"]).alias("tokens"), F.sum(C("merged").cast("long")).alias("phrase_merges"))
     second = materialize(first.select("_id", key, "segment_index").join(joined, "_id"))
-    gone = materialize(sequences.exclusion_tokens(second, "tokens"))
+    gone = materialize(sequences.exclusion_tokens(second, "tokens", term_ratio=term_ratio))
     left = sequences.remove_tokens(second, "_id", "tokens", gone).where(~T.is_low_signal(C("tokens")))
     final = left.join(second.select("_id", key, "segment_index", "phrase_merges"), "_id")
     unique = dedup.segments_by_hash(final, "tokens", [key, "segment_index"]).select(key, "segment_index", "tokens", "phrase_merges", "copies")
