@@ -205,6 +205,11 @@ def _weak_labels(p: P.Page, titles: np.ndarray) -> np.ndarray:
     return y
 
 
+def is_title(p: P.Page, keys: np.ndarray) -> np.ndarray:
+    """Lines of at least two words that repeat the record's title."""
+    return (keys[0][p.doc] == p.line_keys()) & (keys[0][p.doc] != 0) & (p.n_tok >= 2)
+
+
 def train(texts: list[str], titles: list[str | None], common: list[str], s: Settings = Settings()) -> np.ndarray:
     """Classifier weights from a sample of pages."""
     p = P.Page.of([t.encode("utf-8", "replace") for t in texts], P.word_hashes(common))
@@ -212,7 +217,7 @@ def train(texts: list[str], titles: list[str | None], common: list[str], s: Sett
     if not len(p):
         return np.zeros(1 << P.SPACE_BITS, np.float32)
     y = _weak_labels(p, keys)
-    y[(keys[0][p.doc] == p.line_keys()) & (keys[0][p.doc] != 0) & (p.n_tok >= 2)] = 0
+    y[is_title(p, keys)] = 0
     at, key = P.features(p, keys)
     w = P.fit_logistic(at, key, np.maximum(y, 0), (y >= 0) * 1.0)
     z = np.bincount(at, weights=w[key], minlength=len(p))
@@ -227,9 +232,13 @@ class Model:
     settings: Settings
 
     def label(self, texts: list[bytes], titles: list[bytes]) -> tuple[P.Page, np.ndarray]:
-        """Lines of the texts and 1 for those outside the body."""
+        """Lines of the texts and 1 for those outside the body. A line that is the title is tied to the body."""
         p = P.Page.of(texts, self.common)
-        return p, cut_lines(p, P.logits(self.weights, p, P.title_keys(titles)), self.settings)
+        keys = P.title_keys(titles)
+        z = P.logits(self.weights, p, keys)
+        if len(p):
+            z[is_title(p, keys)] = -2 * self.settings.clip
+        return p, cut_lines(p, z, self.settings)
 
 
 def sample(records: DataFrame, n: int) -> list:

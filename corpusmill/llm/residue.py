@@ -57,7 +57,7 @@ MENTION_SEEDS = (
     "The exercise on shell variables prints ${HOME} and then explains why quoting matters.", "The manual describes the notation {{title}}, which stands for the title of a page.", "In the syntax of the tool, a field is written as <%= name %>, for example.",
     "The lesson shows how %USER% is expanded when the script runs.",
 )
-_FIELDS = ("title", "name", "date", "author", "summary", "body", "contact", "amount", "department", "heading", "course_code", "event_title", "dean_name", "email", "address", "description")
+_FIELDS = ("title", "name", "date", "author", "summary", "body", "contact", "amount", "department", "heading", "course_code", "event_title", "dean_name", "email", "address", "description", "room", "phone", "place", "year", "code", "number", "image", "link", "url", "city", "street", "time", "page", "section", "item", "caption", "footer", "header", "user", "id", "first_name", "office", "course", "text", "content", "subject", "company", "value")
 _FORMS = (
     "{{ %s }}", "{{%s}}", "{{{%s}}}", "{%% if %s %%}", "{%% block %s %%}", "${%s}", "<%%= %s %%>", "<?php echo %s ?>", "[[%s]]", "*|%s|*", "%%%s%%", "__%s__", "$$%s$$", "@Model.%s", "{%s}", "#{%s}",
     "[Your %s]", "[INSERT %s HERE]", "[%s to be confirmed by web team]", "(%s goes here)", "<enter %s>", "&lt;%s&gt;", "TODO: add %s", "[object Object]", "[%s]", "<%s>", "Dear [%s],", "TBD: %s",
@@ -105,7 +105,8 @@ def grams(low: np.ndarray) -> np.ndarray:
     h = np.zeros(n, np.uint32)
     with np.errstate(over="ignore"):
         for k, m in enumerate(_MUL[:ORDER]):
-            h[: n - k] = (h[: n - k] ^ x[k:]) * m
+            if k < n:
+                h[: n - k] = (h[: n - k] ^ x[k:]) * m
     return (h >> np.uint32(32 - BITS)).astype(np.int32)
 
 
@@ -159,7 +160,7 @@ def train(texts: list[str], s: Settings = Settings()) -> Model:
                 else:
                     other.append(x)
     o = _count(other)
-    return Model(_ratio(_count(filler * 3), o, usual=3e-6), _ratio(_count(error), o, usual=1e-4), _ratio(_count(marks), o), _ratio(_count(mention), o), s)
+    return Model(_ratio(_count(filler * 3), o, usual=3e-6), _ratio(_count(error), o, usual=3e-5), _ratio(_count(marks), o), _ratio(_count(mention), o), s)
 
 
 def _mean(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
