@@ -156,7 +156,7 @@ def _weak_labels(p: P.Page, titles: np.ndarray) -> np.ndarray:
     y[long | (p.shape["answer"] == 1)] = 0
     seps = (p.shape["separators"] >= 2) & ~p.sentence & (p.n_words <= 30) & (p.shape["digits"] == 0)
     y[furniture & (~long | (p.n_words <= 32))] = 1
-    y[(df > 0.01) & (df * p.n_docs >= 5) & (p.n_words <= 3) & (p.n_tok > 0) & (p.shape["stop"] == 0) & (p.shape["numbered"] == 0) & (p.shape["colon"] == 0) & ~np.array([(":" in t) or ("=" in t) for t in text], bool)] = 1
+    y[(df > 0.01) & (df * p.n_docs >= 5) & (p.n_words <= 3) & (p.n_tok > 0) & (p.shape["stop"] == 0) & (p.shape["numbered"] == 0) & (p.shape["bullet"] == 0) & (p.shape["colon"] == 0) & ~np.array([(":" in t) or ("=" in t) for t in text], bool)] = 1
     y[title_like] = 1
     has = np.bincount(p.doc[y == 1], minlength=p.n_docs) > 0
     running = p.per_doc(long) > 0
@@ -241,11 +241,12 @@ class Model:
         return p, cut_lines(p, z, self.settings)
 
 
-def sample(records: DataFrame, n: int) -> list:
-    """At most `n` records, the same ones for the same data: those with the smallest hashes of id among about 4n candidates."""
+def sample(records: DataFrame, n: int, most_chars: int = 50_000) -> list:
+    """At most `n` records of at most `most_chars` characters to learn from, the same ones for the same data: those with the
+    smallest hashes of id among about 2n candidates."""
     total = records.select("id").count()
     every = max(1, total // (2 * n))
-    picked = records.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
+    picked = records.where((F.pmod(F.xxhash64("id"), F.lit(every)) == 0) & (F.length("content") <= most_chars))
     return picked.orderBy(F.xxhash64("id", F.lit(7)), "id", "content").select("id", "title", "declared_lang", "content").limit(n).collect()
 
 

@@ -67,7 +67,7 @@ def schedule(targets: list[Target], have: dict[str, int], slots: int) -> tuple[f
         mine = np.flatnonzero(owner == i)
         rank = np.arange(len(mine))
         ok = rank < blocks * t.repeats
-        uses[t.source] = np.bincount(rank[ok] % blocks, minlength=blocks)
+        uses[t.source] = np.bincount(rank[ok] % blocks)  # blocks that are met, at most as many as slots
         out += zip(mine[ok].tolist(), [t.source] * int(ok.sum()), (rank[ok] % blocks).tolist(), (rank[ok] // blocks).tolist())
     return block, uses, out
 
@@ -103,10 +103,10 @@ def mix(docs: DataFrame, targets: DataFrame, s: Settings = Settings()) -> DataFr
     placed, have = _placed(docs, goal, s)
     block, uses, _ = schedule(goal, have, s.slots)
     spark = docs.sparkSession
-    rows = [(k, i, int(n)) for k, v in uses.items() for i, n in enumerate(v)]
-    table = spark.createDataFrame(rows, "source string, block bigint, uses bigint")  # at most slots blocks are used, each of `block` tokens
+    rows = [(k, i, int(n)) for k, v in uses.items() for i, n in enumerate(v) if n]
+    table = spark.createDataFrame(rows, "source string, block bigint, uses bigint")  # at most `slots` rows
     at = F.floor((F.col("before") + F.col("tokens") / 2) / F.lit(float(block))).cast("long")  # by its middle a document is off by half its size at most
-    joined = placed.withColumn("block", at).join(table.where("uses > 0"), ["source", "block"], "left")
+    joined = placed.withColumn("block", at).join(F.broadcast(table), ["source", "block"], "left")
     return joined.select("doc_id", "source", "tokens", F.coalesce("uses", F.lit(0)).cast("long").alias("uses"))
 
 

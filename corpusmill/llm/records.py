@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusmill.session import materialize, read_table, small_side
+from corpusmill.operators.dedup import without_repeats  # noqa: F401
+from corpusmill.session import read_table
 
 
 def host_of(url: Column) -> Column:
@@ -24,21 +25,3 @@ def crawl_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("metadata.id").alias("id"), host_of(F.col("metadata.source_url")).alias("host"), F.col("metadata.title").alias("title"),
         F.col("metadata.doc_type").alias("doc_type"), "declared_lang", "ingested_at", "content",
     )
-
-
-def without_repeats(df: DataFrame, id_col: str = "id", order_col: str = "ingested_at", max_broadcast_rows: int = 200_000) -> DataFrame:
-    """Keep the earliest row of each id without shuffling the wide rows where that is possible.
-
-    Ids met more than once are found from two narrow columns. Rows of these ids alone are
-    ordered and reduced; all others pass. The list of such ids is broadcast only after a count
-    shows at most `max_broadcast_rows` of them; beyond that Spark shuffles both sides. Of rows
-    that tie on id and order the one with the smallest content hash stays, so ties and exact repeats
-    leave one row. Null ids are dropped.
-    """
-    df = df.where(F.col(id_col).isNotNull())
-    again = materialize(df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col))
-    once = df.join(small_side(again, max_broadcast_rows), id_col, "left_anti")
-    twice = df.join(small_side(again, max_broadcast_rows), id_col, "left_semi")
-    rest = [c for c in df.columns if c != id_col]
-    first = twice.groupBy(id_col).agg(F.min_by(F.struct(*rest), F.struct(F.col(order_col).isNull(), order_col, F.xxhash64(*rest))).alias("r"))
-    return once.select(*df.columns).unionByName(first.select(id_col, *[F.col("r")[c].alias(c) for c in rest]).select(*df.columns))
