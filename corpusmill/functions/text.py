@@ -23,16 +23,25 @@ def any_of(text: Column, needles) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, parts), lit(False))
 
 
+# an address is read once from its first character: possessive, and not begun in the middle of a run
+EMAIL = r"(?<![a-zA-Z0-9._%+-])[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+
+
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once; plain column functions repeat what they mention twice."""
+    return F.get(F.transform(F.array(value), f), lit(0))
+
+
 def normalize_whitespace(text: Column, ascii_only: bool = True) -> Column:
     """Blank special spaces, URLs and addresses; bullets to newlines; squeeze; at most one empty line in a row; trim."""
     t = F.regexp_replace(text, "[ ​]", " ")
     t = F.regexp_replace(t, r"\r\n?", "\n")
     t = F.regexp_replace(t, r"http\S+|www\.\S+", " ")
-    t = F.regexp_replace(t, r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", " ")
-    t = F.regexp_replace(t, r"[ \t\f]+", " ")
+    t = F.regexp_replace(t, EMAIL, " ")
+    t = F.regexp_replace(t, r"[ \t\f]{2,}|[\t\f]", " ")
     t = F.regexp_replace(t, "[•●▪◆■◦]+", "\n")
     if ascii_only:
-        t = F.regexp_replace(t, r"[^\x00-\x7F]", "")
+        t = F.regexp_replace(t, r"[^\x00-\x7F]+", "")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
     return F.btrim(t, lit(" \n\t"))
 
@@ -91,13 +100,18 @@ def simple_token(token: Column, mapping: dict[str, str] = R.TOKEN_MAP) -> Column
 def _mapped(t: Column, mapping: dict[str, str]) -> Column:
     if not mapping:
         return t
-    table = F.create_map(*[lit(x) for kv in sorted(mapping.items()) for x in kv])
-    return F.coalesce(F.try_element_at(table, t), t)
+    out = t
+    for k, v in sorted(mapping.items(), reverse=True):
+        out = F.when(t == k, v).otherwise(out)
+    return out
 
 
 def lemma(token: Column, lemmas: dict[str, str] = R.LEMMAS) -> Column:
     """Lemma by table, else a regular plural's singular, else the simple token."""
-    t = simple_token(token)
+    return let(simple_token(token), lambda t: _lemma(t, lemmas))
+
+
+def _lemma(t: Column, lemmas: dict[str, str] = R.LEMMAS) -> Column:
     plural = (F.length(t) > 4) & t.endswith("s") & ~t.rlike("(?:ss|us|is)$")
     return F.when(t.isin(*lemmas), _mapped(t, lemmas)).when(plural, F.substring(t, lit(1), F.length(t) - 1)).otherwise(t)
 
@@ -110,17 +124,20 @@ def expand(token: Column, compounds=R.COMPOUNDS) -> Column:
 
 def normalized_tokens(text: Column) -> Column:
     """Tokenize, normalize, expand and drop noise: the corpus builder's regular-expression path."""
-    parts = F.flatten(F.transform(tokens(text), lambda t: expand(lemma(t))))
+    simple = F.transform(tokens(text), lambda t: simple_token(t))
+    parts = F.flatten(F.transform(F.transform(simple, lambda t: _lemma(t)), lambda t: expand(t)))
     return F.filter(parts, lambda t: ~is_noise(t))
 
 
+_MONTH = "(?:" + "|".join(R.MONTHS) + ")"
+NOISE_PATTERN = "|".join((
+    r"^\d+$", R.COURSE_CODE, R.ROMAN, rf"_{_MONTH}(?:_\d{{2,4}})?$", rf"(?:^|_){_MONTH}_", rf"_{_MONTH}$", r"(?:^|_)\d{2,}_", r"_\d{2,}$", "-.*-", R.HEX_LIKE,
+))
+
+
 def is_noise(t: Column) -> Column:
     """Tokens that carry no content: listed, short, numeric, codes, numerals, dates, hashes."""
-    months = "|".join(R.MONTHS)
-    return (
-        t.isin(*R.NOISE_TOKENS) | (F.length(t) <= 1) | t.rlike(r"^\d+$") | t.rlike(R.COURSE_CODE) | t.rlike(R.ROMAN) | t.rlike(rf"_(?:{months})(?:_\d{{2,4}})?$") | t.rlike(rf"(?:^(?:{months})_|_(?:{months})_|_(?:{months})$)")
-        | t.rlike(r"(?:^|_)\d{2,}(?:_)|_\d{2,}$") | (t.rlike(r"\d") & (F.length(t) >= 6)) | (F.length(t) - F.length(F.replace(t, lit("-"), lit(""))) >= 2) | t.rlike(R.HEX_LIKE)
-    )
+    return t.isin(*R.NOISE_TOKENS) | (F.length(t) <= 1) | t.rlike(NOISE_PATTERN) | ((F.length(t) >= 6) & t.rlike(r"\d"))
 
 
 def hits(arr: Column, words) -> Column:
@@ -134,19 +151,24 @@ def distinct_ratio(arr: Column) -> Column:
 
 def is_roster(arr: Column) -> Column:
     """Token lists that read like a list of people or courses."""
-    degree, anchor = hits(arr, R.DEGREE_HINTS), hits(arr, R.ANCHORS)
+    def judge(c: Column) -> Column:
+        people = (c["degree"] >= 4) & ((hits(arr, R.ROSTER_MARKERS) >= 1) | ((c["degree"] >= 5) & (hits(arr, R.ANCHORS) <= 2)) | ((distinct_ratio(arr) >= 0.72) & (hits(arr, R.ANCHORS) <= 4)))
+        return (c["codes"] >= 2) | people
+
     codes = F.size(F.filter(arr, lambda t: t.rlike(R.COURSE_CODE)))
-    return (F.size(arr) > 0) & ((codes >= 2) | ((degree >= 4) & (hits(arr, R.ROSTER_MARKERS) >= 1)) | ((degree >= 5) & (anchor <= 2)) | ((degree >= 4) & (distinct_ratio(arr) >= 0.72) & (anchor <= 4)))
+    return (F.size(arr) > 0) & let(F.struct(hits(arr, R.DEGREE_HINTS).alias("degree"), codes.alias("codes")), judge)
 
 
 def is_low_signal(arr: Column, least: int = R.MIN_SEGMENT_TOKENS) -> Column:
-    n, h = F.size(arr), hits(arr, R.ANNOUNCEMENT_HINTS)
-    return (n < least) | is_roster(arr) | ((n <= 20) & (h >= 3)) | ((n <= 36) & (h >= F.greatest(lit(4), F.floor(n / 4)))) | (h >= F.greatest(lit(6), F.floor(n / 3))) | ((n >= 20) & (distinct_ratio(arr) < 0.3))
+    n = F.size(arr)
+    announced = let(hits(arr, R.ANNOUNCEMENT_HINTS), lambda h: ((n <= 20) & (h >= 3)) | ((n <= 36) & (h >= F.greatest(lit(4), F.floor(n / 4)))) | (h >= F.greatest(lit(6), F.floor(n / 3))))
+    return (n < least) | announced | ((n >= 20) & (distinct_ratio(arr) < 0.3)) | is_roster(arr)
 
 
 def skip_sequence(arr: Column) -> Column:
-    n, h = F.size(arr), hits(arr, R.ANNOUNCEMENT_HINTS)
-    return (n == 0) | is_roster(arr) | ((n <= 8) & (h >= 2)) | ((n <= 12) & (h >= 3)) | ((n <= 4) & (F.size(F.array_distinct(arr)) <= 2))
+    n = F.size(arr)
+    announced = let(hits(arr, R.ANNOUNCEMENT_HINTS), lambda h: ((n <= 8) & (h >= 2)) | ((n <= 12) & (h >= 3)))
+    return (n == 0) | ((n <= 4) & (F.size(F.array_distinct(arr)) <= 2)) | announced | is_roster(arr)
 
 
 def sentences(paragraph: Column) -> Column:
@@ -171,14 +193,14 @@ def use_title(doc_type: Column, toks: Column, title: Column) -> Column:
 def drop_line(line: Column) -> Column:
     """Scraper's line rule: lone bullets, section headings, furniture patterns."""
     s = F.btrim(line)
-    head = normalize_heading(F.regexp_replace(s, "^#+", ""))
-    return (s != "") & (s.isin("-", "*", "o") | is_drop_heading(head) | s.rlike(alternation(R.LINE_DROP_PATTERNS)))
+    short = F.length(s) <= 80  # the headings of the table are short
+    return (s != "") & (s.isin("-", "*", "o") | (short & is_drop_heading(normalize_heading(F.regexp_replace(s, "^#+", "")))) | s.rlike(alternation(R.LINE_DROP_PATTERNS)))
 
 
 def drop_corpus_line(line: Column) -> Column:
     """Corpus builder's line rule."""
     low = F.lower(F.btrim(line))
-    return _drop_corpus_line(low, _line_words(low), tokens(low))
+    return let(F.struct(low.alias("low"), _line_words(low).alias("w"), tokens(low).alias("t")), lambda s: _drop_corpus_line(s["low"], s["w"], s["t"]))
 
 
 def kept_corpus_lines(lines: Column) -> Column:
@@ -193,31 +215,36 @@ def _line_words(low: Column) -> Column:
 
 
 def _drop_corpus_line(low: Column, words: Column, toks: Column) -> Column:
-    n, h = F.size(words), hits(words, R.ANNOUNCEMENT_HINTS)
+    n = F.size(words)
     codes = F.size(F.filter(toks, lambda t: t.rlike(R.COURSE_CODE)))
-    roster = (hits(toks, R.DEGREE_HINTS) >= 4) & is_roster(F.filter(toks, lambda t: ~is_noise(t)))
+    roster = (hits(toks, R.DEGREE_HINTS) >= 4) & let(F.filter(toks, lambda t: ~is_noise(t)), is_roster)
+    announced = (n <= 18) & let(hits(words, R.ANNOUNCEMENT_HINTS), lambda h: (h >= 3) | ((n <= 10) & (h >= 2)))
     return (
-        (low == "") | (n == 0) | low.rlike(r"^(?:(?:page\s+\d+|\d+\s*\|\s*page|\d+)$|table |see table |download file)") | any_of(low, R.PARAGRAPH_DROP_PHRASES) | (codes >= 2) | roster
-        | ((n <= 2) & (F.size(F.filter(words, lambda w: F.length(w) > 1)) == 0)) | ((n <= 3) & (hits(words, R.NOISE_TOKENS) == n)) | ((n <= 10) & (h >= 2)) | ((n <= 18) & (h >= 3))
+        (low == "") | (n == 0) | low.rlike(r"^(?:(?:page\s+\d+|\d+\s*\|\s*page|\d+)$|table |see table |download file)|" + "|".join(R.PARAGRAPH_DROP_PHRASES)) | announced
+        | ((n <= 2) & (F.size(F.filter(words, lambda w: F.length(w) > 1)) == 0)) | ((n <= 3) & (hits(words, R.NOISE_TOKENS) == n)) | (codes >= 2) | roster
     )
 
 
 def drop_paragraph(paragraph: Column) -> Column:
     """Scraper's paragraph rule."""
-    low = normalize_heading(paragraph)
-    toks = tokens(low)
-    return (low == "") | any_of(low, R.PARAGRAPH_DROP_PHRASES) | (F.size(toks) == 0) | ((F.size(toks) <= 40) & (hits(toks, R.PROMOTIONAL_HINTS) >= 3)) | low.rlike("^(?:table |see table |title of the talk|about the speaker)")
+    def judge(low: Column) -> Column:
+        promo = let(tokens(low), lambda toks: (F.size(toks) == 0) | ((F.size(toks) <= 40) & (hits(toks, R.PROMOTIONAL_HINTS) >= 3)))
+        return (low == "") | low.rlike("|".join(R.PARAGRAPH_DROP_PHRASES)) | low.rlike("^(?:table |see table |title of the talk|about the speaker)") | promo
+
+    return let(normalize_heading(paragraph), judge)
 
 
 def drop_corpus_paragraph(paragraph: Column, doc_type: Column) -> Column:
     """Corpus builder's paragraph rule, by document type."""
+    def judge(toks: Column) -> Column:
+        n = F.size(toks)
+        meta, refs, promo = hits(toks, R.SYLLABUS_METADATA), hits(toks, R.REFERENCE_TOKENS), hits(toks, R.PROMOTIONAL_HINTS)
+        academic = let(F.struct(n.alias("n"), meta.alias("m"), refs.alias("r"), promo.alias("p")), lambda c: ((c["n"] <= 20) & (c["m"] >= 3)) | ((c["n"] <= 30) & (c["r"] >= 3)) | (c["m"] >= F.greatest(lit(5), F.floor(c["n"] / 4))) | (c["r"] >= F.greatest(lit(5), F.floor(c["n"] / 4))) | (c["p"] >= F.greatest(lit(4), F.floor(c["n"] / 5))))
+        other = (hits(toks, R.PEDAGOGY_TOKENS) >= F.greatest(lit(6), F.floor(n / 5))) & (hits(toks, R.DOMAIN_TOKENS) <= 3)
+        return (n == 0) | F.when(F.coalesce(doc_type, lit("")).isin(*R.ACADEMIC_TYPES), academic).otherwise(other)
+
     low = F.lower(F.btrim(paragraph))
-    toks = F.filter(tokens(low), lambda t: ~is_noise(t))
-    n = F.size(toks)
-    meta, refs, promo = hits(toks, R.SYLLABUS_METADATA), hits(toks, R.REFERENCE_TOKENS), hits(toks, R.PROMOTIONAL_HINTS)
-    academic = ((n <= 20) & (meta >= 3)) | ((n <= 30) & (refs >= 3)) | (meta >= F.greatest(lit(5), F.floor(n / 4))) | (refs >= F.greatest(lit(5), F.floor(n / 4))) | (promo >= F.greatest(lit(4), F.floor(n / 5)))
-    other = (hits(toks, R.PEDAGOGY_TOKENS) >= F.greatest(lit(6), F.floor(n / 5))) & (hits(toks, R.DOMAIN_TOKENS) <= 3)
-    return (low == "") | any_of(low, R.PARAGRAPH_DROP_PHRASES) | (n == 0) | F.when(F.coalesce(doc_type, lit("")).isin(*R.ACADEMIC_TYPES), academic).otherwise(other)
+    return (low == "") | any_of(low, R.PARAGRAPH_DROP_PHRASES) | let(F.filter(tokens(low), lambda t: ~is_noise(t)), judge)
 
 
 def phrase_pair(left: Column, right: Column, seeds=R.PHRASE_SEEDS) -> Column:

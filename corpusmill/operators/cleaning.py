@@ -79,7 +79,7 @@ def clean_corpus(text: Column, ascii_only: bool = True) -> Column:
     t = F.regexp_replace(t, r"\[([^\]]+)\]\(([^)]*)\)", " $1 ")
     t = T.domain_phrases(t)
     t = F.regexp_replace(t, r"(?<=\w)-\n(?=\w)", "")
-    t = F.regexp_replace(t, r"http\S+|www\.\S+|[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", " ")
+    t = F.regexp_replace(t, r"http\S+|www\.\S+|" + T.EMAIL, " ")
     t = F.regexp_replace(t, r"(?i)\b[a-f0-9]{8,}(?:-[a-f0-9]{4,})+\b", " ")
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\[[^\]]*\]", " "), "[*`~><]+", " "), r"\|+", "\n")
     lines = F.transform(F.split(t, "\n"), lambda x: F.btrim(F.regexp_replace(x, r"\s+", " "), lit(" -:\t")))

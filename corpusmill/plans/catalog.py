@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corpusmill.functions import rules as R, text as T, url as U
 from corpusmill.operators import cleaning, crawl, dedup, embedding, filters, html, names, sequences, similarity, statistics, vocabulary
 from corpusmill.plans import oracle_parts as S, pipeline
-from corpusmill.session import read_table
+from corpusmill.session import read_table, spread
 from corpusmill.sources import readers
 
 C, lit = F.col, F.lit
@@ -30,19 +30,20 @@ def query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents")
+    return spread(read_table(spark, d, "documents"))
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
     """id, url, title, doc_type, department, content: one row per record; repeats carry the same values."""
     m = read_table(spark, d, "crawldoc").where("metadata.id is not null")
-    cols = {"url": "metadata.source_url", "title": "metadata.title", "doc_type": "metadata.doc_type", "department": "metadata.department", "content": "content"}
-    return m.groupBy(C("metadata.id").alias("id")).agg(*[F.min(c).alias(k) for k, c in cols.items()])
+    flat = spread(m).select(C("metadata.id").alias("id"), C("metadata.source_url").alias("url"), *[C(f"metadata.{k}").alias(k) for k in ("title", "doc_type", "department")], "content", "ingested_at")
+    return dedup.without_repeats(flat).drop("ingested_at")
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     s = read_table(spark, d, "textsegment").where("segment_id is not null and text is not null")
-    return s.groupBy("segment_id").agg(F.min("text").alias("text")).select("segment_id", F.split("text", " ").alias("t"))
+    first = s.groupBy("segment_id").agg(F.min("text").alias("text"))
+    return first.select("segment_id", F.split("text", " ").alias("t"))
 
 
 def _vocab(spark: SparkSession, d: str) -> DataFrame:

@@ -52,3 +52,12 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     materialized, since it is counted here and read again by the join.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores, for work that costs far more than moving the rows.
+
+    A table of fewer partitions than cores (a small file has one) is dealt out; a large table stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
