@@ -125,7 +125,7 @@ def _ratio(a: np.ndarray, b: np.ndarray, alpha: float = 0.3, usual: float = 0.0)
     q = (b + alpha * (b.sum() / size + 1e-3)) / (b.sum() * (1 + alpha) + 1)
     r = np.where((a == 0) & (b == 0), 0, np.clip(np.log(p / q), -4, 4))  # what nobody wrote is no evidence
     if usual:  # what other text says now and then is no evidence
-        r = np.where(b > usual * b.sum(), np.minimum(r, 0), r)
+        r = np.where(b > max(usual * b.sum(), 2), np.minimum(r, 0), r)
     return r.astype(np.float32)
 
 
