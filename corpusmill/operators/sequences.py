@@ -99,7 +99,8 @@ def pack_documents(df: DataFrame, key: str, sequences: str) -> DataFrame:
                         index.append(len(seen))
                         toks.append(s)
                         seen.add(tuple(s))
-            yield pd.DataFrame({key: keys, "segment_index": index, "tokens": toks})
+            if keys:
+                yield pd.DataFrame({key: keys, "segment_index": index, "tokens": pd.Series(toks, dtype=object)})
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, sequences).mapInPandas(run, f"`{key}` {kind}, segment_index bigint, tokens array<string>")

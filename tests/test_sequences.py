@@ -64,7 +64,8 @@ def test_even_sample(spark):
 def test_packing_keeps_sizes_and_order():
     g = random.Random(1)
     for _ in range(200):
-        seqs = [[f"w{g.randint(0, 10**6)}" for _ in range(g.randint(0, 130))] for _ in range(g.randint(0, 12))]
+        fresh = iter(range(10**6))
+        seqs = [[f"w{next(fresh)}" for _ in range(g.randint(0, 130))] for _ in range(g.randint(0, 12))]
         out = Q.pack(seqs, Q.carries_signal)
         assert all(15 <= len(s) <= 96 for s in out)
         flat = [t for s in seqs for t in s]
