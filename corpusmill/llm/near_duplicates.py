@@ -266,7 +266,7 @@ def _candidates(classes: DataFrame, s: Settings) -> DataFrame:
     cells = cells.select("key", F.least("g", "j").alias("a"), F.greatest("g", "j").alias("b"), (F.col("g") == F.greatest("g", "j")).cast("int").alias("hi"), "g", "j", "rep", "digest")
     part = F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("hi") + 1)
     cells = cells.select("key", "a", "b", part.cast("int").alias("part"), "rep", "digest")
-    floor = max(s.weighted - 0.15, 0.5 * s.weighted)
+    floor = max(s.weighted - 0.2, 0.5 * s.weighted)  # three deviations of an estimate from 48 samples
     least = int(np.ceil(s.bands * s.rows * floor))
     keyed = cells.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
     pairs = keyed.mapInArrow(_pairs_in_cells(least), "x string, y string")
