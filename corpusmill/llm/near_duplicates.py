@@ -9,8 +9,10 @@
    record / counters) of N cannot be told apart: the weight levels off there, at any N.
 3. Improved consistent weighted sampling (Ioffe) draws `bands * rows` samples per record. Two records agree in a
    sample with probability equal to their weighted Jaccard similarity. Samples are cut into
-   bands; records that agree in a whole band are candidates.
-4. Bands are shuffled with a one-byte digest per sample. Buckets of more than `block` members are
+   bands; records that agree in a whole band are candidates. Where only the exact set similarity counts
+   (`weighted=0`), steps 2 and 3 give way to minwise hashing, whose samples agree with probability equal to that similarity:
+   under skew the weighted one can be far lower (frequent common shingles, rare differing ones) and would lose pairs.
+4. Bands are shuffled with a four-bit digest per sample. Buckets of more than `block` members are
    cut into blocks and every pair of blocks becomes a cell of its own, so a bucket that holds
    a third of all records is spread over many tasks. A cell puts out only pairs whose digests agree in enough places.
 5. Candidates are verified by weighted Jaccard similarity, and, for an exact set similarity, by that.
@@ -34,10 +36,10 @@ from corpusmill.session import materialize, small_side
 
 @dataclass(frozen=True)
 class Settings:
-    """width: words in a shingle. weighted: least weighted Jaccard similarity. exact: least share of common distinct
-    shingles in the union, or 0 for no such check. bands, rows: sampling plan; at similarity 0.6 a pair
-    is missed with probability (1 - 0.6**3)**16 = 0.02, at 0.7 with 0.001. block: members of a bucket
-    that one task compares."""
+    """width: words in a shingle. weighted: least weighted Jaccard similarity, or 0 to let `exact` alone draw and
+    decide. exact: least share of common distinct shingles in the union, or 0 for no such check. bands, rows: sampling plan;
+    at similarity 0.6 a pair is missed with probability (1 - 0.6**3)**16 = 0.02, at 0.7 with 0.001, by 24 bands with
+    0.00005. block: members of a bucket that one task compares."""
 
     width: int = 5
     min_words: int = 0
@@ -169,15 +171,35 @@ def _sample(keys: np.ndarray, lnw: np.ndarray, starts: np.ndarray, draws: tuple[
     return out
 
 
-def _sign(s: Settings, idf: np.ndarray):
+def _minima(keys: np.ndarray, starts: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """One 64-bit sample per record and draw, all shingles weighing the same: the least of their hashes."""
+    out = np.zeros((len(odd), len(starts)), np.uint64)
+    with np.errstate(over="ignore"):
+        for k, m in enumerate(odd):
+            out[k] = B.mix(np.minimum.reduceat(keys * m, starts) + m)
+    return out
+
+
+def _packed(got: np.ndarray) -> np.ndarray:
+    """Four bits of each sample, two samples a byte, one row per record; an odd sample is paired with zeros."""
+    d = (got & np.uint64(15)).astype(np.uint8)
+    if len(d) % 2:
+        d = np.concatenate([d, np.zeros_like(d[:1])])
+    return np.ascontiguousarray((d[0::2] | d[1::2] << 4).T)
+
+
+def _sign(s: Settings, idf: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draws = _draws(s)
         for batch in batches:
             for lo, fit, starts, keys, count in _grouped(batch, s):
                 if not len(fit):
                     continue
-                w = (1 + np.log(count.astype(np.float32))) * idf[(keys >> np.uint64(64 - s.df_bits)).astype(np.int64)]
-                got = _sample(keys, np.log(np.maximum(w, 1e-6)), starts, draws)
+                if idf is None:
+                    got = _minima(keys, starts, draws[0])
+                else:
+                    w = (1 + np.log(count.astype(np.float32))) * idf[(keys >> np.uint64(64 - s.df_bits)).astype(np.int64)]
+                    got = _sample(keys, np.log(np.maximum(w, 1e-6)), starts, draws)
                 with np.errstate(over="ignore"):
                     whole = np.add.reduceat(B.mix(keys ^ np.uint64(s.seed)), starts)
                     band = np.zeros((s.bands, len(fit)), np.uint64)
@@ -187,7 +209,7 @@ def _sign(s: Settings, idf: np.ndarray):
                             x = B.mix(x * np.uint64(5) + got[j * s.rows + q])
                         band[j] = x
                 size = np.diff(np.append(starts, len(keys)))
-                digest = np.ascontiguousarray((got & np.uint64(255)).astype(np.uint8).T)
+                digest = _packed(got)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fit) * s.bands + 1, s.bands), pa.int32()), pa.array(np.ascontiguousarray(band.T).view(np.int64).ravel()))
                 ids = batch.column(0).slice(lo).take(pa.array(fit))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(whole.view(np.int64)), pa.array(size), bands, pa.array([x.tobytes() for x in digest], pa.binary())], ["id", "whole", "size", "bands", "digest"])
@@ -195,8 +217,8 @@ def _sign(s: Settings, idf: np.ndarray):
     return run
 
 
-def _pairs_in_cells(least: int):
-    """Pairs of a cell whose digests agree in at least `least` places. Rows come sorted by cell; a cell has at
+def _pairs_in_cells(samples: int, least: int):
+    """Pairs of a cell whose digests of `samples` places agree in at least `least` of them. Rows come sorted by cell; a cell has at
     most two blocks of members, which bounds what is carried from batch to batch."""
 
     def compare(key, digest, part, lo, hi):
@@ -223,7 +245,8 @@ def _pairs_in_cells(least: int):
         def emit(t: pa.Table) -> pa.RecordBatch:
             key = np.stack([t.column(c).to_numpy() for c in ("key", "a", "b")])
             rep, part = t.column("rep").combine_chunks(), t.column("part").to_numpy()
-            digest = np.frombuffer(b"".join(t.column("digest").to_pylist()), np.uint8).reshape(len(part), -1)
+            packed = np.frombuffer(b"".join(t.column("digest").to_pylist()), np.uint8).reshape(len(part), -1)
+            digest = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(part), -1)[:, :samples]
             new = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
             size = np.diff(np.append(new, len(part)))
             two = new[(size == 2) & (part[new] == 0)]
@@ -266,10 +289,11 @@ def _candidates(classes: DataFrame, s: Settings) -> DataFrame:
     cells = cells.select("key", F.least("g", "j").alias("a"), F.greatest("g", "j").alias("b"), (F.col("g") == F.greatest("g", "j")).cast("int").alias("hi"), "g", "j", "rep", "digest")
     part = F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("hi") + 1)
     cells = cells.select("key", "a", "b", part.cast("int").alias("part"), "rep", "digest")
-    floor = max(s.weighted - 0.2, 0.5 * s.weighted)  # three deviations of an estimate from 48 samples
+    bound = s.weighted or s.exact  # what the samples estimate
+    floor = max(bound - 0.2, 0.5 * bound)  # three deviations of an estimate from 48 samples
     least = int(np.ceil(s.bands * s.rows * floor))
     keyed = cells.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    pairs = keyed.mapInArrow(_pairs_in_cells(least), "x string, y string")
+    pairs = keyed.mapInArrow(_pairs_in_cells(s.bands * s.rows, least), "x string, y string")
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct()
 
 
@@ -286,17 +310,20 @@ def _bags(s: Settings):
     return run
 
 
-def _verify(s: Settings, idf: np.ndarray):
+def _verify(s: Settings, idf: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weighted, exact = [], []
             for a, b in zip(batch.column(2), batch.column(3)):
                 (p, m), (q, n) = (np.unique(np.frombuffer(z.as_py(), np.uint64), return_counts=True) for z in (a, b))
                 both, i, j = np.intersect1d(p, q, assume_unique=True, return_indices=True)
+                exact.append(len(both) / max(1, len(p) + len(q) - len(both)))
+                if idf is None:
+                    weighted.append(None)
+                    continue
                 u, v = ((1 + np.log(c)) * idf[(h >> np.uint64(64 - s.df_bits)).astype(np.int64)] for h, c in ((p, m), (q, n)))
                 common = np.minimum(u[i], v[j]).sum()
                 weighted.append(float(common / max(u.sum() + v.sum() - common, 1e-12)))
-                exact.append(len(both) / max(1, len(p) + len(q) - len(both)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(weighted, pa.float64()), pa.array(exact, pa.float64())], ["x", "y", "weighted", "jaccard"])
 
     return run
@@ -304,9 +331,9 @@ def _verify(s: Settings, idf: np.ndarray):
 
 def near_duplicates(records: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """(members, links): id and rep of every record that takes part; x, y, weighted, jaccard of the linked
-    representatives. Records with the same shingle set have the same representative."""
+    representatives; weighted is null if it has no bound. Records with the same shingle set have the same representative."""
     docs = records.where("id is not null and content is not null").select("id", "content")
-    idf = _weights(docs, s)
+    idf = _weights(docs, s) if s.weighted else None
     signed = docs.mapInArrow(_sign(s, idf), "id string, whole bigint, size bigint, bands array<bigint>, digest binary")
     signed = materialize(signed)
     first = signed.groupBy("whole", "size").agg(F.min("id").alias("rep"))
@@ -320,7 +347,8 @@ def near_duplicates(records: DataFrame, s: Settings = Settings()) -> tuple[DataF
     left, right = bags.select(F.col("id").alias("x"), F.col("bag").alias("p")), bags.select(F.col("id").alias("y"), F.col("bag").alias("q"))
     joined = pairs.join(left, "x").join(right, "y").select("x", "y", "p", "q")
     links = joined.mapInArrow(_verify(s, idf), "x string, y string, weighted double, jaccard double")
-    return members, links.where((F.col("weighted") >= s.weighted) & (F.col("jaccard") >= s.exact))
+    alike = F.col("jaccard") >= s.exact
+    return members, links.where(alike & (F.col("weighted") >= s.weighted) if s.weighted else alike)
 
 
 def alike_pairs(records: DataFrame, s: Settings, expand: int = 64) -> DataFrame:

@@ -68,6 +68,25 @@ def test_hot_buckets_are_cut_and_lose_no_pair(spark, block):
     assert {(r.id_a, r.id_b) for r in N.alike_pairs(frame(spark, rows), s).collect()} == brute(rows, 0.7, 20)
 
 
+def test_exact_similarity_alone_decides_under_skew(spark):
+    """A third of all records are edited copies: what they share is frequent, what differs is rare, so the weighted similarity
+    of pairs at 0.70 to 0.85 is far below 0.6."""
+    from corpusmill.llm.queries import ALIKE
+
+    g = random.Random(5)
+    base = [g.choice(WORDS) for _ in range(200)]
+    rows = []
+    for i in range(40):
+        v = list(base)
+        for k in g.sample(range(len(base)), 4 + i % 3):
+            v[k] = f"u{i}x{k}"
+        rows.append((f"h{i:02}", " ".join(v)))
+    rows += [(f"o{i:02}", " ".join(g.choice(WORDS) for _ in range(200))) for i in range(80)]
+    want = brute(rows, 0.7, 100)
+    assert 100 < len(want) < 780 and len(want - brute(rows, 0.85, 100)) > 100
+    assert {(r.id_a, r.id_b) for r in N.alike_pairs(frame(spark, rows), ALIKE).collect()} == want
+
+
 def test_large_classes_become_stars(spark):
     text = " ".join(WORDS[:50])
     rows = [(f"c{i}", text) for i in range(6)] + [("z", text.replace("w49", "q"))]
