@@ -510,13 +510,22 @@ def best_run(spark, d):
     return a.join(b, key, "full").select(*key, F.coalesce("by_all_keys", no).alias("by_all_keys"), F.coalesce("by_loss", no).alias("by_loss"))
 
 
-@query()
-def w2v_train(spark, d):
+def _trained(spark, d, configs: list[embedding.Config]) -> DataFrame:
     s, v = _segments(spark, d), _vocab(spark, d)
-    runs = embedding.run_grid(vocabulary.encode(s, "segment_id", "t", v), v, [embedding.Config(m, 32, 2, 5, epochs=2) for m in ("cbow", "skipgram")], sample=1500)
+    runs = embedding.run_grid(vocabulary.encode(s, "segment_id", "t", v), "segment_id", v, configs)
     return runs.select("run_no", "model", "dim", "window", "negatives", "final_loss", "validation_loss", "stopped_early", F.size("input").alias("rows"))
 
 
+@query()
+def w2v_train(spark, d):
+    return _trained(spark, d, [embedding.Config(m, 32, 2, 5, epochs=2) for m in ("cbow", "skipgram")])
+
+
+@query()
+def w2v_grid(spark, d):
+    return _trained(spark, d, embedding.grid())
+
+
 # ---- names ----
 
 _NAMES = "nm as (select regexp_replace(lower(name), '\\s+', '', 'g') as name from nameline where name is not null), nn as (select name, count(*) as copies from nm where name <> '' group by 1)"

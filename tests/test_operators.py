@@ -144,3 +144,15 @@ def test_statistics(spark):
     assert [tuple(r) for r in statistics.top_tokens(df, "t", 1).collect()] == [("a", 2)]
     assert '"vocabulary":2' in statistics.dataset_json(df, "t").first().stats
     assert statistics.report([{"model": "x", "loss": 0.5}]).splitlines()[2] == "| x | 0.5000 |"
+
+
+def test_embedding_grid_trains_on_all_sequences(spark):
+    """Tokens that stand in one sequence each are learned, whichever shard they are in."""
+    seqs = [(f"s{i:03}", [2 * i, 2 * i + 1] * 4) for i in range(200)]
+    encoded = spark.createDataFrame(seqs, "segment_id string, ids array<bigint>")
+    vocab = spark.createDataFrame([(f"t{i}", 4, i) for i in range(400)], "token string, count bigint, token_id bigint")
+    configs = [embedding.Config(m, 8, 2, 3, epochs=2, batch=8, min_delta=-1e9) for m in ("cbow", "skipgram")]
+    for r in embedding.run_grid(encoded, "segment_id", vocab, configs, shard_rows=40, wave=1).collect():
+        start = embedding.initial(400, 8, 42)[0]
+        moved = (abs(np.array(r.input) - start) > 1e-7).any(axis=1)
+        assert moved.sum() == 380 and r.validation_loss > 0  # all but the held-out 5 %
