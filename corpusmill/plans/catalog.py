@@ -356,6 +356,15 @@ def corpus_filter_reasons(spark, d):
     return filters.reason_counts(r.select(reason.alias("reason")), "reason")
 
 
+@query()
+def corpus_filter_languages(spark, d):
+    """The reasons with the declared language, or the word test where none is declared."""
+    lang = read_table(spark, d, "crawldoc").where("metadata.id is not null").groupBy(C("metadata.id").alias("id")).agg(F.min("declared_lang").alias("lang"))
+    r = _records(spark, d).join(lang, "id")
+    reason = filters.corpus_reason(C("doc_type"), C("title"), C("url"), C("content"), C("lang"))
+    return filters.reason_counts(r.select(reason.alias("reason")), "reason")
+
+
 @query(f"""with s as (select doc_id, trim(substr(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), 1, 2000), '') as t from documents), w as (select doc_id, t, regexp_extract_all(lower(t), '\\S+') as w from s)
 select doc_id, length(t) < 80 or {S.hits('w', R.STOP_WORDS)} >= 0.12 * len(w) as english from w""")
 def language_predicate(spark, d):

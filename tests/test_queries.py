@@ -59,3 +59,10 @@ def test_pipeline(spark):
     assert segs and all(s.id == 1 for s in segs) and all(s.copies == 2 for s in segs)
     why = {x.reason: x.documents for x in r.reasons.collect()}
     assert why["kept"] == 2 and why["excluded_doc_type:General"] == 1 and sum(why.values()) == 4
+
+
+def test_other_languages_are_a_reason(spark, data, con):
+    got = {r.reason: r.documents for r in catalog.queries()["corpus_filter_languages"](spark, data).collect()}
+    labelled = con.sql("select count(*) from (select min(declared_lang) as l from crawldoc where metadata.id is not null group by metadata.id) where not starts_with(lower(l), 'en')").fetchall()[0][0]
+    assert 0 < labelled <= got["non_english"]
+    assert sum(got.values()) == con.sql("select count(distinct metadata.id) from crawldoc").fetchall()[0][0]
