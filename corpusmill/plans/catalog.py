@@ -599,6 +599,17 @@ def name_generate(spark, d):
     return names.generate(_names(spark, d), 300)
 
 
+@query()
+def generated_metrics(spark, d):
+    """sample_metrics of the generated names against the whole name list."""
+    return names.sample_metrics(name_generate(spark, d), _names(spark, d))
+
+
+@query()
+def generated_failures(spark, d):
+    return names.failure_modes(name_generate(spark, d), _names(spark, d))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -66,3 +66,12 @@ def test_other_languages_are_a_reason(spark, data, con):
     labelled = con.sql("select count(*) from (select min(declared_lang) as l from crawldoc where metadata.id is not null group by metadata.id) where not starts_with(lower(l), 'en')").fetchall()[0][0]
     assert 0 < labelled <= got["non_english"]
     assert sum(got.values()) == con.sql("select count(distinct metadata.id) from crawldoc").fetchall()[0][0]
+
+
+def test_generated_names_are_measured(spark, data):
+    q = catalog.queries()
+    made, known = [r.name for r in q["name_generate"](spark, data).collect()], {r.name for r in q["name_list"](spark, data).collect()}
+    m, f = q["generated_metrics"](spark, data).first(), q["generated_failures"](spark, data).first()
+    assert (m.generated, m.unique, m.novel) == (len(made), len(set(made)), sum(x not in known for x in made))
+    assert (f.copied, f.short, f.long) == (sum(x in known for x in made), sum(len(x) <= 3 for x in made), sum(len(x) >= 13 for x in made))
+    assert m.novel > 0 and f.short + f.long > 0
