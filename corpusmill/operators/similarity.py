@@ -64,6 +64,18 @@ def neighbours(vectors: DataFrame, queries: DataFrame, key: str, vec: str, n: in
     return rounded.withColumn("rank", F.row_number().over(w)).where(C("rank") <= n)
 
 
+def analogies_in_blocks(vectors: DataFrame, triples: DataFrame, key: str, vec: str, n: int) -> DataFrame:
+    """As `analogies` for any number of triples with distinct a: their goals meet the vectors in blocks, as in `neighbours`."""
+    u = vectors.select(key, V.unit(V.doubles(C(vec))).alias("v"))
+    side = lambda name: u.select(C(key).alias(name), C("v").alias(f"v{name}"))
+    q = triples.join(side("a"), "a").join(side("b"), "b").join(side("c"), "c")
+    goal = F.zip_with(F.zip_with("vb", "va", lambda x, y: x - y), "vc", lambda x, y: x + y)
+    found = neighbours(vectors, q.select(C("a").alias(key), goal.alias(vec)), key, vec, n + 2).drop("rank")  # b and c may be among them
+    rows = found.withColumnRenamed("query", "a").join(triples, "a").where(~C(key).isin(C("b"), C("c")))
+    w = Window.partitionBy("a").orderBy(F.desc("similarity"), key)
+    return rows.withColumn("rank", F.row_number().over(w)).where(C("rank") <= n).select("a", "b", "c", key, "similarity", "rank")
+
+
 def analogies(vectors: DataFrame, triples: DataFrame, key: str, vec: str, n: int) -> DataFrame:
     """a, b, c, key, similarity, rank for b - a + c over unit vectors; a, b and c themselves are left out."""
     u = vectors.select(key, V.unit(V.doubles(C(vec))).alias("v"))

@@ -191,7 +191,7 @@ def analysis_exclusions(spark, d):
 @query()
 def negative_samples(spark, d):
     v = _vocab(spark, d)
-    return vocabulary.negatives(v.where("token_id < 50").select("token", C("token_id").alias("positive")), vocabulary.noise_distribution(v), "token", "positive", 5, 42)
+    return vocabulary.negatives(v.select("token", C("token_id").alias("positive")), vocabulary.noise_distribution(v), "token", "positive", 5, 42)
 
 
 # ---- statistics ----
@@ -493,6 +493,14 @@ def vector_analogy(spark, d):
     return similarity.analogies(v, triples, "vec_id", "embedding", 5).select("a", "b", "c", "vec_id", "similarity", C("rank").cast("long").alias("rank"))
 
 
+@query()
+def vector_analogies(spark, d):
+    """Triples of successive ids from every id divisible by 20."""
+    v = read_table(spark, d, "embeddings").where("embedding is not null")
+    triples = v.where("vec_id % 20 = 0").select(C("vec_id").alias("a"), (C("vec_id") + 1).alias("b"), (C("vec_id") + 2).alias("c"))
+    return similarity.analogies_in_blocks(v, triples, "vec_id", "embedding", 5).select("a", "b", "c", "vec_id", "similarity", C("rank").cast("long").alias("rank"))
+
+
 @query("with x as (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as dim from embeddings where embedding is not null) select label, dim::bigint as dim, round(avg(x), 6) as value, count(*)::bigint as members from x group by 1, 2")
 def vector_label_centroids(spark, d):
     return similarity.centroids(read_table(spark, d, "embeddings"), "label", "embedding")

@@ -75,3 +75,17 @@ def test_generated_names_are_measured(spark, data):
     assert (m.generated, m.unique, m.novel) == (len(made), len(set(made)), sum(x not in known for x in made))
     assert (f.copied, f.short, f.long) == (sum(x in known for x in made), sum(len(x) <= 3 for x in made), sum(len(x) >= 13 for x in made))
     assert m.novel > 0 and f.short + f.long > 0
+
+
+def test_negatives_of_the_whole_vocabulary(spark, data):
+    q = catalog.queries()
+    assert {r.token for r in q["negative_samples"](spark, data).select("token").distinct().collect()} == {r.token for r in q["vocabulary_ids"](spark, data).collect()}
+
+
+def test_analogies_of_every_twentieth_vector(spark, data, con):
+    q = catalog.queries()
+    got = [tuple(r) for r in q["vector_analogies"](spark, data).collect()]
+    ids = {r[0] for r in con.sql("select a.vec_id from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 join embeddings c on c.vec_id = a.vec_id + 2 where a.vec_id % 20 = 0 and a.embedding is not null and b.embedding is not null and c.embedding is not null").fetchall()}
+    assert {r[0] for r in got} == ids and len(got) == 5 * len(ids) and len(ids) > 5
+    few = [tuple(r) for r in q["vector_analogy"](spark, data).collect()]
+    assert sorted(r for r in got if r[0] in (0, 60, 120)) == sorted(r for r in few if r[0] in (0, 60, 120)) != []
