@@ -3,18 +3,22 @@
 1. Each record becomes the multiset of its shingles (runs of `width` words) as 64-bit hashes.
    Records with the same shingle set form one class, found by a hash of the set; only one
    representative of a class goes on.
-2. Shingles are weighted by TF-IDF, (1 + ln tf) * ln(N / df). Document frequencies of all records are
-   added up in a table of `2**df_bits` counters addressed by hash, so its size does not depend on the data.
-   Shingles that share a counter share its sum, so frequencies below about (shingles per
-   record / counters) of N cannot be told apart: the weight levels off there, at any N.
+2. Shingles are weighted by TF-IDF with both factors bounded: TF from 1 to `tf_most`, and IDF from 1 (a shingle of every record) to
+   `spread / tf_most` (shingles in at most the share `common` of the records). Document frequencies of all
+   records are added up in counters addressed by hash, enough of them that a counter's noise stays below a quarter of `common`; their
+   number follows from the mean length of a record, not from the number of records.
+   As weights differ by at most `spread`, a pair of exact set similarity e has a weighted similarity of at
+   least e / (tf_most * e + spread * (1 - e)), however frequent its common and however rare its differing shingles are. Where the
+   exact similarity decides, the sampling plan and the digests below follow from that bound.
 3. Improved consistent weighted sampling (Ioffe) draws `bands * rows` samples per record. Two records agree in a
    sample with probability equal to their weighted Jaccard similarity. Samples are cut into
-   bands; records that agree in a whole band are candidates. Where only the exact set similarity counts
-   (`weighted=0`), steps 2 and 3 give way to minwise hashing, whose samples agree with probability equal to that similarity:
-   under skew the weighted one can be far lower (frequent common shingles, rare differing ones) and would lose pairs.
-4. Bands are shuffled with a four-bit digest per sample. Buckets of more than `block` members are
+   bands; records that agree in a whole band are candidates.
+4. Pairs (`alike_pairs`): bands are shuffled with a four-bit digest per sample. Buckets of more than `block` members are
    cut into blocks and every pair of blocks becomes a cell of its own, so a bucket that holds
    a third of all records is spread over many tasks. A cell puts out only pairs whose digests agree in enough places.
+   Groups (`alike_groups`): each member of a bucket meets only the bucket's hub first, which joins most of a
+   family over links to a few records; then only members of a bucket that are still in different groups meet each other. A family of
+   n variants so takes n * bands rows, not n * n, and the groups are those of all pairs.
 5. Candidates are verified by weighted Jaccard similarity, and, for an exact set similarity, by that.
 
 Nulls: rows without id or content, and records of fewer than `min_words` words, take no part. Repeated rows
@@ -36,35 +40,75 @@ from corpusmill.session import materialize, small_side
 
 @dataclass(frozen=True)
 class Settings:
-    """width: words in a shingle. weighted: least weighted Jaccard similarity, or 0 to let `exact` alone draw and
+    """width: words in a shingle. weighted: least weighted Jaccard similarity, or 0 to let `exact` alone
     decide. exact: least share of common distinct shingles in the union, or 0 for no such check. bands, rows: sampling plan;
-    at similarity 0.6 a pair is missed with probability (1 - 0.6**3)**16 = 0.02, at 0.7 with 0.001, by 24 bands with
-    0.00005. block: members of a bucket that one task compares."""
+    at weighted similarity 0.57, the least one of an exact 0.7, a pair is missed with probability (1 - 0.57**3)**24 = 0.007, at 0.61 with
+    0.002, at 0.7 with 0.00004. spread, tf_most, common, levels: weights, see above; they are rounded to `levels` steps. block: members of a
+    bucket that one task compares. most_bits: bound of the frequency table, 2**most_bits counters."""
 
     width: int = 5
     min_words: int = 0
     weighted: float = 0.8
     exact: float = 0.0
-    bands: int = 16
+    bands: int = 24
     rows: int = 3
-    df_bits: int = 18
+    spread: float = 1.5
+    tf_most: float = 1.1
+    common: float = 0.002
+    levels: int = 16
+    most_bits: int = 22
     block: int = 512
     seed: int = 20177
     max_broadcast_rows: int = 100_000
 
+    @property
+    def bound(self) -> float:
+        """The least weighted similarity of a pair that counts."""
+        return self.weighted or self.exact / (self.tf_most * self.exact + self.spread * (1 - self.exact))
+
+    @property
+    def least(self) -> int:
+        """Samples in which the digests of a pair that counts agree, but for three deviations of the estimate."""
+        n = self.bands * self.rows
+        return int(np.ceil(n * max(self.bound - 3 * np.sqrt(self.bound * (1 - self.bound) / n), 0.5 * self.bound)))
+
 
 _TABLE_BITS = 14
 
 
-def _draws(s: Settings) -> tuple[np.ndarray, ...]:
-    """Per sample: an odd multiplier, and tables of r, 1/r, ln c - r and beta addressed by shingle hash."""
+@dataclass(frozen=True)
+class Frequencies:
+    """ln(N / df) of every counter, float32."""
+
+    table: np.ndarray
+
+    @property
+    def bits(self) -> int:
+        return len(self.table).bit_length() - 1
+
+    def levels(self, keys: np.ndarray, count: np.ndarray, s: Settings) -> np.ndarray:
+        """Step of the TF-IDF weight of each shingle, 0 .. levels - 1."""
+        idf = np.clip(self.table[(keys >> np.uint64(64 - self.bits)).astype(np.int64)] / -np.log(s.common), 0, 1)
+        tf = np.minimum(np.log2(count) / 3, 1)
+        w = (1 + (s.tf_most - 1) * tf) * (1 + (s.spread / s.tf_most - 1) * idf)
+        return np.rint((w - 1) / (s.spread - 1) * (s.levels - 1)).astype(np.int64)
+
+
+def weight_of(level: np.ndarray, s: Settings) -> np.ndarray:
+    return 1 + level * ((s.spread - 1) / (s.levels - 1))
+
+
+def _draws(s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per sample an odd multiplier; per slot and weight level the rank of ln c - r (t - beta + 1) among all, and t."""
     g = np.random.default_rng(s.seed)
     k, size = s.bands * s.rows, 1 << _TABLE_BITS
     odd = g.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    r = g.gamma(2.0, 1.0, size).astype(np.float32)
-    lnc = np.log(g.gamma(2.0, 1.0, size)).astype(np.float32)
-    beta = g.random(size, dtype=np.float32)
-    return odd, r, (1 / r).astype(np.float32), lnc, beta
+    r, c, beta = g.gamma(2.0, 1.0, size)[:, None], g.gamma(2.0, 1.0, size)[:, None], g.random(size)[:, None]
+    t = np.floor(np.log(weight_of(np.arange(s.levels), s))[None, :] / r + beta)
+    a = (np.log(c) - r * (t - beta + 1)).ravel()
+    rank = np.empty(len(a), np.uint64)
+    rank[np.argsort(a, kind="stable")] = np.arange(len(a), dtype=np.uint64)
+    return odd, rank << np.uint64(32), t.ravel().astype(np.int64).astype(np.uint64)
 
 
 def _shingles(texts: list[bytes], width: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,73 +154,67 @@ def _grouped(batch: pa.RecordBatch, s: Settings) -> Iterator[tuple[int, np.ndarr
         yield lo, fit, np.searchsorted(docs[at], fit), keys[at], count
 
 
-def _sketch_frequencies(s: Settings):
+def _sketch_frequencies(s: Settings, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, docs = 1 << s.df_bits, 0
+        size, docs = 1 << bits, 0
         df = np.zeros(size, np.int64)
         for batch in batches:
             for _, fit, _, keys, _ in _grouped(batch, s):
-                df += np.bincount((keys >> np.uint64(64 - s.df_bits)).astype(np.int64), minlength=size)
+                df += np.bincount((keys >> np.uint64(64 - bits)).astype(np.int64), minlength=size)
                 docs += len(fit)
         part = max(1, size >> 6)
         if docs:
             blocks = range(0, size, part)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([docs if i == 0 else 0 for i in blocks]), pa.array([df[i : i + part].tobytes() for i in blocks], pa.binary())], ["block", "docs", "df"])
+            kind = np.int32 if df.max() < 2**31 else np.int64
+            cut = [df[i : i + part].astype(kind).tobytes() for i in blocks]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([docs if i == 0 else 0 for i in blocks]), pa.array(cut, pa.binary())], ["block", "docs", "df"])
 
     return run
 
 
-def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _add_blocks(part: int):
     """Add up partial tables as they stream by; holds one sum per block."""
-    docs: dict[int, int] = {}
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, n, df in zip(*(c.to_pylist() for c in batch.columns)):
-            docs[block] = docs.get(block, 0) + n
-            got = np.frombuffer(df, np.int64)
-            sums[block] = sums[block] + got if block in sums else got
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(docs.values()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "docs", "df"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs: dict[int, int] = {}
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, n, df in zip(*(c.to_pylist() for c in batch.columns)):
+                docs[block] = docs.get(block, 0) + n
+                got = np.frombuffer(df, np.int32 if len(df) == 4 * part else np.int64).astype(np.int64)
+                sums[block] = sums[block] + got if block in sums else got
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(docs.values()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "docs", "df"])
 
-def _weights(docs: DataFrame, s: Settings) -> np.ndarray:
-    """ln(N / df) of every counter: `2**df_bits` float32 numbers, whatever the size of the data.
+    return run
 
-    Partial tables are cut into 64 blocks, which are added up as they stream by.
-    """
-    parts = docs.select("id", "content").mapInArrow(_sketch_frequencies(s), "block int, docs bigint, df binary")
-    rows = parts.repartition("block").mapInArrow(_add_blocks, "block int, docs bigint, df binary").collect()
+
+def frequencies(docs: DataFrame, s: Settings) -> Frequencies:
+    """Document frequencies of all records, in at most `2**most_bits` counters of which the driver holds one table."""
+    chars = docs.agg(F.avg(F.length("content"))).first()[0] or 1.0
+    bits = int(np.clip(np.ceil(np.log2(4 * (chars / 6 + 1) / s.common)), 14, s.most_bits))
+    form = "block int, docs bigint, df binary"
+    parts = docs.select("id", "content").mapInArrow(_sketch_frequencies(s, bits), form)
+    rows = parts.repartition("block").mapInArrow(_add_blocks((1 << bits) >> 6), form).collect()
     if not rows:
-        return np.ones(1 << s.df_bits, np.float32)
+        return Frequencies(np.zeros(1 << bits, np.float32))
     df = np.concatenate([np.frombuffer(r.df, np.int64) for r in sorted(rows, key=lambda r: r.block)])
     n = max(1, sum(r.docs for r in rows))
-    return np.log1p(n / np.maximum(df, 1)).astype(np.float32)
-
-
-def _sample(keys: np.ndarray, lnw: np.ndarray, starts: np.ndarray, draws: tuple[np.ndarray, ...]) -> np.ndarray:
-    """One 64-bit sample per record and draw: the hash of the chosen shingle and its level t."""
-    odd, r, inv, lnc, beta = draws
-    sizes = np.diff(np.append(starts, len(keys)))
-    out = np.zeros((len(odd), len(starts)), np.uint64)
-    with np.errstate(over="ignore"):
-        for k, m in enumerate(odd):
-            i = ((keys * m) >> np.uint64(64 - _TABLE_BITS)).astype(np.int32)
-            rk = r[i]
-            t = np.floor(lnw * inv[i] + beta[i])
-            a = lnc[i] - rk * (t - beta[i] + np.float32(1))
-            low = np.minimum.reduceat(a, starts)
-            hit = np.flatnonzero(a == np.repeat(low, sizes))
-            hit = hit[np.searchsorted(hit, starts)]
-            out[k] = B.mix(keys[hit] ^ (m + t[hit].astype(np.int64).astype(np.uint64)))
-    return out
+    return Frequencies(np.log(n / np.clip(df, 1, n)).astype(np.float32))
 
 
-def _minima(keys: np.ndarray, starts: np.ndarray, odd: np.ndarray) -> np.ndarray:
-    """One 64-bit sample per record and draw, all shingles weighing the same: the least of their hashes."""
+def _sample(keys: np.ndarray, level: np.ndarray, starts: np.ndarray, draws: tuple[np.ndarray, ...], s: Settings) -> np.ndarray:
+    """One 64-bit sample per record and draw: the hash of the chosen shingle and its level t. Shingles that tie in slot and weight
+    go by their hash."""
+    odd, rank, t = draws
     out = np.zeros((len(odd), len(starts)), np.uint64)
+    place = np.arange(len(keys), dtype=np.uint64)
+    low = np.uint64(0xFFFFFFFF)
     with np.errstate(over="ignore"):
         for k, m in enumerate(odd):
-            out[k] = B.mix(np.minimum.reduceat(keys * m, starts) + m)
+            slot = ((keys * m) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64) * s.levels + level
+            hit = (np.minimum.reduceat(rank[slot] | place, starts) & low).astype(np.int64)
+            out[k] = B.mix(keys[hit] ^ (m + t[slot[hit]]))
     return out
 
 
@@ -188,18 +226,14 @@ def _packed(got: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray((d[0::2] | d[1::2] << 4).T)
 
 
-def _sign(s: Settings, idf: np.ndarray | None):
+def _sign(s: Settings, idf: Frequencies):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draws = _draws(s)
         for batch in batches:
             for lo, fit, starts, keys, count in _grouped(batch, s):
                 if not len(fit):
                     continue
-                if idf is None:
-                    got = _minima(keys, starts, draws[0])
-                else:
-                    w = (1 + np.log(count.astype(np.float32))) * idf[(keys >> np.uint64(64 - s.df_bits)).astype(np.int64)]
-                    got = _sample(keys, np.log(np.maximum(w, 1e-6)), starts, draws)
+                got = _sample(keys, idf.levels(keys, count, s), starts, draws, s)
                 with np.errstate(over="ignore"):
                     whole = np.add.reduceat(B.mix(keys ^ np.uint64(s.seed)), starts)
                     band = np.zeros((s.bands, len(fit)), np.uint64)
@@ -219,7 +253,7 @@ def _sign(s: Settings, idf: np.ndarray | None):
 
 def _pairs_in_cells(samples: int, least: int):
     """Pairs of a cell whose digests of `samples` places agree in at least `least` of them. Rows come sorted by cell; a cell has at
-    most two blocks of members, which bounds what is carried from batch to batch."""
+    most two blocks of members, which bounds what is carried from batch to batch. With a column g, pairs of equal g are left out."""
 
     def compare(key, digest, part, lo, hi):
         n = hi - lo
@@ -259,6 +293,9 @@ def _pairs_in_cells(samples: int, least: int):
             two = new[(size == 2) & (part[new] != part[np.minimum(new + 1, len(part) - 1)])]
             ok = two[(digest[two] == digest[two + 1]).sum(axis=1) >= least]
             x, y = np.concatenate([*xs, ok]).astype(np.int64), np.concatenate([*ys, ok + 1]).astype(np.int64)
+            if "g" in t.column_names:
+                g = t.column("g").to_numpy()
+                x, y = x[g[x] != g[y]], y[g[x] != g[y]]
             return pa.RecordBatch.from_arrays([rep.take(pa.array(x)), rep.take(pa.array(y))], ["x", "y"])
 
         held: pa.Table | None = None
@@ -289,14 +326,55 @@ def _candidates(classes: DataFrame, s: Settings) -> DataFrame:
     cells = cells.select("key", F.least("g", "j").alias("a"), F.greatest("g", "j").alias("b"), (F.col("g") == F.greatest("g", "j")).cast("int").alias("hi"), "g", "j", "rep", "digest")
     part = F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("hi") + 1)
     cells = cells.select("key", "a", "b", part.cast("int").alias("part"), "rep", "digest")
-    bound = s.weighted or s.exact  # what the samples estimate
-    floor = max(bound - 0.2, 0.5 * bound)  # three deviations of an estimate from 48 samples
-    least = int(np.ceil(s.bands * s.rows * floor))
+    return _compared(cells, s)
+
+
+def _compared(cells: DataFrame, s: Settings) -> DataFrame:
     keyed = cells.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    pairs = keyed.mapInArrow(_pairs_in_cells(s.bands * s.rows, least), "x string, y string")
+    pairs = keyed.mapInArrow(_pairs_in_cells(s.bands * s.rows, s.least), "x string, y string")
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct()
 
 
+def _stars(classes: DataFrame, s: Settings) -> DataFrame:
+    """x, y: each member of a bucket with the bucket's hub, where their digests agree in enough places. The hub is the member of
+    the smallest hash with the bucket's key, so a family has another one in each band."""
+    bands = classes.select(F.explode("bands").alias("key"), "rep", "digest")
+    hubs = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "rep").alias("h"), "rep", "digest")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = bands.join(hubs.select("key", "hub"), "key").where("rep <> hub.rep")
+    agreed = met.select("rep", F.col("hub.rep").alias("hub"), "digest", F.col("hub.digest").alias("other")).mapInArrow(_agreeing(s), "x string, y string")
+    return agreed.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def _agreeing(s: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+            n = ((a & 15) == (b & 15)).sum(axis=1) + ((a >> 4) == (b >> 4)).sum(axis=1)  # an odd last sample is paired with zeros
+            ok = pa.array(np.flatnonzero(n - s.bands * s.rows % 2 >= s.least))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(ok), batch.column(1).take(ok)], ["x", "y"])
+
+    return run
+
+
+def _apart(classes: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
+    """x, y: members of one bucket that are in different groups and whose digests agree in enough places.
+
+    Of a bucket, the members outside its largest group (few, after `_stars`) meet all others, in blocks.
+    """
+    named = classes.join(labels, "rep", "left").select("rep", "digest", "bands", F.xxhash64(F.coalesce("label", "rep")).alias("g"))
+    bands = named.select(F.explode("bands").alias("key"), "rep", "digest", "g")
+    by_group = bands.groupBy("key", "g").agg(F.count(F.lit(1)).alias("n"))
+    mixed = by_group.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "g")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    sizes = mixed.select("key", F.col("top.g").alias("main"), F.ceil(F.col("n") / s.block).cast("int").alias("all"), F.ceil((F.col("n") - F.col("top.n")) / s.block).cast("int").alias("few"))
+    placed = bands.join(small_side(materialize(sizes), s.max_broadcast_rows), "key")
+    h = F.xxhash64("rep", F.lit(3))
+    every = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("a"), F.pmod(h, F.col("all")).cast("int").alias("b"), F.lit(2).alias("part"), "rep", "digest", "g")
+    few = placed.where("g <> main").select("key", F.pmod(h, F.col("few")).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("b"), F.lit(1).alias("part"), "rep", "digest", "g")
+    return _compared(every.unionByName(few), s)
+
+
 def _bags(s: Settings):
     """id and the record's shingles as sorted hashes, repeats included."""
 
@@ -310,7 +388,7 @@ def _bags(s: Settings):
     return run
 
 
-def _verify(s: Settings, idf: np.ndarray | None):
+def _verify(s: Settings, idf: Frequencies):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weighted, exact = [], []
@@ -318,10 +396,7 @@ def _verify(s: Settings, idf: np.ndarray | None):
                 (p, m), (q, n) = (np.unique(np.frombuffer(z.as_py(), np.uint64), return_counts=True) for z in (a, b))
                 both, i, j = np.intersect1d(p, q, assume_unique=True, return_indices=True)
                 exact.append(len(both) / max(1, len(p) + len(q) - len(both)))
-                if idf is None:
-                    weighted.append(None)
-                    continue
-                u, v = ((1 + np.log(c)) * idf[(h >> np.uint64(64 - s.df_bits)).astype(np.int64)] for h, c in ((p, m), (q, n)))
+                u, v = (weight_of(idf.levels(h, c, s), s) for h, c in ((p, m), (q, n)))
                 common = np.minimum(u[i], v[j]).sum()
                 weighted.append(float(common / max(u.sum() + v.sum() - common, 1e-12)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(weighted, pa.float64()), pa.array(exact, pa.float64())], ["x", "y", "weighted", "jaccard"])
@@ -329,26 +404,44 @@ def _verify(s: Settings, idf: np.ndarray | None):
     return run
 
 
-def near_duplicates(records: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """(members, links): id and rep of every record that takes part; x, y, weighted, jaccard of the linked
-    representatives; weighted is null if it has no bound. Records with the same shingle set have the same representative."""
+@dataclass(frozen=True)
+class _Signed:
+    """docs: id, content. members: id and rep of every record that takes part. classes: rep, bands, digest of the representatives."""
+
+    docs: DataFrame
+    members: DataFrame
+    classes: DataFrame
+    idf: Frequencies
+
+
+def _signed(records: DataFrame, s: Settings) -> _Signed:
     docs = records.where("id is not null and content is not null").select("id", "content")
-    idf = _weights(docs, s) if s.weighted else None
-    signed = docs.mapInArrow(_sign(s, idf), "id string, whole bigint, size bigint, bands array<bigint>, digest binary")
-    signed = materialize(signed)
+    idf = frequencies(docs, s)
+    signed = materialize(docs.mapInArrow(_sign(s, idf), "id string, whole bigint, size bigint, bands array<bigint>, digest binary"))
     first = signed.groupBy("whole", "size").agg(F.min("id").alias("rep"))
     members = materialize(signed.select("id", "whole", "size").distinct().join(first, ["whole", "size"]).select("id", "rep"))
     reps = members.where("id = rep").select("rep").distinct()
     classes = signed.dropDuplicates(["id"]).join(reps, signed.id == reps.rep, "left_semi").select(F.col("id").alias("rep"), "bands", "digest")
-    pairs = materialize(_candidates(classes, s))
+    return _Signed(docs, members, classes, idf)
+
+
+def _verified(pairs: DataFrame, g: _Signed, s: Settings) -> DataFrame:
+    """x, y, weighted, jaccard of the pairs that are alike."""
+    pairs = materialize(pairs)
     wanted = materialize(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct())
-    bags = docs.join(small_side(wanted, s.max_broadcast_rows), "id", "left_semi").mapInArrow(_bags(s), "id string, bag binary").dropDuplicates(["id"])
+    bags = g.docs.join(small_side(wanted, s.max_broadcast_rows), "id", "left_semi").mapInArrow(_bags(s), "id string, bag binary").dropDuplicates(["id"])
     bags = materialize(bags)
     left, right = bags.select(F.col("id").alias("x"), F.col("bag").alias("p")), bags.select(F.col("id").alias("y"), F.col("bag").alias("q"))
     joined = pairs.join(left, "x").join(right, "y").select("x", "y", "p", "q")
-    links = joined.mapInArrow(_verify(s, idf), "x string, y string, weighted double, jaccard double")
-    alike = F.col("jaccard") >= s.exact
-    return members, links.where(alike & (F.col("weighted") >= s.weighted) if s.weighted else alike)
+    links = joined.mapInArrow(_verify(s, g.idf), "x string, y string, weighted double, jaccard double")
+    return links.where((F.col("weighted") >= s.weighted) & (F.col("jaccard") >= s.exact))
+
+
+def near_duplicates(records: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """(members, links): id and rep of every record that takes part; x, y, weighted, jaccard of the linked
+    representatives. Records with the same shingle set have the same representative."""
+    g = _signed(records, s)
+    return g.members, _verified(_candidates(g.classes, s), g, s)
 
 
 def alike_pairs(records: DataFrame, s: Settings, expand: int = 64) -> DataFrame:
@@ -375,17 +468,14 @@ def alike_pairs(records: DataFrame, s: Settings, expand: int = 64) -> DataFrame:
     return every.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b")).distinct()
 
 
-def alike_groups(records: DataFrame, s: Settings, max_rounds: int = 30) -> DataFrame:
-    """id, rep, group_id, links of every record that takes part: group_id is the smallest representative that can be
-    reached over links, links the number of other texts linked with the record's text.
+def _components(links: DataFrame) -> DataFrame:
+    """rep, label: the smallest representative that can be reached over links x, y.
 
     Labels spread along links (large-star and small-star steps) on tables of links; each round is written to the
-    checkpoint folder. The rounds end when no edge changes.
+    checkpoint folder. The rounds end when no edge changes, whatever their number.
     """
-    members, links = near_duplicates(records, s)
-    links = materialize(links.select("x", "y"))
     edges = links
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
         large = both.join(low, "x").where("y > x").select(F.col("m").alias("x"), "y").where("x <> y")
@@ -393,11 +483,20 @@ def alike_groups(records: DataFrame, s: Settings, max_rounds: int = 30) -> DataF
         low = down.groupBy("x").agg(F.min("y").alias("m"))
         small = down.join(low, "x").select(F.col("m").alias("a"), F.col("y").alias("b")).where("a <> b").unionByName(low.select(F.col("m").alias("a"), F.col("x").alias("b")))
         after = materialize(small.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct())
-        done = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
-        edges = after
-        if done:
+        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
             break
-    label = edges.groupBy(F.col("y").alias("rep")).agg(F.min("x").alias("g"))
-    degree = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).groupBy(F.col("x").alias("rep")).agg(F.count(F.lit(1)).alias("links"))
-    out = members.join(label, "rep", "left").join(degree, "rep", "left")
-    return out.select("id", "rep", F.coalesce("g", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+        edges = after
+    one = after.groupBy(F.col("y").alias("rep")).agg(F.min("x").alias("label"))
+    return one.unionByName(one.select(F.col("label").alias("rep"), "label").distinct())
+
+
+def alike_groups(records: DataFrame, s: Settings) -> DataFrame:
+    """id, rep, group_id of every record that takes part: group_id is the smallest representative that can be
+    reached over links. The groups are those of all pairs, found without putting out all pairs of a family."""
+    g = _signed(records, s)
+    near = materialize(_verified(_stars(g.classes, s), g, s).select("x", "y"))
+    labels = materialize(_components(near))
+    rest = materialize(_verified(_apart(g.classes, labels, s), g, s).select("x", "y"))
+    if not rest.isEmpty():
+        labels = _components(labels.where("rep <> label").select(F.col("label").alias("x"), F.col("rep").alias("y")).unionByName(rest).distinct())
+    return g.members.join(labels, "rep", "left").select("id", "rep", F.coalesce("label", "rep").alias("group_id"))

@@ -10,7 +10,7 @@ from corpusmill.llm import boilerplate, host_lines, languages, mixing, near_dupl
 from corpusmill.llm.records import crawl_records
 from corpusmill.session import read_table
 
-ALIKE = near_duplicates.Settings(width=3, min_words=100, weighted=0, exact=0.7, bands=24)
+ALIKE = near_duplicates.Settings(width=3, min_words=100, weighted=0, exact=0.7)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

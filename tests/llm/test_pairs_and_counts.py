@@ -94,6 +94,62 @@ def test_large_classes_become_stars(spark):
     assert got == {(f"c0", f"c{i}") for i in range(1, 6)} | {("c0", "z")}
 
 
+def test_weighted_similarity_has_the_stated_bound():
+    """Weights differ by at most `spread`, so an exact similarity bounds the weighted one from below, whatever the frequencies."""
+    import numpy as np
+
+    s = N.Settings(width=3, weighted=0, exact=0.7)
+    assert abs(s.bound - 0.7 / (1.1 * 0.7 + 1.5 * 0.3)) < 1e-12
+    g = np.random.default_rng(0)
+    table = N.Frequencies(g.choice([0.0, 0.5, 7.0, 20.0], 1 << 14).astype(np.float32))
+    for _ in range(50):
+        keys = g.integers(0, 1 << 63, 100, dtype=np.uint64)
+        u, v = (N.weight_of(table.levels(keys, g.integers(1, 40, 100), s), s) for _ in range(2))
+        common, union = np.minimum(u[:70], v[:70]).sum(), np.maximum(u[:70], v[:70]).sum() + u[70:85].sum() + v[85:].sum()
+        assert common / union >= s.bound - 0.03  # weights are rounded to steps
+
+
+def test_families_take_linear_rows(spark):
+    """50 000 variants of one text, and a second family that shares bands with it: rows grow with the variants, not with their pairs."""
+    s = N.Settings(width=3, min_words=20, weighted=0, exact=0.7, bands=8)
+    base = [f"v{i}" for i in range(60)]
+    words = F.array(*[F.lit(w) for w in base])
+    n = 50_000
+    docs = spark.range(n, numPartitions=8).withColumnRenamed("id", "k").select(F.format_string("m%06d", "k").alias("id"), F.array_join(F.transform(words, lambda w, i: F.when(i == F.col("k") % 60, F.concat(F.lit("u"), F.col("k").cast("string"))).otherwise(w)), " ").alias("content"))
+    far = spark.createDataFrame([("far", " ".join(base[:40] + [f"q{i}" for i in range(20)])), ("lone", " ".join(f"z{i}" for i in range(60)))], "id string, content string")
+    signed = N._signed(docs.unionByName(far), s)
+    assert N._stars(signed.classes, s).count() <= s.bands * (n + 2)
+    got = N.alike_groups(docs.unionByName(far), s)
+    assert got.count() == n + 2
+    sizes = sorted(r["count"] for r in got.groupBy("group_id").count().collect())
+    assert sizes == [1, 1, n]
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_groups_meet_within_mixed_buckets(spark, block):
+    """Chains whose ends are not alike: hubs join parts of them, the rest meets in blocks."""
+    g = random.Random(9)
+    rows = []
+    for f in range(3):
+        v = [g.choice(WORDS) for _ in range(90)]
+        for i in range(25):
+            rows.append((f"k{f}{i:02}", " ".join(v)))
+            for _ in range(3):
+                v[g.randrange(len(v))] = f"n{f}x{i}"
+    pairs, parent = brute(rows, 0.7, 20), {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    s = N.Settings(width=3, min_words=20, weighted=0, exact=0.7, block=block)
+    got = {r.id: r.group_id for r in N.alike_groups(frame(spark, rows), s).collect()}
+    assert got == {i: find(i) for i, _ in rows}
+
+
 def test_groups(spark):
     rows = corpus(3)
     pairs = brute(rows, 0.7, 20)
