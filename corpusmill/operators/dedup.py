@@ -88,19 +88,19 @@ def merge_sources(parts: list[DataFrame], keys: list[str], text: str) -> DataFra
     return best.agg(F.min_by(F.struct(*rest), rank).alias("r")).select(C("_key").alias("merge_key"), *[C("r")[c].alias(c) for c in rest])
 
 
-def without_repeats(df: DataFrame, id_col: str = "id", order_col: str = "ingested_at", max_broadcast_rows: int = 200_000) -> DataFrame:
+def without_repeats(df: DataFrame, id_col: str = "id", order_col: str | None = "ingested_at", max_broadcast_rows: int = 200_000) -> DataFrame:
     """Keep the earliest row of each id without shuffling the wide rows where that is possible.
 
     Ids met more than once are found from two narrow columns. Rows of these ids alone are
     ordered and reduced; all others pass. The list of such ids is broadcast only after a count
     shows at most `max_broadcast_rows` of them; beyond that Spark shuffles both sides. Of rows
     that tie on id and order the one with the smallest content hash stays, so ties and exact repeats
-    leave one row. Null ids are dropped.
+    leave one row; without an order that hash alone decides. Null ids are dropped.
     """
     df = df.where(C(id_col).isNotNull())
     again = materialize(df.groupBy(id_col).agg(F.count(lit(1)).alias("n")).where("n > 1").select(id_col))
     once = df.join(small_side(again, max_broadcast_rows), id_col, "left_anti")
     twice = df.join(small_side(again, max_broadcast_rows), id_col, "left_semi")
     rest = [c for c in df.columns if c != id_col]
-    first = twice.groupBy(id_col).agg(F.min_by(F.struct(*rest), F.struct(C(order_col).isNull(), order_col, F.xxhash64(*rest))).alias("r"))
+    first = twice.groupBy(id_col).agg(F.min_by(F.struct(*rest), F.struct(*([C(order_col).isNull(), order_col] if order_col else []), F.xxhash64(*rest))).alias("r"))
     return once.select(*df.columns).unionByName(first.select(id_col, *[C("r")[c].alias(c) for c in rest]).select(*df.columns))
