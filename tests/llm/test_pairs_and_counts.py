@@ -232,6 +232,8 @@ def test_terms_equal_brute_force(spark):
     for limit in (1_000_000, 5):
         got = {r.term: (r.occurrences, r.records) for r in term_counts.term_counts(frame(spark, rows), limit).collect()}
         assert got == {t: (occ[t], rec[t]) for t in occ}
+    got = {r.term: (r.occurrences, r.records) for r in term_counts.term_counts(frame(spark, rows), 5, piece=7).collect()}  # counters put out within records
+    assert got == {t: (occ[t], rec[t]) for t in occ}
     marks = {r.term: r.mark for r in term_counts.marked_terms(frame(spark, rows)).collect()}
     assert all(marks[t] == ("rare" if rec[t] < 3 else "common" if rec[t] > 0.2 * len(docs) else None) for t in rec)
 
