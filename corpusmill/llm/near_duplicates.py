@@ -13,7 +13,8 @@
 3. Improved consistent weighted sampling (Ioffe) draws `bands * rows` samples per record. Two records agree in a
    sample with probability equal to their weighted Jaccard similarity. Samples are cut into
    bands; records that agree in a whole band are candidates.
-4. Pairs (`alike_pairs`): bands are shuffled with a four-bit digest per sample. Buckets of more than `block` members are
+4. Pairs (`alike_pairs`): bands are shuffled with a four-bit digest per sample; where the exact similarity decides, the digests are of as many
+   minwise samples, which estimate it. Buckets of more than `block` members are
    cut into blocks and every pair of blocks becomes a cell of its own, so a bucket that holds
    a third of all records is spread over many tasks. A cell puts out only pairs whose digests agree in enough places.
    Groups (`alike_groups`): each member of a bucket meets only the bucket's hub first, which joins most of a
@@ -69,8 +70,8 @@ class Settings:
     @property
     def least(self) -> int:
         """Samples in which the digests of a pair that counts agree, but for three deviations of the estimate."""
-        n = self.bands * self.rows
-        return int(np.ceil(n * max(self.bound - 3 * np.sqrt(self.bound * (1 - self.bound) / n), 0.5 * self.bound)))
+        n, b = self.bands * self.rows, self.weighted or self.exact
+        return int(np.ceil(n * max(b - 3 * np.sqrt(b * (1 - b) / n), 0.5 * b)))
 
 
 _TABLE_BITS = 14
@@ -218,6 +219,15 @@ def _sample(keys: np.ndarray, level: np.ndarray, starts: np.ndarray, draws: tupl
     return out
 
 
+def _minima(keys: np.ndarray, starts: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """One 64-bit minwise sample per record and draw: two records agree with probability equal to their exact set similarity."""
+    out = np.zeros((len(odd), len(starts)), np.uint64)
+    with np.errstate(over="ignore"):
+        for k, m in enumerate(odd):
+            out[k] = B.mix(np.minimum.reduceat(keys * m, starts) + m)
+    return out
+
+
 def _packed(got: np.ndarray) -> np.ndarray:
     """Four bits of each sample, two samples a byte, one row per record; an odd sample is paired with zeros."""
     d = (got & np.uint64(15)).astype(np.uint8)
@@ -243,7 +253,7 @@ def _sign(s: Settings, idf: Frequencies):
                             x = B.mix(x * np.uint64(5) + got[j * s.rows + q])
                         band[j] = x
                 size = np.diff(np.append(starts, len(keys)))
-                digest = _packed(got)
+                digest = _packed(got if s.weighted else _minima(keys, starts, draws[0]))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fit) * s.bands + 1, s.bands), pa.int32()), pa.array(np.ascontiguousarray(band.T).view(np.int64).ravel()))
                 ids = batch.column(0).slice(lo).take(pa.array(fit))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(whole.view(np.int64)), pa.array(size), bands, pa.array([x.tobytes() for x in digest], pa.binary())], ["id", "whole", "size", "bands", "digest"])
