@@ -1,21 +1,22 @@
 """Problem 5: template residue, filler and error pages by character n-gram models.
 
-Hashed n-gram models are fitted for residue text (filler, stand-in text, error and script notices), for
-unfilled placeholders, and for everything else. The log-likelihood ratio per byte localises
-residue: lines whose mean ratio is high are residue text, short windows of a high ratio are
-candidate placeholders. A placeholder counts if its window holds one of the notations of
-template languages and its surroundings do not read like writing about placeholders, which a
-further model of such writing decides. A record is excluded if error text covers at least
-`error_cover` of it, or if it holds a placeholder, or at least `residue_bytes` of filler or stand-in text.
-
-The models learn from a bounded sample of records (`sample_pages`) that weak rules label, and from the seed phrases below.
+Hashed n-gram models are fitted for filler and stand-in text, for error and script notices, for unfilled placeholders, and for
+everything else. The log-likelihood ratio per byte localises residue: lines whose mean ratio is high are residue text;
+windows of a high ratio are placeholders. Placeholders are modelled twice, by their characters and by their shape (letters and digits
+stand for their class), so a field name never seen before in a notation that is known scores as high as a known one. Whether the
+words around a placeholder read like writing about placeholders is told by a model of such writing. A record is
+excluded by coverage: error text over at least `error_cover` of it, or at least `residue_bytes` of filler or stand-in text, or
+at least `mark_bytes` of placeholders.
+
+The models start from the seed phrases below, which are common knowledge of web publishing, and from notations of public
+template languages filled with common field names. Then they learn from a bounded sample of records (`sample_pages`) in
+rounds: what the models of one round find in the sample is residue to the next, and what stands in records that are mostly error text, too.
 
 Nulls: rows without id or content are left out. Empty texts have no residue. Repeated rows count once.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,68 +30,92 @@ from corpusmill.llm.boilerplate import sample
 BITS = 18
 ORDER = 5
 
+# The printer's and web designers' usual filler texts.
 FILLER_SEEDS = (
     "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.",
     "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.",
     "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.",
-)
+    "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.",
+    "Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium, totam rem aperiam.",
+    "Nemo enim ipsam voluptatem quia voluptas sit aspernatur aut odit aut fugit, sed quia consequuntur magni dolores eos.",
+    "Vivamus sagittis lacus vel augue laoreet rutrum faucibus dolor auctor. Maecenas faucibus mollis interdum. Nullam quis risus eget urna mollis ornare vel eu leo.",
+)
 STAND_IN_SEEDS = (
-    "This is sample text. Replace it with your own words before publishing.", "Your text goes here", "Heading goes here", "Title goes here", "Content coming soon", "Coming soon",
-    "Write something about this section here", "Write a short introduction here", "Insert a caption for the picture above.", "Insert text here", "Add your content here",
-    "Short description of the item will come here.", "A longer description will come here.", "This is where the introduction will be added", "This is where the summary will be added",
-    "Your subtitle, if any", "Your headline here", "Text text text text text text.", "Sample heading", "Placeholder text, to be replaced", "Click here to edit this text", "Replace this text with your own",
-    "This page is under construction", "To be added later", "Dummy text for layout only", "Text to be supplied by the author",
+    "Far far away, behind the word mountains, far from the countries Vokalia and Consonantia, there live the blind texts.",
+    "Weit hinten, hinter den Wortbergen, fern der Länder Vokalien und Konsonantien leben die Blindtexte.",
+    "The quick brown fox jumps over the lazy dog.", "Li Europan lingues es membres del sam familie.", "asdf asdf asdf asdf", "qwerty qwerty qwerty", "bla bla bla bla bla", "foo bar baz qux",
+    "This is sample text.", "This is dummy text.", "This is a placeholder.", "Placeholder text", "Dummy text", "Sample text", "Sample page", "Sample title", "Sample heading", "Sample content", "Example heading",
+    "Your text here", "Your text goes here", "Your title here", "Your heading here", "Your content here", "Your name here", "Your logo here", "Your caption here", "Add text here", "Add your text here", "Add a short description here",
+    "Add content here", "Add a title", "Add a subtitle", "Insert text here", "Insert content here", "Insert image here", "Insert title here", "Insert caption here", "Enter text here", "Enter your text here", "Type your text here", "Write your text here", "Write something here", "Write a description here",
+    "Text goes here", "Title goes here", "Heading goes here", "Content goes here", "Body goes here", "Caption goes here", "Description goes here", "The text will be placed here", "The content will be added here later", "Introduction will be added here", "Summary will come here", "Details will be added soon",
+    "Click here to edit this text", "Double click to edit", "Click to add title", "Click to add text", "Edit this text", "Replace this text with your own.", "Replace this with your own words.", "Delete this text and write your own.", "I am a paragraph. Click here to add your own text and edit me.", "This is a paragraph. Use this space to tell people more about your site.",
+    "Hello world! Welcome to your new site. This is your first post. Edit or delete it, then start writing!", "Just another blog", "This is an example page.", "Coming soon", "Content coming soon", "More content coming soon", "Page under construction", "This page is under construction.", "This section is under construction.", "Under construction, please check back later.", "To be added", "To be announced", "To be updated", "To be filled in", "Text to follow", "Text to be supplied", "Copy to come",
+    "Hier steht ein Beispieltext.", "Blindtext", "Platzhaltertext", "Text folgt", "Hier kommt Ihr Text hin.", "Inhalt folgt in Kürze", "Diese Seite befindet sich im Aufbau.", "Ceci est un texte d'exemple.", "Texte à venir", "Votre texte ici", "Insérez votre texte ici", "Page en construction", "Contenu à venir", "Faux texte", "Este es un texto de ejemplo.", "Texto de relleno", "Su texto aquí", "Escriba su texto aquí", "Página en construcción", "Próximamente", "Este é um texto de exemplo.", "Seu texto aqui", "Digite seu texto aqui", "Página em construção", "Em breve", "Conteúdo em breve",
+    "यहाँ अपना पाठ लिखें", "यह एक नमूना पाठ है।", "नमूना पाठ", "जल्द आ रहा है", "पृष्ठ निर्माणाधीन है", "येथे आपला मजकूर लिहा", "हा नमुना मजकूर आहे.", "नमुना मजकूर", "लवकरच येत आहे", "पान निर्माणाधीन आहे",
 )
+# What servers, frameworks and browsers say.
 ERROR_SEEDS = (
-    "404 - the page you asked for could not be found. It may have moved. Return to the start page.", "404 Not Found", "403 Forbidden", "502 Bad Gateway", "503 Service Unavailable", "504 Gateway Timeout",
-    "500 Internal Server Error. The server met an unexpected condition. Please try again later.", "Sorry, this page does not exist.", "The requested resource could not be loaded.", "This address cannot be displayed. Check the address and reload.",
-    "Your session has expired. Log in again to continue.", "Too many requests. Wait 30 seconds and reload.", "The service is down for maintenance. We are sorry for the trouble.", "Database connection failed: too many clients",
-    "Fatal error: uncaught exception on line 12", "Warning: include(): failed to open stream on line 5", "Traceback: template not found", "Access denied. You do not have permission to view this page.", "The file has been removed or is temporarily unavailable.",
-    "The document timed out after 100 ms. Contact the help desk with ticket 100.", "We regret that the portal is restricted to staff.", "Oops! Nothing here. The address does not match any document.", "Index of / Name Last modified Size Parent Directory",
-    "Please enable JavaScript to view this page.", "This page requires JavaScript to render.", "You need to allow JavaScript and cookies to run this app.", "Your browser does not support scripting, which is required.", "This site will not work unless scripts are allowed.",
-    "The form cannot start because scripting is disabled; switch it on to continue.", "This page relies on JavaScript, which seems to be off. Change the setting and refresh.", "Loading... if nothing happens, scripts may be blocked.", "Checking your browser before you reach the site. This may take 10 seconds.",
-    "This page stays blank while a blocker is on.", "Bitte aktivieren Sie JavaScript, um das Portal zu nutzen.", "Seite nicht gefunden. Die angeforderte Datei ist nicht vorhanden.", "Page non trouvée. Le document demandé n'existe plus sur ce serveur.", "Veuillez activer JavaScript pour voir cette page.",
-    "No se encuentra la página solicitada. Vuelva al inicio.", "Active JavaScript para ver el contenido.", "Página não encontrada. O documento pedido não existe neste servidor.", "Ative o JavaScript para ver esta página.", "पृष्ठ नहीं मिला। कृपया मुख्य पृष्ठ पर लौटें।", "पान सापडले नाही. कृपया मुखपृष्ठावर परत जा.", "कृपया जावास्क्रिप्ट सक्षम करें।",
+    "404 Not Found", "Error 404", "404 - Page not found", "404 File or directory not found.", "Page not found", "The page you requested could not be found.", "The page you are looking for does not exist.", "The page you are looking for might have been removed, had its name changed, or is temporarily unavailable.", "Sorry, the page you were looking for was not found.", "Oops! That page can't be found.", "It looks like nothing was found at this location.", "The requested URL was not found on this server.", "We could not find the page you requested. It may have been moved or deleted.", "This page no longer exists.", "The link you followed may be broken, or the page may have been removed.", "Please check the URL and try again.", "Go back to the home page.", "Return to the homepage or use the search.",
+    "400 Bad Request", "Your browser sent a request that this server could not understand.", "401 Unauthorized", "You must log in to view this page.", "403 Forbidden", "You don't have permission to access this resource on this server.", "Access denied", "You are not authorized to view this page.", "405 Method Not Allowed", "408 Request Timeout", "410 Gone", "The requested resource is no longer available on this server.", "429 Too Many Requests", "You have sent too many requests in a given amount of time. Please wait and try again.",
+    "500 Internal Server Error", "The server encountered an internal error or misconfiguration and was unable to complete your request.", "Something went wrong. Please try again later.", "An unexpected error occurred.", "An error occurred while processing your request.", "502 Bad Gateway", "The proxy server received an invalid response from an upstream server.", "503 Service Unavailable", "The server is temporarily unable to service your request due to maintenance downtime or capacity problems.", "The site is down for maintenance. Please come back soon.", "Briefly unavailable for scheduled maintenance. Check back in a minute.", "504 Gateway Timeout", "The upstream server is timing out.", "The connection has timed out.", "This site can't be reached", "The server took too long to respond.", "The request timed out.", "Please contact the administrator and inform them of the time the error occurred.", "More information about this error may be available in the server error log.", "Reference number of the error: 000000", "Incident ID: 0000", "nginx", "Apache Server at port 80",
+    "Error establishing a database connection", "Could not connect to the database: too many connections", "Connection refused", "Database error", "SQLSTATE[HY000]: General error: server has gone away", "Warning: mysql_connect(): Access denied for user", "Warning: include(): failed to open stream: No such file or directory in index.php on line 12", "Fatal error: Call to undefined function in functions.php on line 10", "Fatal error: Uncaught exception thrown in on line 1", "Fatal error: Allowed memory size exhausted", "Notice: Undefined index in on line", "Parse error: syntax error, unexpected end of file", "Traceback (most recent call last): File line in module", "Exception in thread main java.lang.NullPointerException", "HTTP Status 500 - Internal Server Error", "Server Error in Application. Runtime Error", "Whitelabel Error Page. This application has no explicit mapping for error", "TemplateDoesNotExist", "Template not found", "Segmentation fault", "Stack trace:",
+    "Your session has expired. Please log in again.", "Session timed out. Please sign in again to continue.", "Your session has ended due to inactivity.", "The file you requested is not available.", "The document could not be loaded.", "The document could not be opened.", "This content is not available.", "This content is no longer available.", "The file is damaged and could not be repaired.", "Unable to load the page. Check your connection and reload.", "Failed to load resource", "Index of / Name Last modified Size Description Parent Directory", "This domain is for sale. This account has been suspended.", "Your access to this site has been limited.", "Sorry, you have been blocked. You are unable to access this site.",
+    "Please enable JavaScript", "Please enable JavaScript to continue using this application.", "You need to enable JavaScript to run this app.", "This site requires JavaScript to work properly.", "This page requires JavaScript. Please turn it on in your browser settings and reload.", "JavaScript is disabled in your browser. Please enable JavaScript to use this site.", "JavaScript must be enabled in order to view this page.", "JavaScript is required to view this content.", "It appears that JavaScript is not enabled in your browser.", "Your browser does not support JavaScript.", "Your browser does not support scripts, or scripts are blocked.", "Scripts are required for this page to work. Allow scripts and reload the page.", "Some features of this site will not work without scripts.", "For full functionality of this site it is necessary to enable JavaScript.", "Enable JavaScript and cookies to continue", "Please turn JavaScript on and reload the page.", "Please disable your ad blocker and reload the page.", "Checking your browser before accessing the site.", "Checking if the site connection is secure. This process is automatic. Your browser will redirect to your requested content shortly.", "Please wait while we verify your browser.", "Verify you are human by completing the action below.", "Loading, please wait...", "Loading... If the page does not load, enable JavaScript.", "Your browser is out of date. Please update your browser to view this site.", "This browser is not supported.",
+    "Seite nicht gefunden", "Die angeforderte Seite wurde nicht gefunden.", "Die gewünschte Seite existiert nicht.", "Zugriff verweigert", "Interner Serverfehler", "Der Dienst ist vorübergehend nicht verfügbar.", "Ein Fehler ist aufgetreten. Bitte versuchen Sie es später erneut.", "Ihre Sitzung ist abgelaufen. Bitte melden Sie sich erneut an.", "Bitte aktivieren Sie JavaScript in Ihrem Browser.", "Diese Seite benötigt JavaScript.", "Zum Anzeigen dieser Seite muss JavaScript aktiviert sein.",
+    "Page non trouvée", "Page introuvable", "La page que vous cherchez n'existe pas ou a été déplacée.", "La page demandée est introuvable.", "Accès refusé", "Erreur interne du serveur", "Le service est temporairement indisponible.", "Une erreur est survenue. Veuillez réessayer plus tard.", "Votre session a expiré. Veuillez vous reconnecter.", "Veuillez activer JavaScript dans votre navigateur.", "Ce site nécessite JavaScript pour fonctionner.", "JavaScript est désactivé dans votre navigateur.",
+    "Página no encontrada", "La página que busca no existe o ha sido movida.", "No se ha encontrado la página solicitada.", "Acceso denegado", "Error interno del servidor", "El servicio no está disponible temporalmente.", "Se ha producido un error. Inténtelo de nuevo más tarde.", "Su sesión ha caducado. Inicie sesión de nuevo.", "Por favor, active JavaScript en su navegador.", "Este sitio requiere JavaScript.", "JavaScript está desactivado en su navegador.",
+    "Página não encontrada", "A página que você procura não existe ou foi movida.", "A página solicitada não foi encontrada.", "Acesso negado", "Erro interno do servidor", "O serviço está temporariamente indisponível.", "Ocorreu um erro. Tente novamente mais tarde.", "Sua sessão expirou. Entre novamente.", "Por favor, ative o JavaScript no seu navegador.", "Este site requer JavaScript.", "O JavaScript está desativado no seu navegador.",
+    "पृष्ठ नहीं मिला", "आप जो पृष्ठ खोज रहे हैं वह मौजूद नहीं है।", "प्रवेश निषेध", "आंतरिक सर्वर त्रुटि", "सेवा अस्थायी रूप से अनुपलब्ध है।", "कोई त्रुटि हुई। कृपया बाद में पुनः प्रयास करें।", "आपका सत्र समाप्त हो गया है।", "कृपया अपने ब्राउज़र में जावास्क्रिप्ट सक्षम करें।", "पान सापडले नाही", "आपण शोधत असलेले पान अस्तित्वात नाही.", "प्रवेश नाकारला", "सेवा तात्पुरती उपलब्ध नाही.", "काहीतरी चूक झाली. कृपया नंतर पुन्हा प्रयत्न करा.", "आपले सत्र संपले आहे.", "कृपया आपल्या ब्राउझरमध्ये जावास्क्रिप्ट सुरू करा.",
 )
+# Writing about placeholders and errors, as manuals and lessons have it.
 MENTION_SEEDS = (
-    "A template engine replaces marks like {{ name }} with a value taken from the record.", "Marks such as [name] or <date> in the sample letter show students where their own details belong.",
-    "The exercise on shell variables prints ${HOME} and then explains why quoting matters.", "The manual describes the notation {{title}}, which stands for the title of a page.", "In the syntax of the tool, a field is written as <%= name %>, for example.",
-    "The lesson shows how %USER% is expanded when the script runs.",
+    "In the template language a variable is written between double braces, for example {{ user }}, and is replaced by its value when the page is rendered.", "The placeholder %s stands for a string, and %d for a number.", "The syntax ${variable} expands to the value of the variable in the shell.", "Tags such as <div> and <span> group other elements of a page.", "The notation [x] means that the argument is optional.",
+    "Students learn how a form letter replaces a field like [Name] with an entry of the address list.", "This chapter explains what the expression <%= value %> prints and why it should be escaped.", "In the documentation, words in angle brackets, such as <file>, are to be replaced by the reader.", "The tutorial shows how the merge field is filled from the table.", "A block like {% for item in list %} is called a loop; the engine repeats its body.", "In this example, the string %PATH% refers to an environment variable.", "Authors often use the marker TODO: in comments, which the tool then lists.",
 )
-_FIELDS = ("title", "name", "date", "author", "summary", "body", "contact", "amount", "department", "heading", "course_code", "event_title", "dean_name", "email", "address", "description", "room", "phone", "place", "year", "code", "number", "image", "link", "url", "city", "street", "time", "page", "section", "item", "caption", "footer", "header", "user", "id", "first_name", "office", "course", "text", "content", "subject", "company", "value")
+# Ordinary uses of the signs that notations are made of.
+ORDINARY_SEEDS = (
+    "as was shown before [1] and [2, 3]", "in the report [see table 2 and note 3] it is said", "(see table 2 [and note 3])", "the author [and others] of the book", "he said [in a letter] that", "the interval [0, 1] and the set {1, 2, 3}", "if a < b and b > c then", "f(x) = {a, b}", "about 50 % of 100 $ and 20 %", "# 1 of 20, C# and F#", "(in a note) and (for the year 2020)", "a & b, c | d, e * f", "the array a[i] and b[j]",
+    "<b>bold</b> and <i>italic</i>", "<td>cell</td><td>cell</td>", "<p>text</p>", "<br>", "<hr>", "<div>", "<tr>", "<li>item</li>", "<ul>", "<b> and </b>", "<span>", "</table>", "<em>word</em>",
+)
+_FIELDS = ("title", "name", "date", "author", "summary", "body", "amount", "department", "heading", "email", "address", "description", "phone", "place", "year", "code", "number", "image", "link", "url", "city", "street", "time", "section", "item", "caption", "user", "id", "first_name", "last_name", "full name", "office", "text", "content", "subject", "company", "company name", "value", "page_title", "event date", "product", "price", "message", "order_id")
+# Notations of public template languages, mail merges and drafts.
 _FORMS = (
-    "{{ %s }}", "{{%s}}", "{{{%s}}}", "{%% if %s %%}", "{%% block %s %%}", "${%s}", "<%%= %s %%>", "<?php echo %s ?>", "[[%s]]", "*|%s|*", "%%%s%%", "__%s__", "$$%s$$", "@Model.%s", "{%s}", "#{%s}",
-    "[Your %s]", "[INSERT %s HERE]", "[%s to be confirmed by web team]", "(%s goes here)", "<enter %s>", "&lt;%s&gt;", "TODO: add %s", "[object Object]", "[%s]", "<%s>", "Dear [%s],", "TBD: %s",
+    "{{ %s }}", "{{%s}}", "{{{%s}}}", "{{ page.%s }}", "{%% if %s %%}", "{%% block %s %%}", "{%% include '%s' %%}", "{%% endif %%}", "${%s}", "#{%s}", "{%s}", "<%%= %s %%>", "<%% %s %%>", "<?php echo $%s; ?>", "<?= $%s ?>", "[[%s]]", "[%%%s%%]", "*|%s|*", "%%%s%%", "%%%%%s%%%%", "##%s##", "__%s__", "$$%s$$", "$%s$", "@@%s@@", "@Model.%s", "@{%s}", "&lt;%s&gt;", "«%s»", "<<%s>>", "<%s>", "[%s]",
+    "[Your %s]", "[your %s here]", "[Insert %s]", "[Insert %s here]", "[insert %s here]", "[INSERT %s HERE]", "[Enter %s]", "[Add %s]", "[add %s here]", "[%s here]", "[%s goes here]", "(%s goes here)", "(insert %s)", "<insert %s>", "<insert %s here>", "<your %s>", "<enter %s>", "<add %s here>", "[%s to be confirmed]", "[%s to be announced]", "[%s TBC]", "[%s TBD]", "Dear [%s],", "Dear <%s>,", "TODO: add %s", "TODO: %s", "TBD: %s", "FIXME: %s", "XXX: %s", "%s: TBD", "%s: [TBC]",
 )
-# Notations of template languages and authors' notes; a field is a word in one case.
-_WORD = r"(?:[a-z]+(?:[_ .]?[a-z]+){0,4}|[A-Z]+(?:[_ .]?[A-Z]+){0,4})"
-_NOTATION = re.compile(
-    rf"""\{{\{{[^{{}}\n]{{1,60}}\}}\}} | \{{%[^%\n]{{1,60}}%\}} | [$\#]\{{{_WORD}\}} | <%[^%\n]{{1,60}}%> | <\?[^?\n]{{1,60}}\?> | \[\[[^\[\]\n]{{1,40}}\]\] | \*\|[A-Za-z_ ]{{2,40}}\|\*
-    | (?<![%\w])%{_WORD}%(?!\w) | (?<!\w)__{_WORD}__(?!\w) | \$\${_WORD}\$\$ | @(?:Model|model)\.\w+ | (?<![\w{{])\{{{_WORD}\}}(?![\w}}]) | \[object\ Object\] | &lt;\s?{_WORD}\s?&gt;
-    | \[(?:your|insert|enter|add|type)\ [^\]\n]{{1,50}}\] | \[[^\]\n]{{1,40}}\ to\ be\ [^\]\n]{{1,40}}\] | \([\w ]{{2,40}}\ (?:goes|comes|will\ go)\ here\) | <(?:enter|insert|your|add)\ [^<>\n]{{1,40}}>
-    | (?<!\w)(?:TODO|FIXME|TBD|XXX):\ ?\w+ | (?<![\w\]])\[{_WORD}\](?!\w) | (?<![\w<])<{_WORD}>(?!\w)""",
-    re.X,
-)
-_LOOSE = re.compile(_NOTATION.pattern, re.X | re.I)
-_MARKUP = re.compile(r"^<(?:td|tr|th|br|hr|p|b|i|u|a|li|ul|ol|div|span|table|body|html|head|pre|code|em|strong|img|sub|sup)>$", re.I)
-_ERROR = re.compile(
-    r"not found|cannot be (?:displayed|found)|could not be (?:found|loaded)|does not (?:exist|match any)|temporarily unavailable|has been removed|timed out|failed with code|returned no answer|restricted to staff|refused by|bad gateway|internal server error"
-    r"|session has expired|too many requests|down for maintenance|connection failed|fatal error|failed to open|traceback|javascript|scripting|scripts (?:are allowed|may be blocked)|a blocker is on|js to render|checking your browser|parent directory"
-    r"|nicht gefunden|non trouvée|no se encuentra|não encontrada|नहीं मिला|सापडले नाही", re.I)
+_PLAIN_FORMS = ("[object Object]", "[TBC]", "[TBD]", "[...]", "undefined undefined", "NaN undefined NaN", "Array ( [0] => )", "[citation needed]", "%s %d")
 
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_pages: records that train the models. line_ratio, window_ratio: mean log-likelihood ratios per n-gram."""
+    """sample_pages: records that the models learn from, in `rounds`. line_ratio, error_ratio, stand_in_ratio: mean log-likelihood ratios per byte of a
+    line of filler, error and stand-in text; the last may also show in a window alone. window_ratio: that of a placeholder in `window` bytes; shape_ratio: the same per symbol over `symbols` of them. seed_window, seed_ratio: windows that make a line residue to the next round; of
+    error text only in records of at most `notice_bytes` and `notice_lines`. error_cover, residue_bytes, mark_bytes: coverage at which a record is
+    excluded. ordinary: weight of ordinary uses of signs against notations. mention_reach, mention_window, mention_ratio: bytes on either side of a placeholder, and the window there whose mean ratio
+    shows writing about placeholders."""
 
     sample_pages: int = 2500
-    line_ratio: float = 0.6
-    window_ratio: float = 0.25
+    rounds: int = 4
+    line_ratio: float = 0.4
+    error_ratio: float = 0.1
+    stand_in_ratio: float = 0.3
+    stand_in_window: int = 12
+    stand_in_sure: float = 1.6
+    window_ratio: float = 3.5
     window: int = 10
+    shape_ratio: float = 2.5
+    symbols: int = 2
+    seed_window: int = 7
+    seed_ratio: float = 3.5
+    notice_bytes: int = 400
+    notice_lines: int = 4
     error_cover: float = 0.6
     residue_bytes: int = 12
-    mention_reach: int = 40
-    mention_ratio: float = 0.9
+    mark_bytes: int = 5
+    ordinary: int = 15
+    mention_reach: int = 60
+    mention_window: int = 8
+    mention_ratio: float = 2.3
 
 
 _MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
@@ -110,12 +135,27 @@ def grams(low: np.ndarray) -> np.ndarray:
     return (h >> np.uint32(32 - BITS)).astype(np.int32)
 
 
-def _count(texts: list[str]) -> np.ndarray:
+# Classes of bytes: letters of any script and case, digits; all others stand for themselves.
+_SHAPE = np.arange(256, dtype=np.uint8)
+_SHAPE[97:123], _SHAPE[65:91], _SHAPE[48:58], _SHAPE[128:] = 97, 97, 48, 97
+
+
+def shapes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Address of the n-gram of shape that begins at each symbol, and the symbol's place; runs of letters or digits are one symbol."""
+    x = _SHAPE[buf]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | ((x[1:] != 97) & (x[1:] != 48))
+    at = np.flatnonzero(new)
+    return grams(x[at]), at
+
+
+def _count(texts: list[str], shape: bool = False) -> np.ndarray:
     buf, starts = B.joined([t.lower().encode("utf-8", "replace") for t in texts])
-    g = grams(buf)
+    g, at = shapes(buf) if shape else (grams(buf), np.arange(len(buf)))
     inside = np.ones(len(g), bool)
+    ends = np.searchsorted(at, starts[1:] - 1)
     for k in range(ORDER):
-        inside[np.maximum(starts[1:] - 1 - k, 0)] = False
+        inside[np.maximum(ends - k, 0)] = False
     return np.bincount(g[inside], minlength=1 << BITS).astype(float)
 
 
@@ -129,38 +169,74 @@ def _ratio(a: np.ndarray, b: np.ndarray, alpha: float = 0.3, usual: float = 0.0)
     return r.astype(np.float32)
 
 
+def _noise(lines: int = 2000) -> list[str]:
+    """Random signs and letters: junk that holds the signs of notations by chance."""
+    g = np.random.default_rng(11)
+    signs = list("!#$%&'()*+,-./:;<=>?@[]^_`{|}~ ")
+    return ["".join(g.choice([*signs, "a", "b a"], 40)) for _ in range(lines)]
+
+
 @dataclass(frozen=True)
 class Model:
-    """Log-likelihood ratios by n-gram address: residue text, error notices, placeholders and mentions against other text."""
+    """Log-likelihood ratios by n-gram address: filler in made-up Latin, stand-in text, error notices, placeholders by characters and by shape, and mentions
+    against other text."""
 
     filler: np.ndarray
+    stand_in: np.ndarray
     error: np.ndarray
     mark: np.ndarray
+    form: np.ndarray
     mention: np.ndarray
     settings: Settings
 
 
 def train(texts: list[str], s: Settings = Settings()) -> Model:
-    filler, error, other, marks, mention = list(FILLER_SEEDS + STAND_IN_SEEDS), list(ERROR_SEEDS), [], [], list(MENTION_SEEDS)
-    marks = [f % w for f in _FORMS if "%s" in f for w in (*_FIELDS, *(x.upper() for x in _FIELDS))]
-    about = re.compile(r"\b(?:such as|marks like|stands for|prints|explains|replaces|notation|syntax)\b")
-    for t in texts:
-        lines = [x for x in t.split("\n") if x.strip()]
-        if len(t) < 500 and len(lines) <= 4 and _ERROR.search(t):
-            error += lines
-        elif re.match(r"\s*lorem ipsum\b", t, re.I):
-            filler += lines
-        else:
-            for x in lines:
-                if (m := _NOTATION.search(x)) and not _MARKUP.match(m.group()):
-                    if about.search(near := x[max(0, m.start() - 50) : m.end() + 50]):
-                        mention.append(near)
-                    else:
-                        marks.append(m.group())
-                else:
-                    other.append(x)
-    o = _count(other)
-    return Model(_ratio(_count(filler * 3), o, usual=3e-6), _ratio(_count(error), o, usual=3e-5), _ratio(_count(marks), o), _ratio(_count(mention), o), s)
+    seeds = list(FILLER_SEEDS), list(ERROR_SEEDS), [*(f % w for f in _FORMS if f.count("%s") == 1 for w in (*_FIELDS, *(x.upper() for x in _FIELDS))), *_PLAIN_FORMS]
+    noise = _noise()
+    known, pages = set(), [t.encode("utf-8", "replace") for t in texts]
+    lines = [[x for x in t.split("\n") if x.strip()] for t in texts]
+    found = ([], [])
+    for turn in range(s.rounds):
+        filler, error = (list(a) + b for a, b in zip(seeds, found))
+        marks, shown = seeds[2], [f"word {x} word" for x in seeds[2]] + [f"word: {x}" for x in seeds[2]] + seeds[2]
+        other = [x for part in lines for x in part if x not in known]
+        o, shape = _count(other + list(ORDINARY_SEEDS) * 5), _count(other + noise + list(ORDINARY_SEEDS) * s.ordinary, True)
+        spread = lambda more: _count([x for x in more for _ in range(3)])
+        m = Model(_ratio(spread(filler), o, usual=3e-6 * (turn > 0)), _ratio(spread(STAND_IN_SEEDS), o, usual=1e-5), _ratio(spread(error), o, usual=3e-5 * (turn > 0)), _ratio(_count(marks), o, usual=3e-6), _ratio(_count(shown, True), shape, usual=1e-4), _ratio(_count(list(MENTION_SEEDS)), o), s)
+        if turn + 1 == s.rounds:
+            return m
+        # what this round finds is residue to the next
+        found, known = ([], []), set()
+        for lo in range(0, len(pages), 200):
+            f = scan(m, pages[lo : lo + 200])
+            n = len(f.marked)
+            low = B.lowered(f.buf)
+            total = np.maximum(np.bincount(f.doc, weights=f.size, minlength=n), 1)
+            brief = (total < s.notice_bytes) & (np.bincount(f.doc, minlength=n) <= s.notice_lines)
+            g = grams(low)
+            filler, error = (_holds(x[g], f, s.seed_window, s.seed_ratio) for x in (m.filler, m.error))
+            filler |= _mean(m.filler[g], f.start, f.end) > s.line_ratio
+            notice = brief & (np.bincount(f.doc[error | f.error], minlength=n) > 0)
+            for d, a, b, is_filler in zip(f.doc.tolist(), f.start.tolist(), f.end.tolist(), filler.tolist()):
+                if not is_filler and not notice[d]:
+                    continue
+                text = bytes(f.buf[a:b]).decode("utf-8", "replace")
+                found[1 if notice[d] and not is_filler else 0].append(text)
+                known.add(text)
+            at = np.searchsorted(f.start, [a for a, _ in f.marks], side="right") - 1
+            known.update(bytes(f.buf[f.start[i] : f.end[i]]).decode("utf-8", "replace") for i in at.tolist())
+    return m
+
+
+def _holds(ratio: np.ndarray, f: "Found", window: int, least: float) -> np.ndarray:
+    """Lines that hold a window of the given mean ratio."""
+    lo, _ = _windows(ratio, window, least)
+    out = np.zeros(len(f.doc), bool)
+    if len(lo):
+        i = np.searchsorted(f.start, lo, side="right") - 1
+        i = i[i >= 0]
+        out[i] = True
+    return out
 
 
 def _mean(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -173,7 +249,8 @@ def _mean(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Found:
-    """Per non-blank line: text, line number, bytes, and whether it is filler or an error notice; per text: placeholder found."""
+    """Per non-blank line: text, line number, bytes, and whether it is filler or an error notice; per text: bytes of placeholders,
+    whose places are `marks`."""
 
     doc: np.ndarray
     no: np.ndarray
@@ -183,13 +260,15 @@ class Found:
     marked: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    buf: np.ndarray
+    marks: list[tuple[int, int]]
 
     def verdict(self, s: Settings) -> np.ndarray:
         n = len(self.marked)
         total = np.bincount(self.doc, weights=self.size, minlength=n)
         e = np.bincount(self.doc, weights=self.size * (self.error | self.filler), minlength=n)
         f = np.bincount(self.doc, weights=self.size * self.filler, minlength=n)
-        return (total > 0) & (self.marked | (e >= s.error_cover * total) & (e > 0) | (f >= s.residue_bytes))
+        return (total > 0) & ((self.marked >= s.mark_bytes) | (e >= s.error_cover * total) & (e > 0) | (f >= s.residue_bytes))
 
 
 def scan(m: Model, texts: list[bytes]) -> Found:
@@ -201,43 +280,41 @@ def scan(m: Model, texts: list[bytes]) -> Found:
     keep = np.flatnonzero(size > 0)
     start, end, doc, no = ln.start[keep], ln.end[keep], ln.doc[keep], ln.no[keep]
     g = grams(B.lowered(buf))
-    filler = _mean(m.filler[g], start, end)
-    error = _mean(m.error[g], start, end)
+    filler, stand_in, error = (_mean(x[g], start, end) for x in (m.filler, m.stand_in, m.error))
     long = end - start >= ORDER + 3  # one odd n-gram is not enough
-    lines = Found(doc, no, size[keep], long & (filler > s.line_ratio) & (filler >= error), long & (error > s.line_ratio), np.zeros(len(texts), bool), start, end)
-    # placeholders: windows of a high ratio around characters of template notations
-    ratio = m.mark[g]
+    marked = np.zeros(len(texts), np.int64)
+    filled = long & ((filler > s.line_ratio) & (filler >= error) | (stand_in > s.stand_in_ratio) & (stand_in >= error))
+    found = Found(doc, no, size[keep], filled, long & (error > s.error_ratio), marked, start, end, buf, [])
+    found.filler |= long & _holds(m.stand_in[g], found, s.stand_in_window, s.stand_in_sure)
+    # placeholders: windows in which the model of their shapes, or that of their wording, is sure
+    sg, at = shapes(buf)
+    lo1, hi1 = _windows(m.form[sg], s.symbols, s.shape_ratio)
+    lo2, hi2 = _windows(m.mark[g], s.window, s.window_ratio)
+    reach = np.append(at, len(buf))
+    lo, hi = np.concatenate([at[lo1], lo2]), np.concatenate([reach[np.minimum(hi1 + ORDER - 1, len(at))], hi2 + ORDER - 1])
+    if len(lo):
+        d = np.searchsorted(starts, lo, side="right") - 1
+        hi = np.minimum(hi, starts[d + 1] - 1)  # an n-gram reaches over its end
+        a, b = np.maximum(lo - s.mention_reach, starts[d]), np.minimum(hi + s.mention_reach, starts[d + 1] - 1)
+        about = np.zeros(len(buf) + 1, np.int64)
+        first, last = _windows(np.maximum(m.mention[g], 0), s.mention_window, s.mention_ratio)
+        about[first + 1] = 1
+        about = np.cumsum(about)
+        true = about[np.maximum(lo - ORDER + 1, a)] - about[a] + about[np.maximum(b - ORDER + 1, hi)] - about[np.minimum(hi, b)] == 0
+        np.add.at(marked, d[true], (hi - lo)[true])
+        found.marks = list(zip(lo[true].tolist(), hi[true].tolist()))
+    return found
+
+
+def _windows(ratio: np.ndarray, w: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches covered by windows of `w` whose mean is over `least`."""
+    if len(ratio) < w:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     c = np.zeros(len(ratio) + 1)
     np.cumsum(ratio, out=c[1:])
-    w = s.window
-    score = np.full(len(buf), -9.0)
-    if len(buf) > w:
-        score[: len(buf) - w + 1] = (c[w:] - c[:-w]) / w
-    hot = np.flatnonzero(score > s.window_ratio)
-    if len(hot):
-        cuts = np.flatnonzero(np.diff(hot) > w) + 1
-        lo, hi = hot[np.append(0, cuts)], hot[np.append(cuts - 1, len(hot) - 1)] + w
-        mention = np.zeros(len(buf) + 1)
-        np.cumsum(m.mention[g], out=mention[1:])
-        for a, b in zip(lo.tolist(), hi.tolist()):
-            d = int(np.searchsorted(starts, a, side="right")) - 1
-            if lines.marked[d]:
-                continue
-            left, right = max(int(starts[d]), a - 50), min(int(starts[d + 1]) - 1, b + 50)
-            text = bytes(buf[left:right]).decode("utf-8", "ignore")
-            for hit in _LOOSE.finditer(text):
-                if _MARKUP.match(hit.group()) or not (_NOTATION.match(hit.group()) or hit.group()[:1] in "[(<{"):
-                    continue
-                at = left + len(text[: hit.start()].encode())
-                p, q = max(int(starts[d]), at - s.mention_reach), min(int(starts[d + 1]) - 1, at + s.mention_reach + len(hit.group()))
-                own0, own1 = at, min(at + len(hit.group().encode()), len(buf))
-                around = (mention[max(own0 - ORDER, p)] - mention[p]) + (mention[q] - mention[min(own1, q)])
-                length = max(1, max(own0 - ORDER, p) - p + q - min(own1, q))
-                own = (c[min(own1, len(ratio))] - c[own0]) / max(1, own1 - own0)
-                if around / length < s.mention_ratio and own > s.window_ratio:
-                    lines.marked[d] = True
-                    break
-    return lines
+    hot = np.flatnonzero((c[w:] - c[:-w]) / w > least)
+    cuts = np.flatnonzero(np.diff(hot) > w) + 1
+    return (hot[np.append(0, cuts)], hot[np.append(cuts - 1, len(hot) - 1)] + w) if len(hot) else (hot, hot)
 
 
 def fit(records: DataFrame, s: Settings = Settings(), rows: list | None = None) -> Model:

@@ -171,18 +171,17 @@ def test_weighted_similarity_is_estimated_without_bias():
     import numpy as np
 
     g = np.random.default_rng(2)
-    s = N.Settings(bands=200, rows=3)
+    s = N.Settings(bands=200, rows=3, spread=12.0)
     keys = np.sort(g.integers(0, 1 << 63, 300, dtype=np.uint64))
     a, b = keys[:200], keys[80:280]
-    wa, wb = g.uniform(0.5, 6, 200), g.uniform(0.5, 6, 200)
+    la, lb = g.integers(0, s.levels, 200), g.integers(0, s.levels, 200)
     full = {int(k): [0.0, 0.0] for k in keys}
-    for k, w in zip(a, wa):
-        full[int(k)][0] = w
-    for k, w in zip(b, wb):
-        full[int(k)][1] = w
+    for i, (part, level) in enumerate(((a, la), (b, lb))):
+        for k, w in zip(part, N.weight_of(level, s)):
+            full[int(k)][i] = w
     true = sum(min(v) for v in full.values()) / sum(max(v) for v in full.values())
     d = N._draws(s)
-    x, y = (N._sample(k, np.log(w).astype(np.float32), np.array([0]), d)[:, 0] for k, w in ((a, wa), (b, wb)))
+    x, y = (N._sample(k, level, np.array([0]), d, s)[:, 0] for k, level in ((a, la), (b, lb)))
     assert abs((x == y).mean() - true) < 0.08
 
 
