@@ -112,7 +112,7 @@ class Settings:
     error_cover: float = 0.6
     residue_bytes: int = 12
     mark_bytes: int = 5
-    ordinary: int = 15
+    ordinary: int = 60
     mention_reach: int = 60
     mention_window: int = 8
     mention_ratio: float = 2.3
