@@ -5,8 +5,8 @@ capacities of a flow network; edges between adjacent lines, and between near lin
 shape (extracted text has no DOM, so shape and distance stand in for it), resist a change of label. The minimum cut
 separates body from boilerplate.
 
-The classifier learns from a bounded sample of pages (`sample_pages`, default 2500). Weak rules
-label a part of the lines; a first model and its cut label the rest for the final one.
+The classifier learns from a bounded sample of pages (`sample_pages`, default 2500). Weak rules (wording common on the web,
+lines that recur over pages, side boxes, running text) label a part of the lines; in rounds, a model and its cut label the rest for the next one.
 
 Nulls: rows without id or content are left out; a null title matches no line. Empty texts have no
 lines. Repeated rows of a record count once.
@@ -25,32 +25,51 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.llm import blocks as B, page_lines as P
 
-# Weak rules: wording that marks a line as page furniture whatever the page is about.
-_FURNITURE = re.compile(
-    r"""cookies\ (?:help|needed)|(?:use|of|which)\ cookies|(?:use|setzen)\ cookies|your\ privacy|privacy\ (?:notice|policy)|by\ browsing|by\ clicking|stores\ small\ files|third-party\ storage|about\ tracking|preferences\ saved
-    |all\ rights\ reserved|copyright\ (?:policy|0|©)|^(?:©|\(c\))|terms\s*\|\s*privacy|^disclaimer|hyperlinking|unauthorised\ copying|no\ part\ of\ this\ (?:page|site)
-    |^back\ to\ (?:top|main)|^skip\ to|screen\ reader|best\ viewed|high\ contrast|text\ size|^a-\ a\ a\+|^print\ this|save\ as\ pdf|^send\ to\ a|site\ map
-    |^share\ this|^tell\ a\ friend|spread\ the\ word|like\ and\ follow|found\ this\ useful|was\ this\ page|rate\ this\ page|^subscribe\ to|the\ bulletin|get\ alerts|chat\ with\ us|download\ our\ app|join\ the\ conversation|^follow\ \w+
-    |^posted\ by|^author:|^by\ [\w ]+\|\s*0|^uploaded\ 0|^filed\ under|^compiled\ by|^photo:|^reviewed\ \w+\ 0|section\ editor|last\ (?:updated|modified|built)
-    |powered\ by|hosted\ at|designed\ and\ maintained|content\ owned|nodal\ officer|total\ hits|visitors\ so\ far|in\ your\ basket|log\ in\ or|forgot\ your|search\ this\ site
-    |^emergency:|^write\ to\ us|campus\ road|tel\.\ 0|opening\ hours\ today|weather\ at|report\ a\ broken|links\ to\ outside|contents\ of\ these\ pages|views\ expressed|material\ on\ this\ site|versions\ of\ this\ page|shown\ above\ may|data\ collected\ through\ this|thank\ you\ for\ visiting|disputes\ are\ subject|information\ officer|also\ available\ as\ a\ printed
-    |^previous\ 0|^(?:older|newer)\ posts|expand\ all|^menu\ close|loading\ image|^mirror\ of|^counter\ 0|english\s*\|\s*|हिन्दी\ में|bookmark\s*\||poll\ of\ the|^you\ are\ here|^advertisement|^trending""",
-    re.X,
-)
-_BOX = re.compile(r"^(?:quick links|related (?:pages|links|posts)|see also|further reading|most read.*|popular .*|noticeboard|tags|upcoming|in this section|you may also like|latest from.*|elsewhere on.*|on this day|recent .*)$")
+# Weak rules: wording that web pages of any kind have around their text, in the languages of `languages.LANGUAGES`. The first
+# holds for lines of up to `long_words`, the second for short ones, the third for headings of side boxes.
+_NOTICES = (
+    "cookie", "cookies", "privacy policy", "privacy notice", "privacy settings", "your privacy", "data protection", "terms of use", "terms of service", "terms and conditions", "all rights reserved", "copyright 0", "copyright ©", "copyright notice", "©", "(c) 0", "disclaimer", "legal notice", "no responsibility", "accept no liability", "external links", "reproduced without permission",
+    "skip to content", "skip to main", "skip navigation", "back to top", "return to top", "go to top", "scroll to top", "site map", "sitemap", "print this page", "printer friendly", "email this page", "send this page", "send to a friend", "share this", "share on", "share via", "tell a friend", "follow us", "like us", "find us on", "join us on", "subscribe to", "sign up for", "newsletter", "get updates", "download our app", "download the app",
+    "you are here", "read more", "learn more", "click here", "load more", "show more", "view all", "see all", "next page", "previous page", "page 0 of 0", "was this page", "was this helpful", "rate this", "report a problem", "report an error", "leave a comment", "leave a reply", "add a comment", "post a comment", "give feedback", "chat with us", "contact us", "about us",
+    "posted by", "posted on", "posted in", "published by", "published on", "written by", "edited by", "reviewed by", "submitted by", "uploaded by", "photo by", "filed under", "last updated", "last modified", "last reviewed", "updated on", "page updated", "min read", "powered by", "hosted by", "designed by", "developed by", "maintained by", "best viewed", "screen reader", "text size", "font size", "high contrast", "total visitors", "visitor number", "page views",
+    "log in", "sign in", "forgot password", "forgot your password", "search this site", "search the site", "select language", "choose language", "skip this ad", "opening hours",
+    "datenschutz", "impressum", "alle rechte vorbehalten", "nach oben", "zum inhalt springen", "zuletzt geändert", "zuletzt aktualisiert", "seite drucken", "seite teilen", "folgen sie uns", "mentions légales", "politique de confidentialité", "tous droits réservés", "retour en haut", "haut de page", "aller au contenu", "dernière mise à jour", "imprimer cette page", "partager cette page", "suivez-nous", "publié par", "publié le",
+    "aviso legal", "política de privacidad", "todos los derechos reservados", "volver arriba", "ir al contenido", "última actualización", "imprimir esta página", "compartir esta página", "síguenos", "publicado por", "política de privacidade", "todos os direitos reservados", "voltar ao topo", "ir para o conteúdo", "última atualização", "imprimir esta página", "partilhar esta página", "compartilhar", "siga-nos",
+    "सर्वाधिकार सुरक्षित", "गोपनीयता नीति", "मुख्य सामग्री पर जाएं", "अंतिम अद्यतन", "साझा करें", "कुकीज़", "कुकी", "सर्व हक्क सुरक्षित", "गोपनीयता धोरण", "मुख्य मजकुराकडे जा", "शेवटचे अद्यतन", "शेअर करा", "कुकीज",
+)
+_CONTROLS = (
+    "home", "menu", "main menu", "navigation", "search", "login", "logout", "register", "sign up", "my account", "help", "help desk", "faq", "feedback", "contact", "contacts", "about", "news", "events", "calendar", "gallery", "downloads", "careers", "jobs", "library", "alumni", "staff", "webmail", "intranet", "directory", "archive", "archives", "press", "media", "publications", "tenders", "notices", "students", "admissions", "academics", "departments", "research", "facilities", "accessibility", "language", "english", "print", "share", "bookmark", "subscribe", "follow", "tweet", "like", "comments", "close", "open", "expand", "collapse", "expand all", "collapse all", "previous", "next", "first", "last", "top", "up", "back", "continue", "loading", "advertisement", "sponsored", "ads", "rss", "facebook", "twitter", "linkedin", "instagram", "youtube", "whatsapp", "telegram", "mail", "email", "permalink", "cart", "basket", "map", "older posts", "newer posts", "settings", "preferences", "accept", "accept all", "reject all", "ok",
+    "startseite", "suche", "anmelden", "kontakt", "hilfe", "drucken", "teilen", "weiter", "zurück", "accueil", "rechercher", "connexion", "aide", "imprimer", "partager", "suivant", "précédent", "inicio", "buscar", "ayuda", "contacto", "compartir", "siguiente", "anterior", "início", "pesquisar", "ajuda", "contato", "partilhar", "imprimir", "मुखपृष्ठ", "मुख्य पृष्ठ", "खोजें", "संपर्क", "सहायता", "हिन्दी", "शोधा", "मदत", "मराठी",
+)
+_BOXES = ("quick links", "useful links", "important links", "links", "related links", "related pages", "related posts", "related articles", "related stories", "related news", "related topics", "related content", "see also", "further reading", "read next", "more like this", "more from", "more on", "in this section", "on this page", "in this issue", "most read", "most viewed", "most popular", "popular", "popular posts", "popular pages", "trending", "trending now", "recommended", "recommended for you", "you may also like", "you might also like", "recent posts", "recent comments", "recent news", "latest", "latest news", "latest posts", "latest from", "upcoming", "upcoming events", "events calendar", "notice board", "noticeboard", "announcements", "what's new", "highlights", "tags", "tag cloud", "categories", "topics", "archives", "sitemap", "follow us", "share this", "connect with us", "elsewhere", "sponsors", "advertisement", "on this day")
+
+
+def _pattern(phrases: tuple[str, ...]) -> str:
+    return "|".join(re.escape(x) for x in sorted(set(phrases), key=len, reverse=True))
+
+
+_NOTICE = re.compile(rf"(?<!\w)(?:{_pattern(_NOTICES)})(?!\w)")
+_CONTROL = re.compile(rf"(?:{_pattern(_CONTROLS)})(?:\W.*)?$")
+_BOX = re.compile(rf"(?:{_pattern(_BOXES)})(?: (?:of|from|in|on|for) .{{1,40}}| this (?:week|month|year))?:?$")
 
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_pages bounds the pages that train the classifier. Edge weights are in units of log-odds."""
+    """sample_pages bounds the pages that train the classifier, in `rounds`. recurrent: least share of the sample in which a line that
+    is no running text recurs to count as furniture. trust: log-odds of a weak label. Edge weights are in units of log-odds."""
 
     sample_pages: int = 2500
+    rounds: int = 2
+    long_words: int = 32
+    short_words: int = 4
+    recurrent: float = 0.004
     adjacent: float = 1.0
     across_blank: float = 0.4
     shape_change: float = 0.25
     proximity: float = 0.4
     clip: float = 6.0
     bias: float = 0.0
+    trust: float = 0.5
 
 
 def edges(p: P.Page, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +160,7 @@ def cut_lines(p: P.Page, z: np.ndarray, s: Settings) -> np.ndarray:
     return min_cut(np.clip(z + s.bias, -s.clip, s.clip), *edges(p, s))
 
 
-def _weak_labels(p: P.Page, titles: np.ndarray) -> np.ndarray:
+def _weak_labels(p: P.Page, titles: np.ndarray, s: Settings) -> np.ndarray:
     """1 furniture, 0 body, -1 unknown; by wording, recurrence, boxes and running text."""
     n = len(p)
     text = [re.sub(r"\s+", " ", re.sub(r"\d+", "0", bytes(p.low[a:b]).decode("utf-8", "replace"))).strip(" .!") for a, b in zip(p.start, p.end)]
@@ -150,13 +169,17 @@ def _weak_labels(p: P.Page, titles: np.ndarray) -> np.ndarray:
     pairs = np.unique(np.stack([inverse, p.doc], 1), axis=0)
     df = np.bincount(pairs[:, 0], minlength=len(uniq))[inverse] / max(1, p.n_docs)
     y = np.full(n, -1)
-    furniture = np.array([bool(_FURNITURE.search(t)) for t in text], bool)
+    furniture = np.array([bool(_NOTICE.search(t)) for t in text], bool)
+    furniture |= (p.n_words <= s.short_words) & (p.shape["stop"] == 0) & np.array([bool(_CONTROL.match(t)) for t in text], bool)
     title_like = np.array([bool(_BOX.match(t)) for t in text], bool)
     long = p.sentence & (p.n_words >= 6)
     y[long | (p.shape["answer"] == 1)] = 0
     seps = (p.shape["separators"] >= 2) & ~p.sentence & (p.n_words <= 30) & (p.shape["digits"] == 0)
-    y[furniture & (~long | (p.n_words <= 32))] = 1
+    y[furniture & (~long | (p.n_words <= s.long_words))] = 1
     y[(df > 0.01) & (df * p.n_docs >= 5) & (p.n_words <= 3) & (p.n_tok > 0) & (p.shape["stop"] == 0) & (p.shape["numbered"] == 0) & (p.shape["bullet"] == 0) & (p.shape["colon"] == 0) & ~np.array([(":" in t) or ("=" in t) for t in text], bool)] = 1
+    # what recurs over many pages though it is longer, running text too: notices
+    seen = df * p.n_docs
+    y[(seen >= np.maximum(5, s.recurrent * p.n_docs)) & (p.n_words >= 4) & ((p.shape["numbered"] == 0) | (p.n_words >= 8))] = 1
     y[title_like] = 1
     has = np.bincount(p.doc[y == 1], minlength=p.n_docs) > 0
     running = p.per_doc(long) > 0
@@ -216,13 +239,16 @@ def train(texts: list[str], titles: list[str | None], common: list[str], s: Sett
     keys = P.title_keys([(t or "").encode() for t in titles])
     if not len(p):
         return np.zeros(1 << P.SPACE_BITS, np.float32)
-    y = _weak_labels(p, keys)
+    y = _weak_labels(p, keys, s)
     y[is_title(p, keys)] = 0
     at, key = P.features(p, keys)
-    w = P.fit_logistic(at, key, np.maximum(y, 0), (y >= 0) * 1.0)
-    z = np.bincount(at, weights=w[key], minlength=len(p))
-    x = cut_lines(p, np.where(y < 0, z, np.where(y == 1, np.maximum(z, 2), np.minimum(z, -2))), s)
-    return P.fit_logistic(at, key, x, np.where(y < 0, 0.5, 1.0))
+    x, weight = np.maximum(y, 0), (y >= 0) * 1.0
+    for _ in range(s.rounds):
+        w = P.fit_logistic(at, key, x, weight)
+        z = np.bincount(at, weights=w[key], minlength=len(p))
+        x = cut_lines(p, np.where(y < 0, z, np.where(y == 1, np.maximum(z, s.trust), np.minimum(z, -s.trust))), s)
+        weight = np.where(y < 0, 0.5, 1.0)
+    return P.fit_logistic(at, key, x, weight)
 
 
 @dataclass(frozen=True)
