@@ -179,7 +179,16 @@ def _weak_labels(p: P.Page, titles: np.ndarray, s: Settings) -> np.ndarray:
     y[(df > 0.01) & (df * p.n_docs >= 5) & (p.n_words <= 3) & (p.n_tok > 0) & (p.shape["stop"] == 0) & (p.shape["numbered"] == 0) & (p.shape["bullet"] == 0) & (p.shape["colon"] == 0) & ~np.array([(":" in t) or ("=" in t) for t in text], bool)] = 1
     # what recurs over many pages though it is longer, running text too: notices
     seen = df * p.n_docs
-    y[(seen >= np.maximum(5, s.recurrent * p.n_docs)) & (p.n_words >= 4) & ((p.shape["numbered"] == 0) | (p.n_words >= 8))] = 1
+    often = (seen >= np.maximum(5, s.recurrent * p.n_docs)) & (p.n_words >= 4) & ((p.shape["numbered"] == 0) | (p.n_words >= 8))
+    own, back = p.per_doc(p.n_words * (long & ~often)), p.per_doc(p.n_words * (long & often))
+    beside = ((own > 0) & (own >= back))[p.doc]  # a page most of whose text recurs has no other body
+    notice = often & beside & (np.bincount(inverse, weights=beside)[inverse] >= 0.5 * np.bincount(inverse)[inverse])
+    # some of its places are at the ends of a page or next to other furniture, or the model decides
+    end = np.ones(n, bool)
+    end[2:-2] = (p.doc[2:-2] != p.doc[:-4]) | (p.doc[2:-2] != p.doc[4:])
+    mark = np.pad((y == 1).astype(int), 1)
+    outer = np.bincount(inverse, weights=notice & (~long | end | (mark[:-2] + mark[2:] > 0)))[inverse]
+    y[notice] = np.where(outer >= 0.1 * np.bincount(inverse, weights=notice)[inverse], 1, -1)[notice]
     y[title_like] = 1
     has = np.bincount(p.doc[y == 1], minlength=p.n_docs) > 0
     running = p.per_doc(long) > 0
