@@ -94,20 +94,39 @@ def _placed(docs: DataFrame, targets: list[Target], s: Settings) -> tuple[DataFr
     w = Window.partitionBy("source", "r").orderBy("h", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     inner = F.coalesce(F.sum("tokens").over(w), F.lit(0))
     placed = sized.withColumn("inner", inner).join(F.broadcast(offsets), ["source", "r"])
+    # the offsets have at most sources * ranges rows
     return placed.select("doc_id", "source", "tokens", (F.col("ahead") + F.col("inner")).alias("before")), have
 
 
 def mix(docs: DataFrame, targets: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, source, tokens, uses of every document of a target source."""
+    """doc_id, source, tokens, uses, first_slot of every document of a target source: how often it is used, and the slot of the schedule
+    in which it is read first (null if it is not used)."""
+    placed, _, _, out = _blocks(docs, targets, s)
+    met: dict[tuple[str, int], list[int]] = {}
+    for slot, source, i, _ in out:
+        met.setdefault((source, i), []).append(slot)
+    rows = [(k, i, len(v), min(v)) for (k, i), v in met.items()]
+    table = docs.sparkSession.createDataFrame(rows, "source string, block bigint, uses bigint, first_slot bigint")
+    joined = placed.join(F.broadcast(table), ["source", "block"], "left")  # the table has at most `slots` rows
+    return joined.select("doc_id", "source", "tokens", F.coalesce("uses", F.lit(0)).cast("long").alias("uses"), "first_slot")
+
+
+def _blocks(docs: DataFrame, targets: DataFrame, s: Settings) -> tuple[DataFrame, float, dict[str, np.ndarray], list[tuple[int, str, int, int]]]:
+    """The placed documents with their block, and the schedule."""
     goal = _targets(targets)
     placed, have = _placed(docs, goal, s)
-    block, uses, _ = schedule(goal, have, s.slots)
-    spark = docs.sparkSession
-    rows = [(k, i, int(n)) for k, v in uses.items() for i, n in enumerate(v) if n]
-    table = spark.createDataFrame(rows, "source string, block bigint, uses bigint")  # at most `slots` rows
+    block, uses, out = schedule(goal, have, s.slots)
     at = F.floor((F.col("before") + F.col("tokens") / 2) / F.lit(float(block))).cast("long")  # by its middle a document is off by half its size at most
-    joined = placed.withColumn("block", at).join(F.broadcast(table), ["source", "block"], "left")
-    return joined.select("doc_id", "source", "tokens", F.coalesce("uses", F.lit(0)).cast("long").alias("uses"))
+    return placed.withColumn("block", at), block, uses, out
+
+
+def mixed_order(docs: DataFrame, targets: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """slot, place, doc_id, source, tokens, round: every use of every document in the order of the mixture, a slot's documents by
+    their place within its block."""
+    placed, _, _, out = _blocks(docs, targets, s)
+    table = docs.sparkSession.createDataFrame(out, "slot bigint, source string, block bigint, round bigint")
+    joined = placed.join(F.broadcast(table), ["source", "block"])  # the table has at most `slots` rows
+    return joined.select("slot", F.col("before").alias("place"), "doc_id", "source", "tokens", "round")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
@@ -122,7 +141,5 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
 
 def slot_table(docs: DataFrame, targets: DataFrame, s: Settings = Settings()) -> DataFrame:
     """slot, source, block, round: the order in which blocks are read."""
-    goal = _targets(targets)
-    _, have = _placed(docs, goal, s)
-    _, _, out = schedule(goal, have, s.slots)
+    _, _, _, out = _blocks(docs, targets, s)
     return docs.sparkSession.createDataFrame(out, "slot bigint, source string, block bigint, round bigint")

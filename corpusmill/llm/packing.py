@@ -4,8 +4,9 @@ The sizes' histogram (at most `bins` counts, whatever the number of documents) d
 of up to four sizes that fill a container are enumerated, non-negative least squares finds how often to
 repeat each so that the histogram is used up, the counts are rounded down, and what is left is packed
 greedily, many equal containers at a time. The resulting plan gives ranges of ranks within a size a place; documents
-are ranked within their size and look theirs up. Ranks are taken over salted parts of a size, so a size
-that a third of all documents share is spread over tasks.
+are ranked within their size and look theirs up. Ranks are taken over salted parts of a size, as many as the number of items asks for, so a size
+that a third of all documents share is spread over tasks of about `part_rows` items at any number of documents. The driver gets the histogram, one row per
+size.
 
 Documents over the capacity are cut into full containers and a rest. Nulls: a null text has no tokens. Documents
 without tokens take no room and go to container 1. Repeated rows are items of their own.
@@ -21,16 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusmill.llm import tokens
-from corpusmill.session import materialize
+from corpusmill.session import materialize, small_side
 
 
 @dataclass(frozen=True)
 class Settings:
-    """bins: sizes are rounded up to this many steps of the capacity. salts: parts of a size that are ranked apart."""
+    """bins: sizes are rounded up to this many steps of the capacity. part_rows: items that one task ranks."""
 
     bins: int = 512
-    salts: int = 64
+    part_rows: int = 200_000
     rounds: int = 400
+    max_broadcast_rows: int = 100_000
     vocabulary: str = tokens.DEFAULT_VOCABULARY
 
 
@@ -152,14 +154,14 @@ def places(containers: list[tuple[dict[int, int], int]], base: int = 1) -> Place
     return Places({s: a[0] for s, a in arrays.items()}, {s: a[1] for s, a in arrays.items()}, {s: a[2] for s, a in arrays.items()})
 
 
-def _assign(where: Places, offset: dict[tuple[int, int], int]):
+def _assign(where: Places):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, salt, rank = (np.asarray(b.column(i)) for i in (3, 4, 5))
+            size, rank = (np.asarray(b.column(i)) for i in (3, 4))
             out = np.ones(len(size), np.int64)
             for s in np.unique(size[size > 0]).tolist():
                 mine = np.flatnonzero(size == s)
-                r = rank[mine] - 1 + np.array([offset[s, int(x)] for x in salt[mine]], np.int64)
+                r = rank[mine] - 1
                 i = np.searchsorted(where.first[s], r, side="right") - 1
                 out[mine] = where.container[s][i] + (r - where.first[s][i]) // where.each[s][i]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out)], ["doc_id", "piece_no", "tokens", "container"])
@@ -180,15 +182,21 @@ def pack(docs: DataFrame, capacity: int, s: Settings = Settings()) -> DataFrame:
     own = F.when(F.col("piece_no") <= full, F.lit(capacity)).otherwise(F.col("tokens") - F.lit(capacity) * (F.col("piece_no") - 1)).cast("long")
     items = cut.select("doc_id", "piece_no", own.alias("tokens"))
     step = F.least(F.lit(steps), F.ceil(F.col("tokens") / F.lit(width))).cast("int")
-    items = materialize(items.withColumn("step", step).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(s.salts)).cast("int")))
-    counts = items.groupBy("step", "salt").agg(F.count(F.lit(1)).alias("n")).collect()  # at most (bins + 1) * salts rows
-    h, offset = np.zeros(steps + 1, np.int64), {}
-    for r in sorted(counts, key=lambda r: (r.step, r.salt)):
-        offset[r.step, r.salt] = int(h[r.step])
-        h[r.step] += r.n
+    items = materialize(items.withColumn("step", step))
+    sizes = items.groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+    h = np.zeros(steps + 1, np.int64)
+    for r in sizes.collect():  # at most bins + 1 rows
+        h[r.step] = r.n
     where = places(plan(h, s.rounds))
-    ranked = items.withColumn("rank", F.row_number().over(Window.partitionBy("step", "salt").orderBy("doc_id", "piece_no")))
-    return ranked.select("doc_id", "piece_no", "tokens", "step", "salt", F.col("rank").cast("long")).mapInArrow(_assign(where, offset), "doc_id bigint, piece_no bigint, tokens bigint, container bigint")
+    salts = F.element_at(F.lit([max(1, -(-int(n) // s.part_rows)) for n in h]), F.col("step") + 1)
+    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece_no"), salts).cast("int"))
+    counts = materialize(salted.groupBy("step", "salt").agg(F.count(F.lit(1)).alias("n")))
+    # parts of a size before this one; a window over the parts, of which there is one for `part_rows` items
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("step").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = small_side(counts.select("step", "salt", ahead.alias("ahead")), s.max_broadcast_rows)
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("step", "salt").orderBy("doc_id", "piece_no"))).join(offsets, ["step", "salt"])
+    placed = ranked.select("doc_id", "piece_no", "tokens", "step", (F.col("rank") + F.col("ahead")).cast("long").alias("rank"))
+    return placed.mapInArrow(_assign(where), "doc_id bigint, piece_no bigint, tokens bigint, container bigint")
 
 
 def fill(packed: DataFrame, capacity: int) -> DataFrame:

@@ -86,6 +86,14 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mixtarget"))
 
 
+def p9_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_order(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mixtarget"))
+
+
+def p9_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.slot_table(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mixtarget"))
+
+
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p9_mix(spark, sf_dir), read_table(spark, sf_dir, "mixtarget"))
 

@@ -87,6 +87,13 @@ def test_mixing(spark):
     assert any(r.uses == 3 for r in got if r.source == "c")
     out = {r.source: r for r in mixing.shares(mixing.mix(df, targets(spark, goal)), targets(spark, goal)).collect()}
     assert out["absent"].actual_share == 0 and abs(sum(r.actual_share for r in out.values()) - 1) < 1e-9
+    order = mixing.mixed_order(df, targets(spark, goal)).orderBy("slot", "place").collect()
+    times = {}
+    for r in order:
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    assert times == {r.doc_id: r.uses for r in got if r.uses}
+    first = {r.doc_id: r.slot for r in reversed(order)}
+    assert first == {r.doc_id: r.first_slot for r in got if r.uses}
     slots = mixing.slot_table(df, targets(spark, goal), mixing.Settings(slots=1000)).orderBy("slot").collect()
     head = [r.source for r in slots[:90]]
     assert abs(head.count("a") - 40) <= 3 and abs(head.count("c") - 20) <= 3
