@@ -1,8 +1,15 @@
-"""The cleaner of scraped content: sections, lines, paragraphs."""
+"""The cleaner of scraped content: sections, lines, paragraphs.
+
+Sections and paragraphs need an ordered pass with memory of what was seen; it runs as Arrow batches, in linear time. The rest is column functions.
+"""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from corpusmill.functions import rules as R, text as T
 
@@ -12,53 +19,83 @@ BULLET = r"^\s*(?:[-*+•]|o)\s+"
 NUMBER = r"^\s*\d+\s*[|.)-]\s*"
 
 
-def _scan(lines: Column) -> Column:
-    """Lines that remain after section skipping; an ordered fold over the lines of one document.
-
-    State: the level of the heading whose section is skipped (0: none), whether a plain section is skipped, and the lines kept.
-    A dropped heading inside a skipped section sets the level anew.
-    """
-    start = F.struct(lit(0).alias("level"), lit(False).alias("plain"), F.array().cast("array<string>").alias("kept"))
-
-    def split(line: Column) -> Column:
-        mark = F.regexp_extract(line, HEADING, 1)
-        return F.struct(line.alias("line"), F.length(mark).alias("mark"), F.when(mark != "", F.btrim(F.regexp_extract(line, HEADING, 2))).otherwise(line).alias("body"))
-
-    def facts(x: Column) -> Column:
-        text = F.when(x["mark"] > 0, x["body"]).otherwise(F.regexp_replace(F.regexp_replace(x["line"], BULLET, ""), NUMBER, ""))
-        short = (x["mark"] > 0) | (F.size(T.tokens(x["norm"])) <= 10)
-        drop = T.is_drop_heading(x["norm"])
-        bad = x["line"].isin("-", "*", "o") | drop | x["line"].rlike(T.alternation(R.LINE_DROP_PATTERNS))
-        return F.struct((x["line"] == "").alias("blank"), x["mark"].alias("mark"), (drop & short).alias("drop"), (T.is_generic_heading(x["norm"]) & short).alias("generic"), bad.alias("bad"), text.alias("text"))
-
-    def step(s: Column, x: Column) -> Column:
-        heading = x["mark"] > 0
-        level0 = F.when(heading & (s["level"] > 0) & (x["mark"] <= s["level"]), 0).otherwise(s["level"])
-        level = F.when(x["blank"], s["level"]).when(heading & x["drop"], x["mark"]).otherwise(level0)
-        plain = F.when(x["blank"], False).when(heading & ~x["drop"] & ~x["generic"], False).when(~heading & x["drop"], True).otherwise(s["plain"])
-        skip = x["drop"] | x["generic"] | (level > 0) | plain | x["bad"]
-        n = F.size(s["kept"])
-        last = F.when(n > 0, F.element_at(s["kept"], -1)).otherwise("")
-        kept = F.when(x["blank"], F.when((n > 0) & (last != ""), F.concat(s["kept"], F.array(lit("")))).otherwise(s["kept"])).when(skip, s["kept"]).otherwise(F.concat(s["kept"], F.array(x["text"])))
-        return F.struct(level.cast("int").alias("level"), plain.alias("plain"), kept.alias("kept"))
+_HEADING, _BULLET, _NUMBER = (re.compile(x, re.A) for x in (HEADING, BULLET, NUMBER))
+_TOKEN = re.compile(R.TOKEN_PATTERN)
+_FURNITURE = re.compile(T.alternation(R.LINE_DROP_PATTERNS), re.A)
+_DROPPED = re.compile("(?:(?:" + "|".join(R.SECTION_DROP_HEADINGS) + ")$|" + "|".join(R.SECTION_DROP_PREFIXES) + ")")
+_GENERIC = re.compile("(?:(?:" + "|".join(R.GENERIC_HEADINGS) + ")$|" + "|".join(R.GENERIC_HEADING_PREFIXES) + ")")
+_PHRASES = re.compile("|".join(R.PARAGRAPH_DROP_PHRASES))
+_TABLE = re.compile("table |see table |title of the talk|about the speaker")
+_EMAIL, _LINK = re.compile(T.EMAIL), re.compile(r"http\S+|www\.\S+", re.A)
+_SPECIAL, _SPACES, _BULLETS, _GAPS = re.compile("[\u00a0\u200b]"), re.compile(r"[ \t\f]{2,}|[\t\f]"), re.compile("[•●▪◆■◦]+"), re.compile(r"\n{3,}")
 
-    # each transform names what the next one uses more than once
-    parts = F.transform(F.transform(lines, lambda x: F.btrim(x, lit(" \t\r"))), split)
-    normed = F.transform(parts, lambda x: F.struct(x["line"].alias("line"), x["mark"].alias("mark"), x["body"].alias("body"), T.normalize_heading(x["body"]).alias("norm")))
-    return F.aggregate(F.transform(normed, facts), start, step, lambda s: s["kept"])
 
+def _heading(text: str) -> str:
+    return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s-]+", " ", text.lower(), flags=re.A), flags=re.A).strip(" -")
 
-def _paragraphs(text: Column, least: int = 10) -> Column:
-    """Paragraphs that pass the rule, without later repeats of long ones; a fold that carries the keys seen."""
-    parts = F.filter(F.transform(F.split(text, r"\n[ \t]*\n"), lambda p: T.normalize_whitespace(p, ascii_only=False)), lambda p: ~T.drop_paragraph(p))
-    keyed = F.transform(F.transform(parts, lambda p: F.struct(p.alias("p"), F.btrim(F.regexp_replace(F.lower(p), "[^a-z0-9]+", " ")).alias("k"))), lambda x: F.struct(x["p"].alias("p"), F.when(F.size(T.tokens(x["k"])) >= least, x["k"]).alias("k")))
-    none = F.array().cast("array<string>")
 
-    def step(s: Column, x: Column) -> Column:
-        again = F.coalesce(F.array_contains(s["seen"], x["k"]), lit(False))
-        return F.struct(F.when(again, s["kept"]).otherwise(F.array_append(s["kept"], x["p"])).alias("kept"), F.when(again | x["k"].isNull(), s["seen"]).otherwise(F.array_append(s["seen"], x["k"])).alias("seen"))
+def scan(text: str) -> list[str]:
+    """Lines that remain after section skipping; an ordered pass over the lines of one document.
 
-    return F.aggregate(keyed, F.struct(none.alias("kept"), none.alias("seen")), step, lambda s: s["kept"])
+    State: the level of the heading whose section is skipped (0: none), whether a plain section is skipped, and the lines kept.
+    A dropped heading inside a skipped section sets the level anew.
+    """
+    level, plain, kept = 0, False, []
+    for line in text.split("\n"):
+        line = line.strip(" \t\r")
+        if not line:
+            plain = False
+            if kept and kept[-1]:
+                kept.append("")
+            continue
+        m = _HEADING.search(line) if line[0] == "#" else None
+        mark, body = (len(m[1]), m[2].strip(" ")) if m else (0, line)
+        norm = _heading(body) if mark or len(line) <= 400 else ""  # a heading without signs has at most ten tokens
+        short = mark > 0 or (norm != "" and len(_TOKEN.findall(norm)) <= 10)
+        headed = bool(_DROPPED.match(norm))
+        drop, generic = headed and short, short and bool(_GENERIC.match(norm))
+        if mark and 0 < mark <= level:
+            level = 0
+        if mark and drop:
+            level = mark
+        if mark and not drop and not generic:
+            plain = False
+        elif not mark and drop:
+            plain = True
+        if drop or generic or level or plain or headed or line in ("-", "*", "o") or _FURNITURE.search(line):
+            continue
+        kept.append(body if mark else _NUMBER.sub("", _BULLET.sub("", line)))
+    return kept
+
+
+def _squeezed(text: str) -> str:
+    """`text.normalize_whitespace` without the ASCII rule, on one string."""
+    t = _SPECIAL.sub(" ", text).replace("\r\n", "\n").replace("\r", "\n")
+    t = _SPACES.sub(" ", _EMAIL.sub(" ", _LINK.sub(" ", t)))
+    return _GAPS.sub("\n\n", _BULLETS.sub("\n", t)).strip(" \n\t")
+
+
+def distinct_paragraphs(text: str, least: int = 10) -> list[str]:
+    """Paragraphs that pass the rule, without later repeats of long ones."""
+    seen, kept = set(), []
+    for p in re.split(r"\n[ \t]*\n", text):
+        p = _squeezed(p)
+        low = _heading(p)
+        toks = _TOKEN.findall(low)
+        if not low or not toks or _PHRASES.search(low) or _TABLE.match(low) or (len(toks) <= 40 and sum(t in R.PROMOTIONAL_HINTS for t in toks) >= 3):
+            continue
+        key = re.sub("[^a-z0-9]+", " ", p.lower()).strip(" ")
+        if len(_TOKEN.findall(key)) >= least:
+            if key in seen:
+                continue
+            seen.add(key)
+        kept.append(p)
+    return kept
+
+
+@F.pandas_udf(StringType())
+def _paragraphs_of(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: "\n\n".join(distinct_paragraphs("\n".join(scan(t or "")))))
 
 
 def clean_scraped(text: Column, passes: int = 1, ascii_only: bool = True) -> Column:
@@ -69,7 +106,7 @@ def clean_scraped(text: Column, passes: int = 1, ascii_only: bool = True) -> Col
     t = F.coalesce(text, lit(""))
     for _ in range(passes):
         t = T.normalize_whitespace(T.remove_blocks(T.normalize_whitespace(t, ascii_only)), ascii_only)
-        t = F.array_join(_paragraphs(F.array_join(_scan(F.split(t, "\n")), "\n")), "\n\n")
+        t = _paragraphs_of(t)
     return t
 
 

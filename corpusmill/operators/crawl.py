@@ -10,21 +10,26 @@ from corpusmill.session import materialize
 C, lit = F.col, F.lit
 
 
-def breadth_first(seeds: DataFrame, links: DataFrame, max_depth: int = 50, limit: int | None = None, seen: DataFrame | None = None) -> DataFrame:
-    """url, depth of the pages reached from `seeds` (url) over `links` (src, dst).
+def breadth_first(seeds: DataFrame, links: DataFrame, limit: int | None = None, seen: DataFrame | None = None) -> DataFrame:
+    """url, depth of the pages reached from `seeds` (url) over `links` (src, dst), however deep they are.
 
     One round per level: the frontier joins the links, known pages are taken off, and the level is written to the
     checkpoint folder, so a lost executor costs one level. `seen` (url) continues an earlier crawl: its pages count as known,
-    and given seeds among them are expanded again. `limit` bounds the pages put out, nearest first.
+    and given seeds among them are expanded again. `limit` bounds the pages put out, nearest first, the smaller URL before the greater; the crawl stops
+    with the level that reaches it.
     """
     frontier = materialize(seeds.select("url").where("url is not null").distinct().withColumn("depth", lit(0)))
     done = frontier
     known = frontier.select("url") if seen is None else frontier.select("url").union(seen.select("url")).distinct()
-    for depth in range(1, max_depth + 1):
+    depth, met = 0, frontier.count()
+    while met and (limit is None or met < limit):
+        depth += 1
         nxt = links.join(frontier.select(C("url").alias("src")), "src").select(C("dst").alias("url")).where("url is not null").distinct()
         frontier = materialize(nxt.join(known, "url", "left_anti").withColumn("depth", lit(depth)))
-        if frontier.isEmpty():
+        found = frontier.count()
+        if not found:
             break
+        met += found
         done, known = materialize(done.unionByName(frontier)), materialize(known.union(frontier.select("url")))
     return done.orderBy("depth", "url").limit(limit) if limit is not None else done
 

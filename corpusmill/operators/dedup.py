@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T_
 
 from corpusmill.functions import url as U
 from corpusmill.session import materialize, small_side
@@ -17,17 +18,21 @@ def content_key(text: Column, least: int = 20) -> Column:
     return F.when(F.length(t) >= least, F.md5(t))
 
 
-def exact_duplicates(df: DataFrame, text: str, order: list[str], least: int = 20) -> DataFrame:
+def exact_duplicates(df: DataFrame, text: str, order: list[str], least: int = 20, max_broadcast_rows: int = 200_000) -> DataFrame:
     """`df` with content_key, keeper and kept.
 
     The first row of a text in `order` is kept; short and null texts have no key and are never kept. The keeper of a
     text comes from a partial aggregate over (key, order), so a text that a third of all rows share meets no
-    single task; only rows whose text repeats are joined.
+    single task. Only texts that repeat are on the joined side, which is broadcast if it is small; the wide rows then stay where they are.
     """
     keyed = df.withColumn("content_key", content_key(C(text), least))
-    first = keyed.where("content_key is not null").groupBy("content_key").agg(F.min(F.struct(*order)).alias("keeper"))
-    out = keyed.join(first, "content_key", "left")
-    return out.withColumn("kept", F.coalesce(C("keeper") == F.struct(*order), lit(False)))
+    narrow = keyed.where("content_key is not null").select("content_key", *order)
+    first = narrow.groupBy("content_key").agg(F.min(F.struct(*order)).alias("keeper"), F.count(lit(1)).alias("n")).where("n > 1").drop("n")
+    first = small_side(materialize(first), max_broadcast_rows)
+    out = keyed.join(first, "content_key", "left")  # keys of one row and null keys have no partner
+    own = F.when(C("content_key").isNotNull(), F.struct(*order))
+    out = out.withColumn("keeper", F.coalesce("keeper", own))
+    return out.withColumn("kept", F.coalesce(C("keeper") == own, lit(False)))
 
 
 def duplicate_stats(df: DataFrame, text: str, url: str) -> DataFrame:
@@ -52,18 +57,29 @@ def segments_by_hash(df: DataFrame, tokens: str, order: list[str]) -> DataFrame:
     return first.select("segment_key", *[C("r")[c].alias(c) for c in rest], "copies")
 
 
+@F.pandas_udf(T_.ArrayType(T_.StructType([T_.StructField("pos", T_.LongType()), T_.StructField("paragraph", T_.StringType())])))
+def _first_paragraphs(parts: pd.Series, keys: pd.Series, least: pd.Series) -> pd.Series:
+    out = []
+    for ps, ks, n in zip(parts, keys, least):
+        seen, kept = set(), []
+        for i, (p, k) in enumerate(zip(ps, ks)) if ps is not None else ():
+            if not k or (k in seen and len(k.split()) >= n):
+                continue
+            seen.add(k)
+            kept.append({"pos": i, "paragraph": p})
+        out.append(kept)
+    return pd.Series(out)
+
+
 def paragraph_dedup(df: DataFrame, key: str, text: str, least_tokens: int = 10, split: str = "\n") -> DataFrame:
     """key, pos, paragraph: a document's paragraphs without later repeats of those with at least `least_tokens` tokens.
 
-    Works within the row: a paragraph goes if an earlier one has the same letters and digits.
+    Works within the row, in linear time and without a shuffle: a paragraph goes if an earlier one has the same letters and digits.
     """
-    norm = F.transform(F.split(text, split), lambda p: F.btrim(F.regexp_replace(F.lower(p), "[^a-z0-9]+", " ")))
-    parts = F.arrays_zip(F.split(text, split).alias("p"), norm.alias("k"))
-    rows = df.select(key, F.posexplode(parts).alias("pos", "x"))
-    w = Window.partitionBy(key, "k").orderBy("pos")
-    long = F.size(F.filter(F.split("k", " "), lambda t: t != "")) >= least_tokens
-    ranked = rows.select(key, C("pos").cast("long").alias("pos"), C("x.p").alias("paragraph"), C("x.k").alias("k")).where("k <> ''").withColumn("n", F.row_number().over(w))
-    return ranked.where(~long | (C("n") == 1)).select(key, "pos", "paragraph")
+    parts = F.split(text, split)
+    keys = F.transform(parts, lambda p: F.btrim(F.regexp_replace(F.lower(p), "[^a-z0-9]+", " ")))
+    rows = df.where(C(text).isNotNull()).select(key, F.explode(_first_paragraphs(parts, keys, lit(least_tokens))).alias("x"))
+    return rows.select(key, "x.pos", "x.paragraph")
 
 
 def distinct_urls(df: DataFrame, url: str) -> DataFrame:

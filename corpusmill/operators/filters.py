@@ -46,26 +46,32 @@ def is_english(text: Column, lang: Column | None = None) -> Column:
 def scraped_reason(doc_type: Column, title: Column, url: Column, cleaned: Column) -> Column:
     """Reason code of the scraper's quality filter over cleaned content."""
     t, u, kind = F.lower(_text(title)), F.lower(_text(url)), _text(doc_type)
-    toks = T.tokens(cleaned)
+    plain, toks = T.normalize_heading(_text(cleaned)), T.tokens(cleaned)
     n, ratio, promo = F.size(toks), T.distinct_ratio(toks), T.hits(toks, R.PROMOTIONAL_HINTS)
+    executive = T.any_of(t, R.EXECUTIVE_TITLE) | T.any_of(u, [x.replace(" ", "-") for x in R.EXECUTIVE_TITLE]) | T.any_of(plain, R.EXECUTIVE_CONTENT)
+    listing = u.rlike(R.LISTING_URL) & ~u.contains("office-of-students") & ~t.contains("student life") & ~t.contains("campus life")
     return first_reason(
         (kind.isin(*R.EXCLUDED_DOC_TYPES), F.concat(lit("excluded_doc_type:"), kind)), (T.any_of(t, R.EXCLUDED_TITLE), "excluded_title"), (u.rlike(T.alternation(R.EXCLUDED_URL)), "excluded_url"),
-        (u.rlike(r"/students?(?:[/?]|$)") & ~t.contains("student life") & ~t.contains("campus life"), "student_listing_page"),
+        (executive, "executive_or_offcampus"), (T.any_of(plain, R.STAFF_RECRUITMENT_CONTENT), "faculty_recruitment"), (T.any_of(plain, R.ADMISSION_INDEX_CONTENT), "admission_index"), (T.any_of(plain, R.OUTREACH_CONTENT), "outreach_or_school_program"),
+        (u.rlike(R.ROSTER_URL), "student_roster_page"), (listing, "student_listing_page"),
         (n < _by_type(kind, R.MIN_TOKENS, R.MIN_TOKENS_DEFAULT), "too_short_after_cleaning"), ((kind == "Faculty Profile") & (T.hits(toks, R.FACULTY_SIGNALS) < 4), "faculty_directory_or_low_signal"),
         ((n < 220) & (ratio < 0.22), "low_unique_ratio"), ((n < 260) & (promo >= 12), "promotional_content"),
     )
 
 
 def corpus_reason(doc_type: Column, title: Column, url: Column, text: Column, lang: Column | None = None) -> Column:
-    """Reason code of the corpus builder's filter."""
-    t, u, kind = F.lower(_text(title)), F.lower(_text(url)), _text(doc_type)
+    """Reason code of the corpus builder's filter. Types other than the kept ones go, unless a hint forces them; the language is
+    that of the title and the first `ENGLISH_SAMPLE_CHARS` characters."""
+    t, u, kind, body = F.lower(_text(title)), F.lower(_text(url)), _text(doc_type), _text(text)
     forced = T.any_of(t, R.FORCE_KEEP_HINTS) | T.any_of(u, R.FORCE_KEEP_HINTS)
-    toks = T.tokens(text)
+    named, toks = F.when(kind == "", "unknown").otherwise(kind), T.tokens(text)
+    english = is_english(F.concat_ws(" ", _text(title), F.substring(body, 1, R.ENGLISH_SAMPLE_CHARS)), lang)
+    taught = T.any_of(u, R.PEDAGOGY_URL)
+    heavy = (taught | T.any_of(t, R.PEDAGOGY_TITLE)) & (T.hits(toks, R.PEDAGOGY_TOKENS) >= R.PEDAGOGY_MIN_HITS) & (taught | (T.hits(toks, R.DOMAIN_TOKENS) <= R.PEDAGOGY_MAX_RESEARCH))
     return first_reason(
-        (~is_english(text, lang), "non_english"), (is_recruitment(title, text), "excluded_recruitment_page"), (is_facility(url, title), "excluded_facility_page"), (kind == "Facility", "excluded_doc_type:Facility"),
-        (kind.isin(*R.EXCLUDED_DOC_TYPES) & ~forced, F.concat(lit("excluded_doc_type:"), kind)), ((T.any_of(t, R.EXCLUDED_TITLE) | u.rlike(T.alternation(R.EXCLUDED_URL))) & ~forced, "excluded_by_title_or_url"),
-        (F.length(_text(text)) < _by_type(kind, R.MIN_CHARS, R.MIN_CHARS_DEFAULT), F.concat(lit("too_short:"), kind)),
-        ((T.hits(toks, R.PEDAGOGY_TOKENS) >= F.greatest(lit(12), F.floor(F.size(toks) / 6))) & (T.hits(toks, R.DOMAIN_TOKENS) <= 3), "pedagogy_heavy_page"),
+        (~english, "non_english"), (is_recruitment(title, text), "excluded_recruitment_page"), (is_facility(url, title), "excluded_facility_page"), (kind == "Facility", "excluded_doc_type:Facility"),
+        (~kind.isin(*R.KEPT_DOC_TYPES) & ~forced, F.concat(lit("excluded_doc_type:"), named)), ((T.any_of(t, R.EXCLUDED_TITLE) | u.rlike(T.alternation(R.EXCLUDED_URL))) & ~forced, "excluded_by_title_or_url"),
+        (F.length(F.btrim(body, lit(" \t\r\n"))) < _by_type(kind, R.MIN_CHARS, R.MIN_CHARS_DEFAULT), F.concat(lit("too_short:"), named)), (heavy, "pedagogy_heavy_page"),
     )
 
 

@@ -35,8 +35,9 @@ def characters(names: DataFrame) -> DataFrame:
 
 
 def encode(names: DataFrame, chars: DataFrame) -> DataFrame:
-    """name, ids with begin and end marks; unknown characters raise no error and are left out."""
-    rows = names.select("name", F.posexplode(F.split("name", "")).alias("pos", "token")).join(chars, "token")
+    """name, ids with begin and end marks; an unknown character is an error."""
+    rows = names.select("name", F.posexplode(F.split("name", "")).alias("pos", "token")).where("token <> ''").join(chars, "token", "left")
+    rows = rows.withColumn("idx", F.when(C("idx").isNull(), F.raise_error(F.concat(lit("unknown character: "), "token")).cast("bigint")).otherwise(C("idx")))
     ids = rows.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("pos", "idx"))).alias("x"))
     return ids.select("name", F.concat(F.array(lit(1).cast("long")), F.transform("x", lambda s: s["idx"]), F.array(lit(2).cast("long"))).alias("ids"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T_
 
 from corpusmill.functions import rules as R, text as T
 
@@ -27,46 +27,48 @@ def overlapping_windows(tokens: Column, size: int = R.MAX_SEGMENT_TOKENS, overla
     return F.when(n <= size, F.array(tokens)).otherwise(F.transform(starts, lambda s: F.slice(tokens, s + 1, lit(size))))
 
 
-def even_sample(items: Column, most: int = R.MAX_SEGMENTS_PER_DOCUMENT) -> Column:
+def segment_limit(doc_type: Column) -> Column:
+    """Most segments of a document, by its type."""
+    out = lit(R.MAX_SEGMENTS_PER_DOCUMENT)
+    for k, v in R.SEGMENT_LIMITS.items():
+        out = F.when(doc_type == k, v).otherwise(out)
+    return out
+
+
+def even_sample(items: Column, most: int | Column = R.MAX_SEGMENTS_PER_DOCUMENT) -> Column:
     """At most `most` elements, evenly spread, then distinct in order."""
-    n = F.size(items)
-    picks = F.transform(F.sequence(lit(0), lit(most - 1)), lambda i: F.element_at(items, (F.least(F.floor(i * n / lit(most)), n - 1) + 1).cast("int")))
-    return F.when(n <= most, items).otherwise(F.array_distinct(picks))
+    n, m = F.size(items), lit(most) if isinstance(most, int) else most
+    picks = F.transform(F.sequence(lit(0), m - 1), lambda i: F.element_at(items, (F.least(F.floor(i * n / m), n - 1) + 1).cast("int")))
+    return F.when(n <= m, items).otherwise(F.array_distinct(picks))
 
 
 def pack(sequences: list[list[str]], valid, target: int = R.TARGET_SEGMENT_TOKENS, most: int = R.MAX_SEGMENT_TOKENS, carry: int = R.SEGMENT_OVERLAP_TOKENS, least: int = R.MIN_SEGMENT_TOKENS) -> list[list[str]]:
     """Short sequences gathered to about `target` tokens with `carry` tokens kept over; long ones cut into windows.
 
-    `valid` tells whether a segment of at least `least` tokens carries signal.
+    All tokens are laid out in one row, and segments are stretches of it: an open stretch grows by whole short sequences, closes
+    when it has `target` tokens, and the next one begins `carry` tokens before its end. A sequence of `target` or more closes the open
+    stretch and is cut on its own, without carrying over. A stretch that would outgrow `most` is closed before; if it carries no signal nothing is carried
+    over. `valid` tells whether a stretch of at least `least` tokens carries signal.
     """
-    out: list[list[str]] = []
-    held: list[str] = []
-
-    def emit(x: list[str]) -> bool:
-        ok = len(x) >= least and valid(x)
-        if ok:
-            out.append(list(x))
-        return ok
-
-    for s in sequences:
-        if not s:
-            continue
-        if len(s) >= target:
-            emit(held)
-            held = []
-            for i in range(0, len(s), max(1, most - carry)):
-                emit(s[i : i + most])
-                if i + most >= len(s):
-                    break
-            continue
-        if held and len(held) + len(s) > most:
-            held = held[-carry:] if emit(held) else []
-        held = held + s
-        if len(held) >= target:
-            emit(held)
-            held = held[-carry:]
-    emit(held)
-    return out
+    row = [t for s in sequences for t in s]
+    stretches: list[tuple[int, int]] = []
+    begin = end = 0
+    good = lambda i, j: j - i >= least and valid(row[i:j])
+    for size in map(len, sequences):
+        if size >= target:
+            cuts = range(end, end + max(1, size - (most - max(1, most - carry))), max(1, most - carry))
+            stretches += [(begin, end), *((i, min(i + most, end + size)) for i in cuts)]
+            begin = end = end + size
+        elif size:
+            if begin < end and end + size - begin > most:
+                stretches.append((begin, end))
+                begin = max(begin, end - carry) if good(begin, end) else end
+            end += size
+            if end - begin >= target:
+                stretches.append((begin, end))
+                begin = max(begin, end - carry)
+    stretches.append((begin, end))
+    return [row[i:j] for i, j in stretches if good(i, j)]
 
 
 def carries_signal(x: list[str]) -> bool:
@@ -82,28 +84,23 @@ def carries_signal(x: list[str]) -> bool:
     return not (n < R.MIN_SEGMENT_TOKENS or roster or (n <= 20 and h >= 3) or (n <= 36 and h >= max(4, n // 4)) or h >= max(6, n // 3) or (n >= 20 and distinct < 0.3))
 
 
-def pack_documents(df: DataFrame, key: str, sequences: str) -> DataFrame:
-    """key, segment_index, tokens: packed segments of each row's array of sequences, distinct within the row.
-
-    The order within a row is that of the array, so nothing is shuffled.
-    """
+def pack_rows(df: DataFrame, sequences: str, name: str) -> DataFrame:
+    """`df` with its array of sequences replaced by `name`, the packed segments, distinct within the row and in its order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys, index, toks = [], [], []
-            for k, seqs in zip(pdf[key], pdf[sequences]):
-                seen = set()
-                for s in pack([list(x) for x in (seqs if seqs is not None else [])], carries_signal):
-                    if tuple(s) not in seen:
-                        keys.append(k)
-                        index.append(len(seen))
-                        toks.append(s)
-                        seen.add(tuple(s))
-            if keys:
-                yield pd.DataFrame({key: keys, "segment_index": index, "tokens": pd.Series(toks, dtype=object)})
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, sequences).mapInPandas(run, f"`{key}` {kind}, segment_index bigint, tokens array<string>")
+            found = (pack([list(x) for x in (seqs if seqs is not None else [])], carries_signal) for seqs in pdf[sequences])
+            rows = [[list(t) for t in dict.fromkeys(map(tuple, x))] for x in found]
+            yield pdf.drop(columns=[sequences]).assign(**{name: pd.Series(rows, index=pdf.index, dtype=object)})
+
+    schema = T_.StructType([*(f for f in df.schema.fields if f.name != sequences), T_.StructField(name, T_.ArrayType(T_.ArrayType(T_.StringType())))])
+    return df.mapInPandas(run, schema)
+
+
+def pack_documents(df: DataFrame, key: str, sequences: str) -> DataFrame:
+    """key, segment_index, tokens: the segments of `pack_rows`, one row each; nothing is shuffled."""
+    rows = pack_rows(df.select(key, sequences), sequences, "_s").select(key, F.posexplode("_s").alias("i", "tokens"))
+    return rows.select(key, C("i").cast("long").alias("segment_index"), "tokens")
 
 
 def learn_phrases(df: DataFrame, tokens: str, min_count: int = R.PHRASE_MIN_COUNT, min_unigram: int = R.PHRASE_MIN_UNIGRAM, min_other: int = R.PHRASE_MIN_OTHER, min_score: float = R.PHRASE_MIN_SCORE, most: int = R.PHRASE_LIMIT, seeds=R.PHRASE_SEEDS) -> DataFrame:
@@ -118,22 +115,42 @@ def learn_phrases(df: DataFrame, tokens: str, min_count: int = R.PHRASE_MIN_COUN
     return kept.select("left", "right", F.concat_ws("_", "left", "right").alias("phrase"), "count", "score").orderBy(F.desc("score"), F.desc("count"), "phrase").limit(most)
 
 
-def merge_phrases(df: DataFrame, key: str, tokens: str, phrases: DataFrame) -> DataFrame:
-    """key, pos, token, merged: pairs of `phrases` joined greedily from the left.
+def merge_rows(df: DataFrame, tokens: str, phrases: DataFrame, name: str = "merged") -> DataFrame:
+    """`df` with `name`, a struct of arrays: token, pos (place of a token's first part) and joined (whether it is a phrase), after pairs of
+    `phrases` are joined greedily from the left. Works within the row.
 
-    Within a run of neighbouring matches every second one starts a merge, which is what a left-to-right scan does.
+    The phrases are a top list (`learn_phrases` puts out at most `most`) and go to every task.
     """
-    rows = df.select(key, F.posexplode(tokens).alias("pos", "token"))
-    w = Window.partitionBy(key).orderBy("pos")
-    nxt = rows.withColumn("next", F.lead("token").over(w))
-    found = nxt.join(phrases.select(C("left").alias("token"), C("right").alias("next"), "phrase"), ["token", "next"], "left")
-    island = C("pos") - F.sum(F.when(C("phrase").isNotNull(), 1).otherwise(0)).over(w)
-    runs = found.withColumn("island", F.when(C("phrase").isNotNull(), island))
-    rank = F.row_number().over(Window.partitionBy(key, "island").orderBy("pos"))
-    starts = runs.withColumn("start", C("phrase").isNotNull() & (rank % 2 == 1))
-    eaten = F.coalesce(F.lag("start").over(w), lit(False))
-    out = starts.withColumn("eaten", eaten).where("not eaten")
-    return out.select(key, C("pos").cast("long").alias("pos"), F.when(C("start"), C("phrase")).otherwise(C("token")).alias("token"), C("start").alias("merged"))
+    table = {(r.left, r.right): r.phrase for r in phrases.select("left", "right", "phrase").collect()}
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("struct<token: array<string>, pos: array<bigint>, joined: array<boolean>>")
+    def run(rows: pd.Series) -> pd.DataFrame:
+        pairs = shared.value
+        lefts = {a for a, _ in pairs}
+        out = []
+        for r in rows:
+            toks, pos, joined, skip = [], [], [], False
+            n = 0 if r is None else len(r)
+            for i in range(n):
+                if skip:
+                    skip = False
+                    continue
+                p = pairs.get((r[i], r[i + 1])) if i + 1 < n and r[i] in lefts else None
+                skip = p is not None
+                toks.append(p if skip else r[i])
+                pos.append(i)
+                joined.append(skip)
+            out.append((toks, pos, joined))
+        return pd.DataFrame(out, columns=["token", "pos", "joined"])
+
+    return df.withColumn(name, run(C(tokens)))
+
+
+def merge_phrases(df: DataFrame, key: str, tokens: str, phrases: DataFrame) -> DataFrame:
+    """key, pos, token, merged: one row per token after `merge_rows`."""
+    rows = merge_rows(df.select(key, tokens), tokens, phrases, "_m").select(key, F.explode(F.arrays_zip("_m.pos", "_m.token", "_m.joined")).alias("x"))
+    return rows.select(key, "x.pos", "x.token", C("x.joined").alias("merged"))
 
 
 def exclusion_tokens(df: DataFrame, tokens: str, term_ratio: float = R.DROP_TERM_RATIO, sequence_ratio: float = R.DROP_SEQUENCE_RATIO, forced=R.FORCED_DROPS, protected=R.PROTECTED_TOKENS) -> DataFrame:
@@ -149,11 +166,13 @@ def exclusion_tokens(df: DataFrame, tokens: str, term_ratio: float = R.DROP_TERM
     return r.where(drop & ~C("token").isin(*protected))
 
 
-def remove_tokens(df: DataFrame, key: str, tokens: str, gone: DataFrame) -> DataFrame:
-    """key, tokens without the tokens of `gone`, repeats of others kept."""
-    rows = df.select(key, F.posexplode(tokens).alias("pos", "token")).join(gone.select("token").distinct(), "token", "left_anti")
-    left = rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias(tokens))
-    return df.select(key).distinct().join(left, key, "left").select(key, F.coalesce(tokens, F.array().cast("array<string>")).alias(tokens))
+def remove_tokens(df: DataFrame, tokens: str, gone: DataFrame) -> DataFrame:
+    """`df` without the tokens of `gone` in its rows, repeats of others kept.
+
+    `gone` is bounded: of tokens over a share r of all there are at most 1 / r, and the forced ones are a list.
+    """
+    words = sorted(r.token for r in gone.select("token").distinct().collect())
+    return df.withColumn(tokens, F.filter(tokens, lambda t: ~t.isin(*words))) if words else df
 
 
 def context_pairs(df: DataFrame, tokens: str, window: int, key: str | None = None, seed: int | None = None) -> DataFrame:

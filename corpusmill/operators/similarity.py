@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
@@ -11,54 +13,45 @@ from corpusmill.functions import vectors as V
 C, lit = F.col, F.lit
 
 
-def _block_top(names: list, block: list, key: str, n: int):
-    """Cosine of a block of queries with each batch of vectors; keeps n of each query and batch, ties included."""
-    import numpy as np
-    import pandas as pd
-
-    def top(batches):
-        q = np.array(block, float)
-        names_ = np.array(names)
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            m = np.array(pdf["v"].tolist(), float)
-            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-            keys = pdf[key].to_numpy()
-            s = q @ m.T
-            take = min(n + 1, s.shape[1])
+def _top(key: str, n: int):
+    """The n nearest vectors of each query of a cell, ties included; a cell is one block of queries and one of vectors."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query": left["query"][:0], key: right[key][:0], "similarity": np.zeros(0)})
+        if not len(left) or not len(right):
+            return none
+        q, m = (np.array(x["v"].tolist(), float) for x in (left, right))
+        q, m = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) for x in (q, m))
+        names, keys, out = left["query"].to_numpy(), right[key].to_numpy(), [none]
+        take = min(n + 1, len(m))
+        for lo in range(0, len(q), 1024):
+            s = q[lo : lo + 1024] @ m.T
             floor = -np.partition(-s, take - 1, axis=1)[:, take - 1]
             i, j = np.nonzero(s >= floor[:, None] - 1e-9)
-            yield pd.DataFrame({"query": names_[i], key: keys[j], "similarity": s[i, j]})
+            out.append(pd.DataFrame({"query": names[lo + i], key: keys[j], "similarity": s[i, j]}))
+        return pd.concat(out[1:], ignore_index=True)
 
-    return top
+    return run
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, key: str, vec: str, n: int, block: int = 4096) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: DataFrame, key: str, vec: str, n: int, block: int = 50_000, query_block: int = 20_000) -> DataFrame:
     """query, key, similarity, rank of the n nearest vectors of each stated query by cosine; exact.
 
-    Queries are taken in blocks of at most `block`, whose size bounds what a pass ships. Each batch of the table meets the block as one
-    matrix product and keeps n of each query, so few rows are shuffled. Null vectors take no part.
+    Vectors and queries are dealt to blocks whose sizes bound what a task holds. Every block of queries meets every block of vectors in
+    one task as a matrix product, which keeps n of each query, so few rows go on. Nothing comes to the driver but two counts. Null vectors take no part.
     """
     kind = vectors.schema[key].dataType.simpleString()
     table = vectors.where(C(vec).isNotNull()).select(key, C(vec).cast("array<double>").alias("v"))
-    parts, names, held = [], [], []
-
-    def flush() -> None:
-        parts.append(table.mapInPandas(_block_top(list(names), list(held), key, n), f"query {kind}, `{key}` {kind}, similarity double"))
-        names.clear()
-        held.clear()
-
-    for r in queries.where(C(vec).isNotNull()).select(C(key).alias("query"), V.unit(V.doubles(C(vec))).alias("v")).toLocalIterator():
-        names.append(r.query)
-        held.append(r.v)
-        if len(names) == block:
-            flush()
-    if names or not parts:
-        flush() if names else parts.append(vectors.sparkSession.createDataFrame([], f"query {kind}, `{key}` {kind}, similarity double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+    asked = queries.where(C(vec).isNotNull()).select(C(key).alias("query"), C(vec).cast("array<double>").alias("v"))
+    rows, wanted = table.count(), asked.count()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    parts, sets = max(-(-rows // block), min(cores, -(-rows // 4096)), 1), max(-(-wanted // query_block), 1)
+
+    def dealt(df: DataFrame, name: str, blocks: int, others: int, own: str, other: str) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(name, lit(5)), lit(blocks))).withColumn(other, F.explode(F.sequence(lit(0).cast("long"), lit(others - 1).cast("long"))))
+
+    left, right = dealt(asked, "query", sets, parts, "a", "b"), dealt(table, key, parts, sets, "b", "a")
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(_top(key, n), f"query {kind}, `{key}` {kind}, similarity double")
     rounded = found.where(C("query") != C(key)).withColumn("similarity", F.round("similarity", 6))
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
     return rounded.withColumn("rank", F.row_number().over(w)).where(C("rank") <= n)

@@ -34,9 +34,9 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    """id, url, title, doc_type, department, content: one row per record; repeats carry the same values."""
+    """id, url, title, doc_type, department, lang, content: one row per record; repeats carry the same values."""
     m = read_table(spark, d, "crawldoc").where("metadata.id is not null")
-    flat = spread(m).select(C("metadata.id").alias("id"), C("metadata.source_url").alias("url"), *[C(f"metadata.{k}").alias(k) for k in ("title", "doc_type", "department")], "content", "ingested_at")
+    flat = spread(m).select(C("metadata.id").alias("id"), C("metadata.source_url").alias("url"), *[C(f"metadata.{k}").alias(k) for k in ("title", "doc_type", "department")], C("declared_lang").alias("lang"), "content", "ingested_at")
     return dedup.without_repeats(flat).drop("ingested_at")
 
 
@@ -188,7 +188,11 @@ def analysis_exclusions(spark, d):
     return vocabulary.analysis_exclusions(_vocab(spark, d)).select("token", "count")
 
 
-@query()
+@query(f"""{S.VOCAB}, s as (select sum(pow(count, 0.75)) as w from voc), n as (select token, token_id, greatest(1, round(pow(count, 0.75) / w * 1099511627776.0))::bigint as w from voc, s),
+r as (select *, (sum(w) over (order by token_id) - w)::bigint as lo from n), t as (select sum(w)::bigint as t from r),
+d as (select token, draw, lo, w, floor({S.hash32(chr(39) + '42' + chr(39), 'token', 'draw::varchar')} / 4294967296.0 * (t - w))::bigint as u from r, t, (select unnest(range(5)) as draw)),
+m as (select token, draw, u + case when u >= lo then w else 0 end as u from d)
+select m.token, m.draw::bigint as draw, r.token_id::bigint as token_id from m asof join r on m.u >= r.lo""")
 def negative_samples(spark, d):
     v = _vocab(spark, d)
     return vocabulary.negatives(v.select("token", C("token_id").alias("positive")), vocabulary.noise_distribution(v), "token", "positive", 5, 42)
@@ -255,20 +259,27 @@ def paragraph_dedup(spark, d):
 
 
 @query(f"""with {S.RECORDS}, a as (select id, url, content, 0 as part from rec), b as (select segment_id as id, source_url as url, text as content, 1 as part from (select segment_id, min(source_url) as source_url, min(text) as text from textsegment group by 1)),
-x as (select coalesce(nullif(url, ''), nullif(id, '')) as merge_key, length(content) as n, part from (select * from a union all select * from b))
-select merge_key, max(coalesce(n, 0))::bigint as n from x where merge_key is not null group by 1""")
+x as (select coalesce(nullif(url, ''), nullif(id, '')) as merge_key, coalesce(length(content), 0) as n, md5(coalesce(content, '')) as content_key, part from (select * from a union all select * from b)),
+r as (select *, rank() over (partition by merge_key order by n desc, part) as k from x where merge_key is not null)
+select merge_key, n::bigint as n, part::bigint as part, count(distinct content_key)::bigint as candidates, case when count(distinct content_key) = 1 then min(content_key) end as content_key from r where k = 1 group by 1, 2, 3""")
 def merge_documents(spark, d):
     a = _records(spark, d).select("id", "url", "content")
     b = read_table(spark, d, "textsegment").groupBy(C("segment_id").alias("id")).agg(F.min("source_url").alias("url"), F.min("text").alias("content"))
-    m = dedup.merge_sources([a, b], ["url", "id"], "content")
-    return m.select("merge_key", F.coalesce(F.length("content"), lit(0)).cast("long").alias("n"))
+    parts = [x.withColumn("part", lit(i).cast("long")) for i, x in enumerate((a, b))]
+    m = dedup.merge_sources(parts, ["url", "id"], "content")
+    # rows of one length in one table tie; how many texts do so shows whether the text is settled
+    key, size, digest = F.coalesce(*[F.when(C(k) != "", C(k)) for k in ("url", "id")]), F.coalesce(F.length("content"), lit(0)).cast("long"), F.md5(F.coalesce("content", lit("")))
+    every = parts[0].unionByName(parts[1]).select(key.alias("merge_key"), size.alias("n"), "part", digest.alias("k"))
+    won = m.select("merge_key", size.alias("n"), "part", digest.alias("k"))
+    ties = every.join(won.drop("k"), ["merge_key", "n", "part"]).groupBy("merge_key").agg(F.count_distinct("k").alias("candidates"))
+    return won.join(ties, "merge_key").select("merge_key", "n", "part", "candidates", F.when(C("candidates") == 1, C("k")).alias("content_key"))
 
 
 @query(f"""with {S.RECORDS}, e as (select unnest(documents) as m from crawlmanifest), o as (select m.id as id, max(m.title) as title from e where m.id is not null group by 1)
 select id, coalesce(o.title, rec.title) as title, length(content)::bigint as n from o join rec using (id)""")
 def manifest_documents(spark, d):
     entries = readers.manifest_entries(read_table(spark, d, "crawlmanifest"))
-    docs = read_table(spark, d, "crawldoc").where("metadata.id is not null").groupBy(C("metadata.id").alias("k")).agg(F.first("metadata").alias("metadata"), F.min("content").alias("content"))
+    docs = read_table(spark, d, "crawldoc").where("metadata.id is not null").groupBy(C("metadata.id").alias("k")).agg(F.min_by("metadata", F.struct("ingested_at", F.xxhash64("metadata"))).alias("metadata"), F.min("content").alias("content"))
     return readers.documents_by_manifest(entries, docs).select("id", C("metadata.title").alias("title"), F.length("content").cast("long").alias("n"))
 
 
@@ -322,13 +333,21 @@ def page_links(spark, d):
 # ---- filters and cleaning ----
 
 
+# The numbers of the filters' policy stand here as such, apart from the rule tables.
+_LEAST_TOKENS = "case {k} when 'Academic Program' then 120 when 'Academic Regulation' then 160 when 'Course Syllabus' then 180 when 'Department' then 100 when 'Faculty Profile' then 90 when 'Research' then 100 when 'Student Life' then 80 else 80 end"
+_LEAST_CHARS = "case {k} when 'Research' then 180 when 'Academic Regulation' then 300 when 'Academic Program' then 250 when 'Course Syllabus' then 400 when 'Faculty Profile' then 150 when 'Department' then 250 when 'Student Life' then 140 else 250 end"
+_KEPT = "('Research', 'Academic Regulation', 'Academic Program', 'Course Syllabus', 'Faculty Profile', 'Department', 'Student Life')"
+
+
 def _scraped_sql(text: str) -> str:
-    toks, kind = S.tokens(text), "coalesce(doc_type, '')"
+    toks, kind, plain = S.tokens(text), "coalesce(doc_type, '')", S.heading(f"coalesce({text}, '')")
     n, promo = f"len({toks})", S.hits(toks, R.PROMOTIONAL_HINTS)
     t, u = "lower(coalesce(title, ''))", "lower(coalesce(url, ''))"
     return f"""case when {kind} in {S.words(R.EXCLUDED_DOC_TYPES)} then 'excluded_doc_type:' || {kind} when {S.any_of(t, R.EXCLUDED_TITLE)} then 'excluded_title' when regexp_matches({u}, '(?i)(?:{'|'.join(R.EXCLUDED_URL)})') then 'excluded_url'
-when regexp_matches({u}, '/students?(?:[/?]|$)') and not contains({t}, 'student life') and not contains({t}, 'campus life') then 'student_listing_page'
-when {n} < {S.by_type(kind, R.MIN_TOKENS, R.MIN_TOKENS_DEFAULT)} then 'too_short_after_cleaning' when {kind} = 'Faculty Profile' and {S.hits(toks, R.FACULTY_SIGNALS)} < 4 then 'faculty_directory_or_low_signal'
+when {S.any_of(t, R.EXECUTIVE_TITLE)} or {S.any_of(f"replace({u}, '-', ' ')", R.EXECUTIVE_TITLE)} or {S.any_of(plain, R.EXECUTIVE_CONTENT)} then 'executive_or_offcampus' when {S.any_of(plain, R.STAFF_RECRUITMENT_CONTENT)} then 'faculty_recruitment'
+when {S.any_of(plain, R.ADMISSION_INDEX_CONTENT)} then 'admission_index' when {S.any_of(plain, R.OUTREACH_CONTENT)} then 'outreach_or_school_program' when regexp_matches({u}, '/(phd|msc|mtech|btech)(-phd)?-students?([/?]|$)') then 'student_roster_page'
+when regexp_matches({u}, '/students?(?:[/?]|$)') and not contains({u}, 'office-of-students') and not contains({t}, 'student life') and not contains({t}, 'campus life') then 'student_listing_page'
+when {n} < {_LEAST_TOKENS.format(k=kind)} then 'too_short_after_cleaning' when {kind} = 'Faculty Profile' and {S.hits(toks, R.FACULTY_SIGNALS)} < 4 then 'faculty_directory_or_low_signal'
 when {n} < 220 and {S.distinct_ratio(toks)} < 0.22 then 'low_unique_ratio' when {n} < 260 and {promo} >= 12 then 'promotional_content' else 'kept' end"""
 
 
@@ -338,29 +357,28 @@ def doc_quality_filter(spark, d):
     return r.select("id", filters.scraped_reason(C("doc_type"), C("title"), C("url"), C("content")).alias("reason"))
 
 
+def _english_sql(sample: str) -> str:
+    s = f"substr(regexp_replace({sample}, '\\s+', ' ', 'g'), 1, 2000)"
+    w = f"regexp_extract_all(lower({s}), '\\S+')"
+    return f"(length({s}) < 80 or {S.hits(w, R.STOP_WORDS)} >= 0.12 * len({w}))"
+
+
 def _corpus_sql() -> str:
     kind, t, u, c = "coalesce(doc_type, '')", "lower(coalesce(title, ''))", "lower(coalesce(url, ''))", "coalesce(content, '')"
     forced = f"({S.any_of(t, R.FORCE_KEEP_HINTS)} or {S.any_of(u, R.FORCE_KEEP_HINTS)})"
-    toks = S.tokens("content")
-    return f"""case when {S.any_of(t, R.RECRUITMENT_TITLE)} or {S.any_of(f'lower({c})', R.RECRUITMENT_CONTENT)} then 'excluded_recruitment_page'
+    toks, named, taught = S.tokens("content"), f"coalesce(nullif({kind}, ''), 'unknown')", S.any_of(u, R.PEDAGOGY_URL)
+    english = f"coalesce(regexp_matches(lower(lang), '^en'), {_english_sql(f"coalesce(title, '') || ' ' || substr({c}, 1, 1500)")})"
+    return f"""case when not {english} then 'non_english' when {S.any_of(t, R.RECRUITMENT_TITLE)} or {S.any_of(f'lower({c})', R.RECRUITMENT_CONTENT)} then 'excluded_recruitment_page'
 when {S.any_of(u, R.FACILITY_PATHS)} and not {S.any_of(t, R.FACILITY_ALLOW)} and ({S.any_of(t, R.FACILITY_TITLES)} or {S.any_of(u, R.FACILITY_TITLES)}) then 'excluded_facility_page'
-when {kind} = 'Facility' then 'excluded_doc_type:Facility' when {kind} in {S.words(R.EXCLUDED_DOC_TYPES)} and not {forced} then 'excluded_doc_type:' || {kind} when ({S.any_of(t, R.EXCLUDED_TITLE)} or regexp_matches({u}, '(?i)(?:{'|'.join(R.EXCLUDED_URL)})')) and not {forced} then 'excluded_by_title_or_url'
-when length({c}) < {S.by_type(kind, R.MIN_CHARS, R.MIN_CHARS_DEFAULT)} then 'too_short:' || {kind}
-when {S.hits(toks, R.PEDAGOGY_TOKENS)} >= greatest(12, floor(len({toks}) / 6)) and {S.hits(toks, R.DOMAIN_TOKENS)} <= 3 then 'pedagogy_heavy_page' else 'kept' end"""
+when {kind} = 'Facility' then 'excluded_doc_type:Facility' when {kind} not in {_KEPT} and not {forced} then 'excluded_doc_type:' || {named} when ({S.any_of(t, R.EXCLUDED_TITLE)} or regexp_matches({u}, '(?i)(?:{'|'.join(R.EXCLUDED_URL)})')) and not {forced} then 'excluded_by_title_or_url'
+when length(trim({c}, ' ' || chr(9) || chr(10) || chr(13))) < {_LEAST_CHARS.format(k=kind)} then 'too_short:' || {named}
+when ({taught} or {S.any_of(t, R.PEDAGOGY_TITLE)}) and {S.hits(toks, R.PEDAGOGY_TOKENS)} >= 12 and ({taught} or {S.hits(toks, R.DOMAIN_TOKENS)} <= 6) then 'pedagogy_heavy_page' else 'kept' end"""
 
 
 @query(f"with {S.RECORDS}, x as (select {_corpus_sql()} as reason from rec) select reason, count(*)::bigint as documents from x group by 1")
 def corpus_filter_reasons(spark, d):
-    r = _records(spark, d)
-    reason = filters.corpus_reason(C("doc_type"), C("title"), C("url"), C("content"), lit("en"))
-    return filters.reason_counts(r.select(reason.alias("reason")), "reason")
-
-
-@query()
-def corpus_filter_languages(spark, d):
     """The reasons with the declared language, or the word test where none is declared."""
-    lang = read_table(spark, d, "crawldoc").where("metadata.id is not null").groupBy(C("metadata.id").alias("id")).agg(F.min("declared_lang").alias("lang"))
-    r = _records(spark, d).join(lang, "id")
+    r = _records(spark, d)
     reason = filters.corpus_reason(C("doc_type"), C("title"), C("url"), C("content"), C("lang"))
     return filters.reason_counts(r.select(reason.alias("reason")), "reason")
 
@@ -483,17 +501,10 @@ def vector_neighbors(spark, d):
     return r.select("query", "vec_id", "similarity", C("rank").cast("long").alias("rank"))
 
 
-@query(f"""with {_UNIT}, t as (select a.vec_id as a, b.vec_id as b, c.vec_id as c, list_transform(list_zip(a.v, b.v, c.v), lambda p: p[2] - p[1] + p[3]) as g from u a join u b on b.vec_id = a.vec_id + 1 join u c on c.vec_id = a.vec_id + 2 where a.vec_id in (0, 30, 60, 90, 120)),
+@query(f"""with {_UNIT}, t as (select a.vec_id as a, b.vec_id as b, c.vec_id as c, list_transform(list_zip(a.v, b.v, c.v), lambda p: p[2] - p[1] + p[3]) as g from u a join u b on b.vec_id = a.vec_id + 1 join u c on c.vec_id = a.vec_id + 2 where a.vec_id % 20 = 0),
 g as (select a, b, c, list_transform(g, lambda x: x / greatest(sqrt(list_sum(list_transform(g, lambda y: y * y))), 1e-12)) as g from t),
 s as (select a, b, c, vec_id, round(list_sum(list_transform(list_zip(u.v, g.g), lambda p: p[1] * p[2])), 6) as similarity from g, u where vec_id not in (a, b, c)),
 r as (select *, row_number() over (partition by a, b, c order by similarity desc, vec_id) as rank from s) select a, b, c, vec_id, similarity, rank::bigint as rank from r where rank <= 5""")
-def vector_analogy(spark, d):
-    v = read_table(spark, d, "embeddings").where("embedding is not null")
-    triples = spark.createDataFrame([(i, i + 1, i + 2) for i in (0, 30, 60, 90, 120)], "a bigint, b bigint, c bigint")
-    return similarity.analogies(v, triples, "vec_id", "embedding", 5).select("a", "b", "c", "vec_id", "similarity", C("rank").cast("long").alias("rank"))
-
-
-@query()
 def vector_analogies(spark, d):
     """Triples of successive ids from every id divisible by 20."""
     v = read_table(spark, d, "embeddings").where("embedding is not null")

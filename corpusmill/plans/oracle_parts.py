@@ -100,7 +100,7 @@ def hash32(*parts: str) -> str:
 
 
 RECORDS = """
-rec as (select metadata.id as id, min(metadata.source_url) as url, min(metadata.title) as title, min(metadata.doc_type) as doc_type, min(metadata.department) as department, min(content) as content
+rec as (select metadata.id as id, min(metadata.source_url) as url, min(metadata.title) as title, min(metadata.doc_type) as doc_type, min(metadata.department) as department, min(declared_lang) as lang, min(content) as content
         from crawldoc where metadata.id is not null group by 1)"""
 SEGMENTS = "seg as (select segment_id, string_split(min(text), ' ') as t from textsegment where segment_id is not null and text is not null group by 1)"
 VOCAB = f"with {SEGMENTS}, tok as (select unnest(t) as token from seg), voc as (select token, count(*) as count, row_number() over (order by count(*) desc, token) - 1 as token_id from tok group by 1 having count(*) >= 5)"

@@ -35,9 +35,9 @@ def candidate_segments(docs: DataFrame, key: str, text: str, doc_type: str, titl
     cleaned = docs.select(key, C(doc_type).alias("_type"), C(title).alias("_title"), cleaning.clean_corpus(C(text)).alias("_clean"))
     seqs = cleaned.withColumn("_seqs", token_sequences(C("_clean"), C("_type"))).withColumn("_head", T.title_tokens(C("_title")))
     head = F.when(T.use_title(C("_type"), C("_head"), C("_title")), F.array("_head")).otherwise(F.array().cast("array<array<string>>"))
-    packed = sequences.pack_documents(seqs.select(key, F.concat(head, C("_seqs")).alias("seqs")), key, "seqs")
-    per = packed.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("segment_index", "tokens"))), lambda x: x["tokens"]).alias("s"))  # a document's own segments
-    return per.select(key, F.posexplode(sequences.even_sample(C("s"))).alias("segment_index", "tokens"))
+    packed = sequences.pack_rows(seqs.select(key, "_type", F.concat(head, C("_seqs")).alias("seqs")), "seqs", "s")
+    most = sequences.segment_limit(F.coalesce("_type", lit("")))
+    return packed.select(key, F.posexplode(sequences.even_sample(C("s"), most)).alias("segment_index", "tokens"))
 
 
 def build(docs: DataFrame, key: str, text: str, doc_type: str, title: str, url: str | None = None, lang: str | None = None, reexpand: bool = False, min_phrase_count: int = R.PHRASE_MIN_COUNT, term_ratio: float = R.DROP_TERM_RATIO) -> Result:
@@ -48,15 +48,11 @@ def build(docs: DataFrame, key: str, text: str, doc_type: str, title: str, url:
     valid = first.select(key).distinct().withColumn("_has", lit(True))
     why = judged.select(key, "_reason").join(valid, key, "left").select(F.when((C("_reason") == "kept") & C("_has").isNull(), "no_valid_segments").otherwise(C("_reason")).alias("reason"))
     phrases = materialize(sequences.learn_phrases(first, "tokens", min_count=min_phrase_count))
-    merged = sequences.merge_phrases(first, "_id", "tokens", phrases)
-    if reexpand:
-        merged = merged.select("_id", "merged", F.posexplode(T.expand(C("token"))).alias("_k", "token"), "pos")
-    else:
-        merged = merged.withColumn("_k", lit(0))
-    joined = merged.groupBy("_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "_k", "token"))), lambda x: x["token"]).alias("tokens"), F.sum(C("merged").cast("long")).alias("phrase_merges"))
-    second = materialize(first.select("_id", key, "segment_index").join(joined, "_id"))
-    gone = materialize(sequences.exclusion_tokens(second, "tokens", term_ratio=term_ratio))
-    left = sequences.remove_tokens(second, "_id", "tokens", gone).where(~T.is_low_signal(C("tokens")))
-    final = left.join(second.select("_id", key, "segment_index", "phrase_merges"), "_id")
+    merged = sequences.merge_rows(first, "tokens", phrases)
+    toks = F.flatten(F.transform("merged.token", lambda t: T.expand(t))) if reexpand else C("merged.token")
+    count = F.size(F.filter("merged.joined", lambda x: x)).cast("long")
+    second = materialize(merged.select("_id", key, "segment_index", toks.alias("tokens"), count.alias("phrase_merges")))
+    gone = sequences.exclusion_tokens(second, "tokens", term_ratio=term_ratio)
+    final = sequences.remove_tokens(second, "tokens", gone).where(~T.is_low_signal(C("tokens")))
     unique = dedup.segments_by_hash(final, "tokens", [key, "segment_index"]).select(key, "segment_index", "tokens", "phrase_merges", "copies")
     return Result(unique, phrases, gone, why.groupBy("reason").agg(F.count(lit(1)).alias("documents")))

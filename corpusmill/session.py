@@ -28,11 +28,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; set an own one only where none is set."""
+    """Use the shared folder the cluster names; an own one only on one machine, where none is set. On a cluster without one this is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "corpusmill-checkpoints"))
 
 
@@ -45,13 +47,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark `df` for broadcast only if a count shows at most `max_rows` rows.
+def small_side(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> DataFrame:
+    """Mark `df` for broadcast only if it is measured to have at most `max_rows` rows and `max_bytes` bytes.
 
     Beyond that the join is left to Spark, which shuffles both sides. `df` should be
-    materialized, since it is counted here and read again by the join.
+    materialized, since it is measured here and read again by the join.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    sizes = [F.octet_length(F.col(f"`{f.name}`").cast("string")) if f.dataType.typeName() in ("string", "binary", "array", "struct", "map") else F.lit(8) for f in df.schema.fields]
+    per_row = sum((F.coalesce(x, F.lit(0)) for x in sizes), F.lit(16))
+    r = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(per_row), F.lit(0))).first()
+    return F.broadcast(df) if r[0] <= max_rows and r[1] <= max_bytes else df
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def test_pipeline(spark):
 
 
 def test_other_languages_are_a_reason(spark, data, con):
-    got = {r.reason: r.documents for r in catalog.queries()["corpus_filter_languages"](spark, data).collect()}
+    got = {r.reason: r.documents for r in catalog.queries()["corpus_filter_reasons"](spark, data).collect()}
     labelled = con.sql("select count(*) from (select min(declared_lang) as l from crawldoc where metadata.id is not null group by metadata.id) where not starts_with(lower(l), 'en')").fetchall()[0][0]
     assert 0 < labelled <= got["non_english"]
     assert sum(got.values()) == con.sql("select count(distinct metadata.id) from crawldoc").fetchall()[0][0]
@@ -87,5 +87,3 @@ def test_analogies_of_every_twentieth_vector(spark, data, con):
     got = [tuple(r) for r in q["vector_analogies"](spark, data).collect()]
     ids = {r[0] for r in con.sql("select a.vec_id from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 join embeddings c on c.vec_id = a.vec_id + 2 where a.vec_id % 20 = 0 and a.embedding is not null and b.embedding is not null and c.embedding is not null").fetchall()}
     assert {r[0] for r in got} == ids and len(got) == 5 * len(ids) and len(ids) > 5
-    few = [tuple(r) for r in q["vector_analogy"](spark, data).collect()]
-    assert sorted(r for r in got if r[0] in (0, 60, 120)) == sorted(r for r in few if r[0] in (0, 60, 120)) != []
