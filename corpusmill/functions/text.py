@@ -112,8 +112,24 @@ def lemma(token: Column, lemmas: dict[str, str] = R.LEMMAS) -> Column:
 
 
 def _lemma(t: Column, lemmas: dict[str, str] = R.LEMMAS) -> Column:
+    """Table, then the rules of English plurals: -ies, -es behind a hiss, -s."""
     plural = (F.length(t) > 4) & t.endswith("s") & ~t.rlike("(?:ss|us|is)$")
-    return F.when(t.isin(*lemmas), _mapped(t, lemmas)).when(plural, F.substring(t, lit(1), F.length(t) - 1)).otherwise(t)
+    cut = lambda n: F.substring(t, lit(1), F.length(t) - n)
+    by_rule = F.when(t.endswith("ies"), F.concat(cut(3), lit("y"))).when(t.rlike("(?:ss|ch|sh|x|zz)es$"), cut(2)).otherwise(cut(1))
+    return F.when(t.isin(*lemmas), _mapped(t, lemmas)).when(plural, by_rule).otherwise(t)
+
+
+TITLES = ("Dr", "Prof", "Mr", "Mrs", "Ms", "Er", "Shri", "Smt")
+
+
+def without_person_names(text: Column, titles=TITLES) -> Column:
+    """Text without the names that follow a title of address: up to three capitalized words. Stands in for a tagger of names."""
+    return F.regexp_replace(text, rf"\\b(?:{'|'.join(titles)})\\.?\\s+(?:[A-Z][a-z'-]+\\.?\\s*){{1,3}}", " ")
+
+
+def tokenizer_description() -> str:
+    """What the tokenizer does, for reports."""
+    return f"regular expression {R.TOKEN_PATTERN} on lower-cased text, plurals by rule, {len(R.LEMMAS)} listed lemmas, names after titles of address dropped on request"
 
 
 def expand(token: Column, compounds=R.COMPOUNDS) -> Column:

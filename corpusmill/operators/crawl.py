@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusmill.functions import url as U
+from corpusmill.functions import rules as R, url as U
+from corpusmill.operators import dedup, filters, html as H
 from corpusmill.session import materialize
 
 C, lit = F.col, F.lit
@@ -34,6 +35,26 @@ def breadth_first(seeds: DataFrame, links: DataFrame, limit: int | None = None,
     return done.orderBy("depth", "url").limit(limit) if limit is not None else done
 
 
+def process_pages(pages: DataFrame, url: str, html: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, links) of fetched pages, in the crawler's order: extract, classify, filter, then links of every page whatever became of it,
+    then one record per content, then types without a rule are passed over.
+
+    documents: url, title, description, doc_type, department, content, content_key. links: src, dst.
+    """
+    read = materialize(H.extract(pages, url, html, url))  # read and cleaned once
+    typed = read.withColumn("doc_type", U.doc_type(C(url)))
+    judged = materialize(typed.where(filters.scraped_reason(C("doc_type"), C("title"), C(url), C("content")) == "kept"))
+    once = dedup.exact_duplicates(judged, "content", [url]).where("kept and doc_type <> '" + R.DOC_TYPE_DEFAULT + "'")
+    documents = once.select(C(url).alias("url"), "title", "description", "doc_type", U.department(C(url)).alias("department"), "content", "content_key")
+    return documents, H.links(pages, html, url)
+
+
+def rate(df: DataFrame, at: str) -> DataFrame:
+    """pages, minutes, per_minute of pages with a time; per_minute is null for a single moment."""
+    r = df.where(C(at).isNotNull()).agg(F.count(lit(1)).alias("pages"), ((F.max(F.unix_micros(at)) - F.min(F.unix_micros(at))) / lit(60e6)).alias("minutes"))
+    return r.select("pages", "minutes", F.try_divide("pages", "minutes").alias("per_minute"))
+
+
 def dispatch(df: DataFrame, url: str) -> DataFrame:
     """`df` with kind: `pdf` by suffix, else `html`."""
     return df.withColumn("kind", F.when(U.is_pdf(C(url)), "pdf").otherwise("html"))

@@ -107,3 +107,90 @@ def plot_words(focus: DataFrame, near: DataFrame, frequent: DataFrame, most: int
     every = focus.select("word", lit(0).alias("part"), "at").unionByName(near.select("word", lit(1).alias("part"), "at")).unionByName(frequent.select("word", lit(2).alias("part"), "at"))
     first = every.groupBy("word").agg(F.min(F.struct("part", "at")).alias("o"))
     return first.orderBy("o", "word").limit(most).select("word", (C("o.part") == 0).alias("is_focus"))
+
+
+def semantic_analysis(vectors: DataFrame, words: list[str], questions: list[tuple[str, str, str, list[str]]], excluded: DataFrame | None = None, n: int = 5) -> DataFrame:
+    """kind, question, rank, answer, similarity, expected: the n nearest words of each of `words`, and of b - a + c for each question (a, b, c,
+    expected answers), over `vectors` (token, vector). Words of `excluded` (token) are no answers; the words of a question are none either.
+    `expected` tells the first answer that was expected. A question with an unknown word has one row without an answer.
+
+    Words and questions are the caller's, a handful.
+    """
+    spark = vectors.sparkSession
+    u = vectors.select("token", V.unit(V.doubles(C("vector"))).alias("v"))
+    asked = sorted({*words, *(w for q in questions for w in q[:3])})
+    known = {r.token: np.array(r.v) for r in u.where(C("token").isin(*asked)).collect()}
+    rows, own = [], []
+    for w in words:
+        rows.append((f"neighbours|{w}", known[w].tolist() if w in known else None))
+        own.append((f"neighbours|{w}", [w], []))
+    for a, b, c, answers in questions:
+        g = known[b] - known[a] + known[c] if {a, b, c} <= known.keys() else None
+        rows.append((f"analogy|{a}:{b}::{c}:?", g.tolist() if g is not None else None))
+        own.append((rows[-1][0], [a, b, c], answers))
+    table = u if excluded is None else u.join(excluded.select("token").distinct(), "token", "left_anti")
+    asked_rows = spark.createDataFrame(rows, "token string, v array<double>")
+    near = neighbours(table.select("token", "v"), asked_rows, "token", "v", n + 3).select(C("query").alias("name"), C("token").alias("answer"), "similarity")
+    facts = spark.createDataFrame(own, "name string, own array<string>, answers array<string>")
+    fit = near.join(F.broadcast(facts), "name").where(~F.array_contains("own", C("answer")))
+    ranked = fit.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("similarity"), "answer"))).where(C("rank") <= n)
+    hit = F.array_contains("answers", C("answer"))
+    first = F.min(F.when(hit, C("rank"))).over(Window.partitionBy("name"))
+    found = ranked.select("name", "rank", "answer", "similarity", F.coalesce(C("rank") == first, lit(False)).alias("expected"))
+    every = facts.select("name").join(found, "name", "left")
+    part = lambda i: F.get(F.split("name", "[|]", 2), lit(i))
+    return every.select(part(0).alias("kind"), part(1).alias("question"), C("rank").cast("long").alias("rank"), "answer", "similarity", F.coalesce("expected", lit(False)).alias("expected"))
+
+
+def tsne(x: np.ndarray, seed: int = 42, rounds: int = 1000) -> np.ndarray:
+    """Two coordinates of each row by t-SNE after a projection to at most 50 principal axes; the perplexity is min(30, max(5, n // 4)).
+
+    For the few points of a plot; fewer than two are an error. Starts from the two principal axes, so equal input gives equal output.
+    """
+    n = len(x)
+    if n < 2:
+        raise ValueError("a projection needs at least two vectors")
+    y = x - x.mean(0)
+    _, _, axes = np.linalg.svd(y, full_matrices=False)
+    y = y @ axes[: min(50, x.shape[1], n)].T
+    d = ((y[:, None] - y[None]) ** 2).sum(-1)
+    goal, p = np.log(min(min(30, max(5, n // 4)), n - 1)), np.zeros((n, n))
+    for i in range(n):
+        lo, hi, beta = 0.0, np.inf, 1.0
+        rest = np.delete(d[i], i)
+        rest = rest - rest.min()
+        for _ in range(60):
+            w = np.exp(-rest * beta)
+            h = np.log(w.sum()) + beta * (rest * w).sum() / w.sum()
+            if abs(h - goal) < 1e-5:
+                break
+            lo, hi = (beta, hi) if h > goal else (lo, beta)
+            beta = beta * 2 if np.isinf(hi) else (lo + hi) / 2
+        p[i, np.arange(n) != i] = w / w.sum()
+    p = np.maximum((p + p.T) / (2 * n), 1e-12)
+    z = y[:, :2] / max(y[:, 0].std(), 1e-12) * 1e-4
+    if z.shape[1] < 2:
+        z = np.concatenate([z, np.random.default_rng(seed).normal(0, 1e-4, (n, 1))], 1)
+    rate, speed, gain = max(n / 48, 50.0), np.zeros_like(z), np.ones_like(z)
+    for k in range(rounds):
+        near = 1 / (1 + ((z[:, None] - z[None]) ** 2).sum(-1))
+        np.fill_diagonal(near, 0)
+        q = np.maximum(near / near.sum(), 1e-12)
+        f = ((12 if k < 250 else 1) * p - q) * near
+        grad = 4 * (f.sum(1)[:, None] * z - f @ z)
+        gain = np.maximum(np.where(np.sign(grad) == np.sign(speed), gain * 0.8, gain + 0.2), 0.01)
+        speed = (0.5 if k < 250 else 0.8) * speed - rate * gain * grad
+        z = z + speed
+    return z - z.mean(0)
+
+
+def plot_points(vectors: DataFrame, words: DataFrame, method: str = "tsne") -> DataFrame:
+    """word, x, y, is_focus: the table behind a scatter plot of `words` (from `plot_words`, which bounds them) by `tsne` or `pca`."""
+    rows = words.join(vectors.select(C("token").alias("word"), "vector"), "word").orderBy("word").collect()
+    x = np.array([r.vector for r in rows], float).reshape(len(rows), -1)
+    if method == "tsne":
+        z = tsne(x)
+    else:
+        y = x - x.mean(0)
+        z = y @ np.linalg.svd(y, full_matrices=False)[2][:2].T
+    return vectors.sparkSession.createDataFrame([(r.word, float(a), float(b), r.is_focus) for r, (a, b) in zip(rows, z)], "word string, x double, y double, is_focus boolean")

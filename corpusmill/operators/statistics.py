@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusmill.functions import rules as R
 
@@ -44,6 +44,14 @@ def rule_audit(spark) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, position bigint, rule string")
 
 
+def learned_audit(phrases: DataFrame, exclusions: DataFrame, most: int = 100) -> DataFrame:
+    """table_name, position, rule: the `most` strongest phrases and most frequent excluded tokens."""
+    w = lambda *o: F.row_number().over(Window.orderBy(*o)) - 1  # noqa: E731 - over `most` rows
+    top = phrases.orderBy(F.desc("score"), F.desc("count"), "phrase").limit(most).select(lit("phrases").alias("table_name"), w(F.desc("score"), F.desc("count"), "phrase").cast("long").alias("position"), C("phrase").alias("rule"))
+    gone = exclusions.orderBy(F.desc("count"), "token").limit(most).select(lit("exclusions").alias("table_name"), w(F.desc("count"), "token").cast("long").alias("position"), C("token").alias("rule"))
+    return top.unionByName(gone)
+
+
 def manifest(df: DataFrame, metadata: list[str]) -> DataFrame:
     """path-ready manifest: one row per document with its metadata; the total stands in each row so that no group is collected."""
     total = df.agg(F.count(lit(1)).alias("total_documents"))

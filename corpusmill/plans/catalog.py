@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusmill.functions import rules as R, text as T, url as U
-from corpusmill.operators import cleaning, crawl, dedup, embedding, filters, html, names, sequences, similarity, statistics, vocabulary
+from corpusmill.operators import cleaning, crawl, dedup, embedding, filters, html, names, ranking, recurrent, sequences, similarity, statistics, vocabulary
 from corpusmill.plans import oracle_parts as S, pipeline
-from corpusmill.session import read_table, spread
+from corpusmill.session import materialize, read_table, spread
 from corpusmill.sources import readers
 
 C, lit = F.col, F.lit
@@ -218,14 +218,19 @@ def top_departments(spark, d):
     return r.orderBy(F.desc("documents"), "department").limit(20)
 
 
-@query()
+@query(f"""with {S.SEGMENTS}, o as (select unnest(t) as token from seg), c as (select token, count(*) as count from o group by 1), k as (select * from c order by count desc, token limit 25)
+select '{{"sequences":' || (select count(*) from seg) || ',"total_tokens":' || (select sum(count) from c)::bigint || ',"vocabulary":' || (select count(*) from c) || ',"mean_length":' || (select round(avg(len(t)), 2) from seg) || ',"median_length":' || (select median(len(t)) from seg)
+|| ',"top_tokens":[' || (select string_agg('{{"token":"' || token || '","count":' || count || '}}', ',' order by count desc, token) from k) || ']}}' as stats""")
 def dataset_statistics(spark, d):
     return statistics.dataset_json(_segments(spark, d), "t")
 
 
 @query()
 def rule_audit(spark, d):
-    return statistics.rule_audit(spark)
+    """Every rule, and the top phrases and excluded tokens of the corpus."""
+    s = _segments(spark, d)
+    found = statistics.learned_audit(sequences.learn_phrases(s, "t", seeds=()), sequences.exclusion_tokens(s, "t"))
+    return statistics.rule_audit(spark).unionByName(found)
 
 
 # ---- duplicates and merging ----
@@ -306,28 +311,55 @@ def page_metadata(spark, d):
     return r.select("id", U.record_id(C("url")).alias("record_id"), F.md5("content").alias("content_hash"), F.sha1("content").alias("sha1"), F.length("content").cast("long").alias("content_length"), U.normalize(C("url")).alias("url_norm"), U.filename(C("url")).alias("filename"))
 
 
-@query("select url, depth::bigint as depth from (with recursive e as (select * from (values ('a','b'),('b','c'),('c','a'),('c','d'),('d','e'),('x','y'),('e','b')) t(src, dst)), w as (select 'a' as url, 0 as depth union select e.dst, w.depth + 1 from w join e on e.src = w.url where w.depth < 8) select url, min(depth) as depth from w group by 1)")
+FAN = 8
+_LINKS = f"""{{records}}, u as (select url, row_number() over (order by url) - 1 as k from (select distinct {{url}} as url from rec where url is not null)),
+links as (select p.url as src, c.url as dst from u c join u p on p.k = (c.k - 1) // {FAN} where c.k > 0)"""
+
+
+def _site(spark, d):
+    """A site made of the records: page k links to pages FAN * k + 1 on, k counting URLs in order."""
+    urls = _records(spark, d).where("url is not null").select(U.normalize(C("url")).alias("url")).distinct()
+    u = ranking.global_rank(urls, [C("url")], "k").select("url", "k")
+    up = u.select(C("url").alias("src"), C("k").alias("parent"))
+    return u, u.where("k > 0").withColumn("parent", F.floor((C("k") - 1) / FAN)).join(up, "parent").select("src", C("url").alias("dst"))
+
+
+_SITE = _LINKS.format(records=f"with recursive {S.RECORDS}", url="regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '')")
+
+
+@query(f"""{_SITE}, w as (select url, 0 as depth from u where k = 0 union select l.dst, w.depth + 1 from w join links l on l.src = w.url) select url, min(depth)::bigint as depth from w group by 1""")
 def crawl_bfs(spark, d):
-    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("x", "y"), ("e", "b")], "src string, dst string")
-    r = crawl.breadth_first(spark.createDataFrame([("a",)], "url string"), links)
-    return r.select("url", C("depth").cast("long").alias("depth"))
+    u, links = _site(spark, d)
+    return crawl.breadth_first(u.where("k = 0").select("url"), links).select("url", C("depth").cast("long").alias("depth"))
 
 
-PAGE = """<html><head><title>Field station</title><meta name="description" content="Notes"></head><body><nav><a href="/home">Home</a></nav>
-<main><h1>Field station</h1><p>Water levels are read every morning and sent to the office, where they are compared with earlier years.</p><ul><li>rain gauge</li></ul><a href="data.html#top">data</a></main>
-<footer><p>All rights reserved</p></footer></body></html>"""
+def _pages(spark, d):
+    """url, html: the records as pages with a head, a menu, paragraphs and the links of the site."""
+    _, links = _site(spark, d)
+    safe = lambda c: F.replace(F.replace(F.replace(c, lit("&"), lit("&amp;")), lit("<"), lit("&lt;")), lit(">"), lit("&gt;"))
+    r = _records(spark, d).where("url is not null").select(U.normalize(C("url")).alias("url"), "title", "content")
+    one = r.groupBy("url").agg(F.min(F.struct("title", "content")).alias("r")).select("url", "r.*")
+    outs = links.groupBy(C("src").alias("url")).agg(F.sort_array(F.collect_list("dst")).alias("to"))  # FAN at most
+    none = F.array().cast("array<string>")
+    body = F.array_join(F.transform(F.split(F.coalesce("content", lit("")), "\n"), lambda x: F.concat(lit("<p>"), safe(x), lit("</p>"))), "")
+    menu = F.array_join(F.transform(F.coalesce("to", none), lambda x: F.concat(lit('<li><a href="'), safe(x), lit('#top">page</a></li>'))), "")
+    html_text = F.concat(lit("<html><head><title>"), safe(F.coalesce("title", lit(""))), lit("</title></head><body><nav><ul>"), menu, lit("</ul></nav><main>"), body, lit("</main><footer><p>All rights reserved</p></footer></body></html>"))
+    return one.join(outs, "url", "left").select("url", html_text.alias("html"))
 
 
 @query()
 def page_extract(spark, d):
-    pages = spark.createDataFrame([(1, "https://a.example/x/", PAGE), (2, "https://a.example/y", None)], "page_id bigint, url string, html string")
-    return html.extract(pages, "page_id", "html", "url")
+    return html.extract(_pages(spark, d), "url", "html", "url")
 
 
-@query("select * from (values ('https://a.example/x/', 'https://a.example/home'), ('https://a.example/x/', 'https://a.example/x/data.html')) t(src, dst)")
+@query(f"{_SITE} select src, dst from links")
 def page_links(spark, d):
-    pages = spark.createDataFrame([("https://a.example/x/", PAGE)], "url string, html string")
-    return html.links(pages, "html", "url")
+    return html.links(_pages(spark, d), "html", "url")
+
+
+@query()
+def crawl_documents(spark, d):
+    return crawl.process_pages(_pages(spark, d), "url", "html")[0]
 
 
 # ---- filters and cleaning ----
@@ -433,7 +465,18 @@ def title_headings(spark, d):
     return r.select("id", h.alias("heading"), T.is_drop_heading(h).alias("dropped"))
 
 
-@query()
+def _normalized_sql(text: str) -> str:
+    """The tokens of `text.normalized_tokens`: mapped, singular, parted, without noise."""
+    table = lambda t, pairs: f"case {t} " + " ".join(f"when '{k}' then '{v}'" for k, v in pairs.items()) + f" else {t} end"
+    simple = f"list_transform({S.tokens(text)}, lambda t: {table('t', R.TOKEN_MAP)})"
+    rule = "case when ends_with(t, 'ies') then left(t, length(t) - 3) || 'y' when regexp_matches(t, '(?:ss|ch|sh|x|zz)es$') then left(t, length(t) - 2) else left(t, length(t) - 1) end"
+    lemma = f"list_transform({simple}, lambda t: case when t in {S.words(R.LEMMAS)} then {table('t', R.LEMMAS)} when length(t) > 4 and ends_with(t, 's') and not regexp_matches(t, '(?:ss|us|is)$') then {rule} else t end)"
+    parts = f"flatten(list_transform({lemma}, lambda t: case when t in {S.words(R.COMPOUNDS)} or not regexp_matches(t, '[_-]') then [t] else list_filter(regexp_split_to_array(t, '[_-]'), lambda p: p <> '') end))"
+    return f"list_filter({parts}, lambda y: not {S.noise('y')})"
+
+
+@query(f"""with {S.RECORDS}, x as (select id, doc_type, title, {_normalized_sql("coalesce(title, '')")} as t from rec)
+select id, array_to_string(t, ' ') as tokens, len(t) between 3 and 12 and not {S.any_of("lower(coalesce(title, ''))", R.EXCLUDED_TITLE)} and {S.hits('t', R.ANCHORS)} >= case when coalesce(doc_type, '') in ('Academic Regulation', 'Academic Program', 'Course Syllabus', 'Department') then 1 else 2 end as used from x""")
 def title_tokens(spark, d):
     r = _records(spark, d).withColumn("tokens", T.title_tokens(C("title")))
     return r.select("id", F.array_join("tokens", " ").alias("tokens"), T.use_title(C("doc_type"), C("tokens"), C("title")).alias("used"))
@@ -629,6 +672,46 @@ def generated_failures(spark, d):
     return names.failure_modes(name_generate(spark, d), _names(spark, d))
 
 
+@query()
+def name_models(spark, d):
+    """Parameters, losses and sample metrics of the recurrent models, trained on the whole list."""
+    return recurrent.results(_names(spark, d))
+
+
+@query(f"""with a as (select count(*) as pages, (max(epoch_us(ingested_at)) - min(epoch_us(ingested_at))) / 60e6 as minutes from crawldoc where ingested_at is not null)
+select pages::bigint as pages, round(minutes, 6) as minutes, round(pages / nullif(minutes, 0), 6) as per_minute from a""")
+def crawl_rate(spark, d):
+    r = crawl.rate(read_table(spark, d, "crawldoc"), "ingested_at")
+    return r.select("pages", F.round("minutes", 6).alias("minutes"), F.round("per_minute", 6).alias("per_minute"))
+
+
+ANALYSIS_WORDS = ("research", "thesis", "laboratory", "committee", "unknownword")
+ANALYSIS_QUESTIONS = [("department", "annual", "office", ["report"]), ("thesis", "students", "report", ["committee", "department"])]
+
+
+def _vectors(spark, d):
+    s, v = _segments(spark, d), _vocab(spark, d)
+    run = embedding.run_grid(vocabulary.encode(s, "segment_id", "t", v), "segment_id", v, [embedding.Config("skipgram", 32, 2, 5, epochs=2)])
+    rows = run.select(F.posexplode("input").alias("token_id", "vector")).join(v, "token_id").select("token", "count", "vector")
+    return materialize(rows), v
+
+
+@query()
+def semantic_report(spark, d):
+    vectors, v = _vectors(spark, d)
+    return similarity.semantic_analysis(vectors, list(ANALYSIS_WORDS), ANALYSIS_QUESTIONS, vocabulary.analysis_exclusions(v))
+
+
+@query()
+def embedding_plot(spark, d):
+    vectors, _ = _vectors(spark, d)
+    at = lambda df, c: df.select(C("token").alias("word"), c.alias("at"))
+    focus = spark.createDataFrame([(w, i) for i, w in enumerate(ANALYSIS_WORDS)], "word string, at bigint").join(vectors.select(C("token").alias("word")), "word", "left_semi")
+    near = similarity.neighbours(vectors.select("token", "vector"), vectors.where(C("token").isin(*ANALYSIS_WORDS)).select("token", "vector"), "token", "vector", 8)
+    words = similarity.plot_words(focus, at(near, C("rank").cast("long")), at(vectors, -C("count")))
+    return similarity.plot_points(vectors, words)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

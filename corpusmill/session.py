@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import tempfile
 
@@ -22,6 +23,17 @@ def get_session(app: str = "corpusmill", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def logger(name: str = "corpusmill") -> logging.Logger:
+    """A logger that writes time, level and message; set up once."""
+    log = logging.getLogger(name)
+    if not log.handlers:
+        h = logging.StreamHandler()
+        h.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        log.addHandler(h)
+        log.setLevel(logging.INFO)
+    return log
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from corpusmill.operators import names
+from corpusmill.functions.url import allowed_domain
+from corpusmill.operators import filters, names
+from corpusmill.sources import fetch
 
 C, lit = F.col, F.lit
 METADATA = T.StructType([
@@ -74,8 +76,6 @@ def seed_urls(spark: SparkSession, path: str) -> DataFrame:
 
 def sitemap_urls(documents: DataFrame, xml: str, domain: str) -> tuple[DataFrame, DataFrame]:
     """(pages, child sitemaps) of sitemap documents: locations on the domain."""
-    from corpusmill.functions.url import allowed_domain
-
     loc = F.regexp_extract_all(C(xml), lit(r"<loc>\s*([^<\s]+)\s*</loc>"), lit(1))
     rows = documents.select(C(xml).contains("<sitemapindex").alias("index"), F.explode(loc).alias("url")).where(allowed_domain(C("url"), domain))
     return rows.where("not index").select("url").distinct(), rows.where("index").select("url").distinct()
@@ -126,15 +126,33 @@ class _SnapshotReader(DataSourceReader):
                         yield r.get("url"), status, r.get("html") if status == 200 else None
 
 
-def pdf_documents(files: DataFrame, extract=None, least: int = 20) -> DataFrame:
-    """path, pages, content of PDF files with at least `least` characters; `extract(bytes) -> (text, pages)` is the caller's
-    library. Without one every content is null."""
+def pdf_documents(files: DataFrame, extract=fetch.pdf_text, least: int = 20, english: bool = False) -> DataFrame:
+    """path, pages, content of PDF files with at least `least` characters; `extract(bytes) -> (text, pages)` may be the caller's
+    library. With `english` others are left out."""
 
     def run(batches):
         for pdf in batches:
-            got = [extract(bytes(d)) if extract else (None, None) for d in pdf["data"]]
+            got = [extract(bytes(d)) for d in pdf["data"]]
             pdf = pdf.assign(content=[g[0] for g in got], pages=[g[1] for g in got])
             yield pdf[["path", "pages", "content"]]
 
     out = files.mapInPandas(run, "path string, pages bigint, content string")
-    return out.where((F.length(F.btrim("content")) >= least)) if extract else out
+    kept = out.where(F.length(F.btrim("content")) >= least)
+    return kept.where(filters.is_english(C("content"))) if english else kept
+
+
+def lemma_table(spark: SparkSession, path: str) -> dict[str, str]:
+    """form, lemma of a file of tab-separated pairs: a caller's table for `functions.text.lemma`. An empty one leaves the rules for plurals."""
+    rows = spark.read.text(path).select(F.split("value", "\t").alias("p")).where(F.size("p") == 2).collect()  # a word list
+    return {r.p[0]: r.p[1] for r in rows}
+
+
+def sitemap_closure(documents: DataFrame, url: str, xml: str, seeds: DataFrame, domain: str) -> DataFrame:
+    """url of the pages listed by the sitemaps in `seeds` (url) and by those they name, however deep; `documents` is the snapshot."""
+    from corpusmill.operators.crawl import breadth_first
+
+    at = documents.select(C(url).alias("_at"), C(xml).alias("_xml"))
+    loc = F.regexp_extract_all("_xml", lit(r"<loc>\s*([^<\s]+)\s*</loc>"), lit(1))
+    rows = at.select("_at", C("_xml").contains("<sitemapindex").alias("index"), F.explode(loc).alias("url")).where(allowed_domain(C("url"), domain))
+    reached = breadth_first(seeds, rows.where("index").select(C("_at").alias("src"), C("url").alias("dst"))).select(C("url").alias("_at"))
+    return rows.where("not index").join(reached, "_at", "left_semi").select("url").distinct()

@@ -61,7 +61,52 @@ def test_pdf(spark, tmp_path):
     files = readers.binary_files(spark, str(tmp_path), max_bytes=100)
     got = readers.pdf_documents(files, lambda b: ("a text of some length, long enough", 1)).collect()
     assert len(got) == 1 and got[0].pages == 1
-    assert readers.pdf_documents(files).first().content is None
+    assert readers.pdf_documents(files).count() == 0  # no PDF at all
+
+
+def test_fetch_policy():
+    from corpusmill.sources import fetch
+
+    def server(*answers):
+        left = list(answers)
+
+        def get(url):
+            a = left.pop(0)
+            if isinstance(a, Exception):
+                raise a
+            return a
+
+        return get
+
+    waits = []
+    ok = (200, "text/html", b"x")
+    go = lambda *a: fetch.fetch("u", server(*a), sleep=waits.append)
+    assert go(ok) == fetch.Fetched("html", b"x", ()) and go((200, "application/pdf", b"x")).kind == "pdf"
+    assert go((404, "", b"")).kind == "missing" and go((403, "", b"")).kind == "missing" and not waits
+    assert go((429, "", b""), (503, "", b""), ok).waits == (4.0, 2.0)
+    assert go(TimeoutError(), ConnectionError(), (500, "", b"")) == fetch.Fetched("failed", None, (1.0, 2.0, 4.0))
+
+
+def test_pdf_text_and_fallback():
+    import zlib
+
+    from corpusmill.sources import fetch
+
+    page = zlib.compress(b"BT /F1 12 Tf (Field \\(station\\)) Tj T* [(wat) -20 (er)] TJ ET")
+    data = b"%PDF-1.4 1 0 obj << /Type /Page >> endobj 2 0 obj << /Filter /FlateDecode >> stream\n" + page + b"\nendstream endobj"
+    assert fetch.pdf_text(data) == ("Field (station)\nwater", 1)
+
+    def broken(_):
+        raise ValueError
+
+    assert fetch.pdf_text(b"x", (broken, lambda _: ("", 3), lambda _: (" text ", 2))) == ("text", 2)
+    assert fetch.pdf_text(b"x", (broken,)) == ("", 0)
+
+
+def test_sitemaps_of_sitemaps(spark):
+    docs = spark.createDataFrame([("http://a.b/m", "<sitemapindex><loc>http://a.b/n</loc></sitemapindex>"), ("http://a.b/n", "<urlset><loc>http://a.b/p</loc></urlset>"), ("http://a.b/o", "<urlset><loc>http://a.b/q</loc></urlset>")], "u string, x string")
+    got = readers.sitemap_closure(docs, "u", "x", spark.createDataFrame([("http://a.b/m",)], "url string"), "a.b").collect()
+    assert [r.url for r in got] == ["http://a.b/p"]
 
 
 def test_stream(spark, tmp_path):
