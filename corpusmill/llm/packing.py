@@ -49,6 +49,7 @@ def _count(path: str):
 
 def with_tokens(df: DataFrame, keep: list[str], text: str = "text", vocabulary: str = tokens.DEFAULT_VOCABULARY) -> DataFrame:
     """The columns `keep` and tokens, the number of tokens of the text (0 for null)."""
+    tokens.ship(df.sparkSession, vocabulary)
     src = df.select(*keep, text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", tokens bigint"
     return src.mapInArrow(_count(vocabulary), schema)

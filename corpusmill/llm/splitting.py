@@ -138,4 +138,5 @@ def split_oversized(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, piece_no, pieces, first_char, end_char, tokens, shared, boundary, text of the pieces of oversized documents."""
     long = docs.where(F.octet_length("text") > s.above)  # a token has at least one byte
     schema = "doc_id bigint, piece_no bigint, pieces bigint, first_char bigint, end_char bigint, tokens bigint, shared bigint, boundary string, text string"
+    tokens.ship(docs.sparkSession, s.vocabulary)
     return long.select("doc_id", "text").mapInArrow(_split(s), schema)

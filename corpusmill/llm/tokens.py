@@ -8,10 +8,13 @@ count of each is kept, and the tokenizer only sees new ones. Counts equal those
 from __future__ import annotations
 
 import base64
+import os
 import re
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern by which this family of tokenizers cuts text before merging.
@@ -31,7 +34,7 @@ class Counter:
     def __post_init__(self) -> None:
         import tiktoken
 
-        with open(self.path, "rb") as f:
+        with open(_found(self.path), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._bpe = tiktoken.Encoding("corpusmill", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -54,6 +57,18 @@ class Counter:
         return sum([n if (n := get(c)) is not None else new(c) for c in CHUNK.findall(text)])
 
 
+def ship(spark: SparkSession, path: str) -> None:
+    """Send the vocabulary to the workers, which need not have the file where the driver has it."""
+    if os.path.exists(path) and (spark.sparkContext.applicationId, path) not in _sent:
+        _sent.add((spark.sparkContext.applicationId, path))
+        spark.sparkContext.addFile(path)
+
+
+def _found(path: str) -> str:
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
+_sent: set[tuple[str, str]] = set()
 _counters: dict[str, Counter] = {}
 
 
