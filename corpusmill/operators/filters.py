@@ -46,17 +46,22 @@ def is_english(text: Column, lang: Column | None = None) -> Column:
 def scraped_reason(doc_type: Column, title: Column, url: Column, cleaned: Column) -> Column:
     """Reason code of the scraper's quality filter over cleaned content."""
     t, u, kind = F.lower(_text(title)), F.lower(_text(url)), _text(doc_type)
-    plain, toks = T.normalize_heading(_text(cleaned)), T.tokens(cleaned)
-    n, ratio, promo = F.size(toks), T.distinct_ratio(toks), T.hits(toks, R.PROMOTIONAL_HINTS)
-    executive = T.any_of(t, R.EXECUTIVE_TITLE) | T.any_of(u, [x.replace(" ", "-") for x in R.EXECUTIVE_TITLE]) | T.any_of(plain, R.EXECUTIVE_CONTENT)
     listing = u.rlike(R.LISTING_URL) & ~u.contains("office-of-students") & ~t.contains("student life") & ~t.contains("campus life")
-    return first_reason(
-        (kind.isin(*R.EXCLUDED_DOC_TYPES), F.concat(lit("excluded_doc_type:"), kind)), (T.any_of(t, R.EXCLUDED_TITLE), "excluded_title"), (u.rlike(T.alternation(R.EXCLUDED_URL)), "excluded_url"),
-        (executive, "executive_or_offcampus"), (T.any_of(plain, R.STAFF_RECRUITMENT_CONTENT), "faculty_recruitment"), (T.any_of(plain, R.ADMISSION_INDEX_CONTENT), "admission_index"), (T.any_of(plain, R.OUTREACH_CONTENT), "outreach_or_school_program"),
-        (u.rlike(R.ROSTER_URL), "student_roster_page"), (listing, "student_listing_page"),
-        (n < _by_type(kind, R.MIN_TOKENS, R.MIN_TOKENS_DEFAULT), "too_short_after_cleaning"), ((kind == "Faculty Profile") & (T.hits(toks, R.FACULTY_SIGNALS) < 4), "faculty_directory_or_low_signal"),
-        ((n < 220) & (ratio < 0.22), "low_unique_ratio"), ((n < 260) & (promo >= 12), "promotional_content"),
-    )
+
+    def judge(x: Column) -> Column:
+        plain, toks = x["plain"], x["toks"]
+        n, ratio, promo = F.size(toks), T.distinct_ratio(toks), T.hits(toks, R.PROMOTIONAL_HINTS)
+        executive = T.any_of(t, R.EXECUTIVE_TITLE) | T.any_of(u, [w.replace(" ", "-") for w in R.EXECUTIVE_TITLE]) | T.any_of(plain, R.EXECUTIVE_CONTENT)
+        return first_reason(
+            (kind.isin(*R.EXCLUDED_DOC_TYPES), F.concat(lit("excluded_doc_type:"), kind)), (T.any_of(t, R.EXCLUDED_TITLE), "excluded_title"), (u.rlike(T.alternation(R.EXCLUDED_URL)), "excluded_url"),
+            (executive, "executive_or_offcampus"), (T.any_of(plain, R.STAFF_RECRUITMENT_CONTENT), "faculty_recruitment"), (T.any_of(plain, R.ADMISSION_INDEX_CONTENT), "admission_index"), (T.any_of(plain, R.OUTREACH_CONTENT), "outreach_or_school_program"),
+            (u.rlike(R.ROSTER_URL), "student_roster_page"), (listing, "student_listing_page"),
+            (n < _by_type(kind, R.MIN_TOKENS, R.MIN_TOKENS_DEFAULT), "too_short_after_cleaning"), ((kind == "Faculty Profile") & (T.hits(toks, R.FACULTY_SIGNALS) < 4), "faculty_directory_or_low_signal"),
+            ((n < 220) & (ratio < 0.22), "low_unique_ratio"), ((n < 260) & (promo >= 12), "promotional_content"),
+        )
+
+    # the text is normalized and cut into tokens once
+    return T.let(F.struct(T.normalize_heading(_text(cleaned)).alias("plain"), T.tokens(cleaned).alias("toks")), judge)
 
 
 def corpus_reason(doc_type: Column, title: Column, url: Column, text: Column, lang: Column | None = None) -> Column:
