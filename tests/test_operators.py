@@ -152,7 +152,7 @@ def test_embedding_grid_trains_on_all_sequences(spark):
     encoded = spark.createDataFrame(seqs, "segment_id string, ids array<bigint>")
     vocab = spark.createDataFrame([(f"t{i}", 4, i) for i in range(400)], "token string, count bigint, token_id bigint")
     configs = [embedding.Config(m, 8, 2, 3, epochs=2, batch=8, min_delta=-1e9) for m in ("cbow", "skipgram")]
-    for r in embedding.run_grid(encoded, "segment_id", vocab, configs, shard_rows=40, wave=1).collect():
+    for r in embedding.run_grid(encoded, "segment_id", vocab, configs, shard_rows=40, wave_bytes=1).collect():
         start = embedding.initial(400, 8, 42)[0]
         moved = (abs(np.array(r.input) - start) > 1e-7).any(axis=1)
         assert moved.sum() == 380 and r.validation_loss > 0  # all but the held-out 5 %
