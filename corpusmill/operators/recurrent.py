@@ -1,6 +1,7 @@
 """Next-character models of names in numpy: a plain recurrent network, a bidirectional LSTM, and one with attention.
 
-Gradients come from a small tape: every operation keeps its inputs and how a gradient passes back to them. Names are dealt to
+Gradients come from a small tape: every operation keeps its inputs and how a gradient passes back to them; all steps of a recurrent layer are
+one operation. Training is in single precision, as the reference's is. Names are dealt to
 shards of about `shard_names`; in each epoch every shard trains from the same weights and optimizer state, which are averaged over the shards
 by their numbers of examples. One shard is plain training. What comes to the driver in an epoch are weights, whose size does not depend on
 the data.
@@ -63,22 +64,13 @@ class Value:
         y = np.tanh(self.data)
         return self.map(y, 1 - y * y)
 
-    def sigmoid(self) -> "Value":
-        y = 1 / (1 + np.exp(-np.clip(self.data, -30, 30)))
-        return self.map(y, y * (1 - y))
-
-    def columns(self, a: int, b: int) -> "Value":
-        def back(g):
-            z = np.zeros_like(self.data)
-            z[..., a:b] = g
-            return z
-
-        return Value(self.data[..., a:b], ((self, back),))
-
     def rows(self, at: np.ndarray) -> "Value":
         def back(g):
             z = np.zeros_like(self.data)
-            np.add.at(z, at, g)
+            flat = at.ravel()
+            order = np.argsort(flat, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
+            z[flat[order][first]] = np.add.reduceat(g.reshape(flat.size, -1)[order], first, axis=0)
             return z
 
         return Value(self.data[at], ((self, back),))
@@ -99,10 +91,6 @@ def side_by_side(parts: list[Value]) -> Value:
     return Value(np.concatenate([p.data for p in parts], -1), tuple((p, lambda g, a=e - p.data.shape[-1], b=e: g[..., a:b]) for p, e in zip(parts, ends)))
 
 
-def stacked(parts: list[Value]) -> Value:
-    return Value(np.stack([p.data for p in parts], 1), tuple((p, lambda g, i=i: g[:, i]) for i, p in enumerate(parts)))
-
-
 def attended(scores: Value, mask: np.ndarray, states: Value) -> Value:
     """Mean of the states of each row, weighted by the softmax of its scores; padding has no weight."""
     z = np.where(mask, scores.data[..., 0], -np.inf)
@@ -117,15 +105,15 @@ def attended(scores: Value, mask: np.ndarray, states: Value) -> Value:
 
 
 def loss_of(logits: Value, target: np.ndarray) -> Value:
-    z = logits.data - logits.data.max(1, keepdims=True)
-    p = np.exp(z)
+    z = logits.data.astype(float)
+    p = np.exp(z - z.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
     i = np.arange(len(target))
 
     def back(g):
         d = p.copy()
         d[i, target] -= 1
-        return g * d / len(target)
+        return (g * d / len(target)).astype(logits.data.dtype)
 
     return Value(np.array(-np.log(np.maximum(p[i, target], 1e-300)).mean()), ((logits, back),))
 
@@ -188,31 +176,80 @@ def describe(model: str, c: Config = Config()) -> str:
     return f"characters as {e} numbers, {how[model]}, a linear layer over the alphabet"
 
 
-def _states(w: dict[str, Value], way: str, x: Value, mask: np.ndarray, lstm: bool, h: int) -> list[Value]:
-    """Hidden state after each step; rows keep their state once their prefix has ended."""
-    given = x @ w[f"in_{way}"] + w[f"in_{way}_b0"] + w[f"in_{way}_b1"]
-    b, steps = mask.shape
-    state = cell = Value(np.zeros((b, h)))
-    out = []
+def layer_states(given: Value, rec: Value, lengths: np.ndarray, lstm: bool, every: bool) -> Value:
+    """State after the last step of each row, or with `every` after each step; rows keep their state once their prefix has ended.
+
+    One operation of the tape for all steps. Rows are put in order of length, so that a step computes only those that still run.
+    """
+    b, steps, wide = given.data.shape
+    h = rec.data.shape[0]
+    order = np.argsort(-lengths, kind="stable")
+    live = np.searchsorted(-lengths[order], -np.arange(steps), side="left")  # rows longer than t
+    z = np.ascontiguousarray(given.data[order].transpose(1, 0, 2))
+    kind = given.data.dtype
+    states, cells = np.zeros((steps + 1, b, h), kind), np.zeros((steps + 1, b, h), kind) if lstm else None
+    half = np.repeat(np.array([0.5, 0.5, 1.0, 0.5], kind), h) if lstm else None  # a sigmoid is a tanh of half its argument
     for t in range(steps):
-        now = Value(given.data[:, t], ((given, lambda g, t=t: _at(g, t, given.data.shape)),))
-        z = now + state @ w[f"rec_{way}"]
-        on, off = Value(mask[:, t, None].astype(float)), Value(1.0 - mask[:, t, None])
+        n = live[t]
+        x = z[t, :n]
+        x += states[t, :n] @ rec.data
+        states[t + 1] = states[t]
         if lstm:
-            i, f, o = (z.columns(k * h, (k + 1) * h).sigmoid() for k in (0, 1, 3))
-            fresh = f * cell + i * z.columns(2 * h, 3 * h).tanh()
-            cell, new = on * fresh + off * cell, o * fresh.tanh()
+            x *= half
+            np.tanh(x, out=x)
+            x *= half
+            x += 1 - half
+            cells[t + 1] = cells[t]
+            cells[t + 1, :n] = x[:, h : 2 * h] * cells[t, :n] + x[:, :h] * x[:, 2 * h : 3 * h]
+            states[t + 1, :n] = x[:, 3 * h :] * np.tanh(cells[t + 1, :n])
         else:
-            new = z.tanh()
-        state = on * new + off * state
-        out.append(state)
-    return out
-
-
-def _at(g: np.ndarray, t: int, shape: tuple[int, ...]) -> np.ndarray:
-    z = np.zeros(shape)
-    z[:, t] = g
-    return z
+            states[t + 1, :n] = np.tanh(x, out=x)
+    back_order = np.empty_like(order)
+    back_order[order] = np.arange(b)
+    memo: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def passed_back(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if memo:
+            return memo[0]
+        g = g[order]
+        dz, dh, dc = np.zeros((steps, b, wide), kind), np.zeros((b, h), kind) if every else g.copy(), np.zeros((b, h), kind)
+        back = np.ascontiguousarray(rec.data.T)
+        for t in range(steps - 1, -1, -1):
+            n = live[t]
+            if every:
+                dh += g[:, t]
+            x, d = z[t, :n], dz[t, :n]
+            if lstm:
+                i, f, c, o = (x[:, k * h : (k + 1) * h] for k in range(4))
+                y = np.tanh(cells[t + 1, :n])
+                down = dc[:n] + dh[:n] * o * (1 - y * y)
+                d[:, :h] = down * c * i * (1 - i)
+                d[:, h : 2 * h] = down * cells[t, :n] * f * (1 - f)
+                d[:, 2 * h : 3 * h] = down * i * (1 - c * c)
+                d[:, 3 * h :] = dh[:n] * y * o * (1 - o)
+                dc[:n] = down * f
+            else:
+                d[:] = dh[:n] * (1 - x * x)
+            dh[:n] = d @ back
+        memo.append((dz.transpose(1, 0, 2)[back_order], states[:-1].reshape(-1, h).T @ dz.reshape(-1, wide)))
+        return memo[0]
+
+    out = states[1:].transpose(1, 0, 2)[back_order] if every else states[-1][back_order]
+    return Value(out, ((given, lambda g: passed_back(g)[0]), (rec, lambda g: passed_back(g)[1])))
+
+
+def _states(w: dict[str, Value], way: str, x: Value, lengths: np.ndarray, lstm: bool, every: bool = False) -> Value:
+    given = x @ w[f"in_{way}"] + (w[f"in_{way}_b0"] + w[f"in_{way}_b1"])
+    return layer_states(given, w[f"rec_{way}"], lengths, lstm, every)
+
+
+def _last(states: Value) -> Value:
+    def back(g: np.ndarray) -> np.ndarray:
+        z = np.zeros_like(states.data)
+        z[:, -1] = g
+        return z
+
+    return Value(states.data[:, -1], ((states, back),))
 
 
 def logits(model: str, w: dict[str, Value], prefixes: np.ndarray, lengths: np.ndarray, c: Config, g: np.random.Generator | None = None) -> Value:
@@ -221,15 +258,17 @@ def logits(model: str, w: dict[str, Value], prefixes: np.ndarray, lengths: np.nd
 
     def read(ids: np.ndarray) -> Value:
         x = w["embedding"].rows(ids)
-        return x * Value((g.random(x.data.shape) >= c.dropout) / (1 - c.dropout)) if g is not None else x
+        return x * Value(((g.random(x.data.shape) >= c.dropout) / (1 - c.dropout)).astype(x.data.dtype)) if g is not None else x
 
-    states = _states(w, "f", read(prefixes), mask, model == "blstm", c.hidden)
-    last = states[-1]
+    if model == "attention_rnn":
+        every = _states(w, "f", read(prefixes), lengths, False, every=True)
+        last = _last(every)
+    else:
+        last = _states(w, "f", read(prefixes), lengths, model == "blstm")
     if model == "blstm":
         back = np.where(mask, np.take_along_axis(prefixes, np.maximum(lengths[:, None] - 1 - np.arange(prefixes.shape[1]), 0), 1), PAD)
-        last = side_by_side([last, _states(w, "b", read(back), mask, True, c.hidden)[-1]])
+        last = side_by_side([last, _states(w, "b", read(back), lengths, True)])
     elif model == "attention_rnn":
-        every = stacked(states)
         query = last @ w["query"] + w["query_b0"]
         wide = Value(query.data[:, None, :], ((query, lambda d: d.sum(1)),))
         score = (every @ w["key"] + w["key_b0"] + wide).tanh() @ w["score"] + w["score_b0"]
@@ -251,8 +290,7 @@ def epoch(model: str, state: dict, encoded: list[np.ndarray], c: Config, seed: l
     """Weights and optimizer state after one pass (Adam, gradients clipped by their norm), the sum of losses and the number of examples."""
     x, size, target = prefixes_of(encoded)
     g = np.random.default_rng(seed)
-    w, m, v, step = ({k: a.copy() for k, a in state[p].items()} for p in "wmv"), None, None, state["step"]
-    w, m, v = w
+    (w, m, v), step = ({k: a.copy() for k, a in state[p].items()} for p in "wmv"), state["step"]
     total, order = 0.0, g.permutation(len(target))
     for lo in range(0, len(order), c.batch):
         b = order[lo : lo + c.batch]
@@ -261,7 +299,7 @@ def epoch(model: str, state: dict, encoded: list[np.ndarray], c: Config, seed: l
         backward(loss)
         grads = {k: p.grad if p.grad is not None else np.zeros_like(p.data) for k, p in live.items()}
         grads["embedding"][PAD] = 0
-        norm = np.sqrt(sum((d * d).sum() for d in grads.values()))
+        norm = float(np.sqrt(sum((d * d).sum() for d in grads.values())))
         step += 1
         for k, d in grads.items():
             d = d * min(1.0, c.clip / (norm + 1e-6))
@@ -281,7 +319,7 @@ def sample(model: str, w: dict[str, np.ndarray], chars: list[str], count: int, c
             break
         ids, ended = np.full((n, 1), BOS), np.zeros(n, bool)
         for _ in range(c.longest):
-            z = logits(model, live, ids, np.full(n, ids.shape[1]), c).data / c.temperature
+            z = logits(model, live, ids, np.full(n, ids.shape[1]), c).data.astype(float) / c.temperature
             z[:, [PAD, BOS]] = -np.inf
             p = np.exp(z - z.max(1, keepdims=True))
             nxt = (np.cumsum(p / p.sum(1, keepdims=True), 1) > g.random((n, 1))).argmax(1)
@@ -302,11 +340,12 @@ def train(names: DataFrame, models: tuple[str, ...] = MODELS, c: Config = Config
     if not n:
         raise ValueError("training needs names")
     shards = -(-n // shard_names)
+    groups = len(models) * shards
     dealt = materialize(data.withColumn("shard", F.pmod(F.xxhash64("name", F.lit(9)), F.lit(shards))).crossJoin(F.broadcast(names.sparkSession.createDataFrame([(m,) for m in models], "model string"))))  # a row per name and model
     spark = names.sparkSession
     states = {}
     for m in models:
-        w = initial(m, len(chars), c)
+        w = {k: a.astype(np.float32) for k, a in initial(m, len(chars), c).items()}
         states[m] = {"w": w, "m": {k: np.zeros_like(a) for k, a in w.items()}, "v": {k: np.zeros_like(a) for k, a in w.items()}, "step": 0}
     best, history = {m: (np.inf, states[m]["w"]) for m in models}, {m: [] for m in models}
     for e in range(c.epochs):
@@ -318,7 +357,7 @@ def train(names: DataFrame, models: tuple[str, ...] = MODELS, c: Config = Config
             after, total, seen = epoch(m, shared.value[m], seqs, c, [c.seed, e, int(shard)])
             return pd.DataFrame([(m, total, seen, pickle.dumps(after))], columns=["model", "loss", "examples", "state"])
 
-        got = dealt.groupBy("model", "shard").applyInPandas(learn, "model string, loss double, examples bigint, state binary").collect()
+        got = dealt.repartition(min(max(32, 4 * groups), 2000), "model", "shard").groupBy("model", "shard").applyInPandas(learn, "model string, loss double, examples bigint, state binary").collect()
         shared.destroy()
         for m in models:
             mine = [r for r in got if r.model == m]

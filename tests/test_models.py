@@ -45,6 +45,40 @@ def test_gradients_and_learning(model):
     assert len(made) == 40 and all(made) and max(map(len, made)) <= c.longest and made == Q.sample(model, state["w"], CHARS, 40, c, [1])
 
 
+@pytest.mark.parametrize("model", Q.MODELS)
+def test_steps_of_a_layer_are_one_operation(model):
+    g, w, sizes = np.random.default_rng(2), Q.initial(model, len(CHARS)), []
+    for steps in (2, 40):
+        todo, seen = [Q.logits(model, {k: Q.Value(a) for k, a in w.items()}, g.integers(1, len(CHARS), (5, steps)), np.full(5, steps), Q.Config())], {}
+        while todo:
+            v = todo.pop()
+            if id(v) not in seen:
+                seen[id(v)] = v
+                todo += [p for p, _ in v.back]
+        sizes.append(len(seen))
+    assert sizes[0] == sizes[1]
+
+
+@pytest.mark.parametrize("lstm", [False, True])
+def test_layer_equals_its_steps(lstm):
+    g, h, lengths = np.random.default_rng(3), 4, np.array([2, 5, 1, 5, 3])
+    x, rec, s = g.normal(size=(5, 5, 4 * h if lstm else h)), g.normal(size=(h, 4 * h if lstm else h)), lambda z: 1 / (1 + np.exp(-z))
+    every = Q.layer_states(Q.Value(x), Q.Value(rec), lengths, lstm, True).data
+    for r, n in enumerate(lengths):
+        state, cell = np.zeros(h), np.zeros(h)
+        for t in range(5):
+            if t < n:
+                z = x[r, t] + state @ rec
+                if lstm:
+                    i, f, c, o = np.split(z, 4)
+                    cell = s(f) * cell + s(i) * np.tanh(c)
+                    state = s(o) * np.tanh(cell)
+                else:
+                    state = np.tanh(z)
+            assert np.allclose(every[r, t], state)
+    assert np.allclose(Q.layer_states(Q.Value(x), Q.Value(rec), lengths, lstm, False).data, every[:, -1])
+
+
 @pytest.mark.parametrize("shard", [1000, 4])
 def test_training_over_shards(spark, shard):
     names = spark.createDataFrame([(n, 1) for n in NAMES], "name string, copies bigint")
