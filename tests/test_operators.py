@@ -122,6 +122,25 @@ def test_html():
     assert html.read_page(None, None) == ("", "", "", "", [])
 
 
+def test_gradients_of_rows_met_often_add_up_without_copies():
+    """A row met once, some met a few times, and one met in most places; a batch takes the memory of a few rows."""
+    import tracemalloc
+
+    g = np.random.default_rng(5)
+    at = np.concatenate([[90], g.integers(0, 40, 150), np.full(3000, 7)])
+    coef, of, x = g.normal(size=len(at)), g.integers(0, 64, len(at)), g.normal(size=(64, 200))
+    want = np.zeros((100, 200))
+    np.add.at(want, at, coef[:, None] * x[of])
+    tracemalloc.start()
+    rows, got = embedding.sum_by_row(at, coef, of, x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows.tolist() == sorted(set(at.tolist())) and np.allclose(got, want[rows]) and most < 0.25 * len(at) * x[0].nbytes
+    w, a = np.zeros((100, 200)), embedding.RowAdam(np.zeros((100, 200)))
+    a.step(w, at, coef, of, x, 0.01)
+    assert np.allclose(w[rows], -0.01 * want[rows] / (abs(want[rows]) + 1e-8 / 0.001**0.5)) and not np.delete(w, rows, 0).any()
+
+
 def test_embedding_learns():
     g = np.random.default_rng(1)
     seqs = [np.array(g.permutation(5) + 5 * int(g.integers(0, 2))) for _ in range(300)]
