@@ -175,3 +175,33 @@ def test_embedding_grid_trains_on_all_sequences(spark):
         start = embedding.initial(400, 8, 42)[0]
         moved = (abs(np.array(r.input) - start) > 1e-7).any(axis=1)
         assert moved.sum() == 380 and r.validation_loss > 0  # all but the held-out 5 %
+
+
+def test_embedding_runs_end_by_the_rules_of_the_grid(spark):
+    """Runs of the grid may go on for 120 epochs; one that improves no more falls to the least rate, and ends after 20 epochs at the earliest."""
+    assert all((c.epochs, c.least_epochs, c.batch, c.patience) == (120, 20, 128, 8) for c in embedding.grid())
+
+    def rates(c, losses):
+        run, seen = embedding.Progress(c), []
+        while not run.ended:
+            seen.append(run.rate)
+            run.after(losses(run.epochs))
+        return seen, run
+
+    seen, run = rates(embedding.Config(), lambda e: 3.0)
+    assert len(seen) == 33 and run.stopped_early and run.best == 3 and seen[-1] == 1e-4
+    assert [i for i in range(1, 33) if seen[i] < seen[i - 1]] == [5, 9, 13, 17, 21, 25]
+    seen, run = rates(embedding.Config(), lambda e: 3 - 0.01 * e)
+    assert len(seen) == 120 and not run.stopped_early and set(seen) == {0.005} and run.best == 3 - 0.01 * 119
+    seen, run = rates(embedding.Config(rate=1e-4), lambda e: 3.0)
+    assert len(seen) == 20 and run.stopped_early
+    seen, run = rates(embedding.Config(min_delta=1), lambda e: 3 - 0.001 * e)  # too little for the best, enough to keep the rate
+    assert len(seen) == 20 and set(seen) == {0.005}
+
+    flat = embedding.Config("skipgram", 4, 1, 2, rate=1e-4, min_delta=1e9)
+    seqs = [np.array([i, i + 1]) for i in range(9)]
+    assert len(embedding.train(seqs, np.ones(10), flat, seqs[:2])["loss"]) == 20
+    encoded = spark.createDataFrame([(f"s{i}", [i, i + 1]) for i in range(9)], "segment_id string, ids array<bigint>")
+    vocab = spark.createDataFrame([(f"t{i}", 2, i) for i in range(10)], "token string, count bigint, token_id bigint")
+    r = embedding.run_grid(encoded, "segment_id", vocab, [flat]).first()
+    assert (r.epochs, r.stopped_early) == (20, True)
