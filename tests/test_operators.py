@@ -205,3 +205,28 @@ def test_embedding_runs_end_by_the_rules_of_the_grid(spark):
     vocab = spark.createDataFrame([(f"t{i}", 2, i) for i in range(10)], "token string, count bigint, token_id bigint")
     r = embedding.run_grid(encoded, "segment_id", vocab, [flat]).first()
     assert (r.epochs, r.stopped_early) == (20, True)
+
+
+def test_embedding_runs_and_shards_in_lots_give_the_same(spark):
+    """Runs that begin when others end, and shards trained one after the other; long and short sequences, one without context."""
+    seqs = [(f"s{i:02}", [i % 7, i % 5, (i * i) % 11, i % 3][: 2 + i % 3]) for i in range(60)]
+    encoded = spark.createDataFrame(seqs, "segment_id string, ids array<bigint>")
+    vocab = spark.createDataFrame([(f"t{i}", 12 - i, i) for i in range(12)], "token string, count bigint, token_id bigint")
+    configs = [embedding.Config(m, d, 2, 3, epochs=e, batch=8) for m, d, e in (("cbow", 6, 1), ("skipgram", 8, 3), ("cbow", 4, 2))]
+    known = {}
+    for wave, lot in ((1 << 20, 1 << 20), (1, 1), (1600, 3000)):
+        for r in embedding.run_grid(encoded, "segment_id", vocab, configs, shard_rows=20, wave_bytes=wave, shuffle_bytes=lot).collect():
+            got = np.concatenate([np.ravel(r.input), np.ravel(r.output), [r.final_loss, r.validation_loss, r.epochs]])
+            assert np.allclose(got, known.setdefault(r.run_no, got), atol=1e-6) and r.epochs == configs[r.run_no].epochs
+    assert len(known) == 3
+    target, ctx, mask = embedding._cbow_rows([np.array([4, 5, 6]), np.array([7]), np.array([8, 9])], 2, None)
+    assert target.tolist() == [4, 5, 6, 8, 9] and [sorted(c[m > 0].tolist()) for c, m in zip(ctx, mask)] == [[5, 6], [4, 6], [4, 5], [9], [8]]
+
+
+def test_negatives_by_the_noise_distribution():
+    g, counts = np.random.default_rng(3), np.array([50.0, 0.5, 20, 1, 8])
+    neg = embedding.draw_negatives(g, np.cumsum(counts), np.full(40_000, 2), 5)
+    want = np.where(np.arange(5) == 2, 0, counts) / (counts.sum() - 20)
+    assert neg.shape == (40_000, 5) and np.allclose(np.bincount(neg.ravel(), minlength=5) / neg.size, want, atol=0.005)
+    neg = embedding.draw_negatives(g, np.cumsum(np.ones(3000)), np.zeros(2, np.int64), 2)
+    assert ((neg > 0) & (neg < 3000)).all()
